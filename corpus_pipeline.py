@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.bpe import bpe_round_trip
 from ledgerloom.llm.common import written
 from ledgerloom.llm.mixing import mix_sources
+from ledgerloom.llm.order_minhash import drop_near_duplicates
 from ledgerloom.llm.quality import quality_rules
 from ledgerloom.llm.queries import TARGETS
 from ledgerloom.llm.secret_scan import scan_secrets
@@ -25,6 +26,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _with_text(made.filter("kept"), "cleaned_text", docs.columns)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, the one of least id."""
+    return drop_near_duplicates(docs).select(docs.columns)
+
+
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; every document stays."""
     made = scan_secrets(docs, keep=[c for c in docs.columns if c != "text"], redact=True)
@@ -41,7 +47,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe_round_trip(docs, keep=[c for c in docs.columns if c != "text"])
 
 
-STAGES = [("quality rules", quality), ("secret scans", secrets), ("mixing sources", mixing), ("BPE encoding", encoding)]
+STAGES = [("quality rules", quality), ("near-dedup", near_dedup), ("secret scans", secrets), ("mixing sources", mixing), ("BPE encoding", encoding)]
 
 #: Hash-seeded sketches, token ratios and merges are beyond SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None

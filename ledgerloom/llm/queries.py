@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm.bpe import bpe_round_trip
 from ledgerloom.llm.mixing import mix_sources
+from ledgerloom.llm.order_minhash import near_duplicates
 from ledgerloom.llm.quality import quality_rules
 from ledgerloom.llm.secret_scan import scan_secrets
 from ledgerloom.llm.sharding import shard
@@ -45,7 +46,11 @@ def op8_line_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
 
+def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sampled_splitters, op2_token_efficiency, op3_poisson_mix, op4_longest_match, op6_forced_boundaries, op8_line_first)
+    f.__name__: f for f in (op1_sampled_splitters, op2_token_efficiency, op3_poisson_mix, op4_longest_match, op6_forced_boundaries, op8_line_first, op9_order_minhash)
 }
 ORACLE_SQL: dict[str, str] = {}
