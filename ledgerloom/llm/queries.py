@@ -12,6 +12,7 @@ from ledgerloom.llm.order_minhash import near_duplicates
 from ledgerloom.llm.quality import quality_rules
 from ledgerloom.llm.secret_scan import scan_secrets
 from ledgerloom.llm.sharding import shard
+from ledgerloom.llm.suffix_dedup import remove_repeats
 from ledgerloom.llm.token_counts import count_tokens
 
 #: Target weights of the production mix: ``src0`` five times any other source.
@@ -50,7 +51,11 @@ def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op10_deep_shallow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sampled_splitters, op2_token_efficiency, op3_poisson_mix, op4_longest_match, op6_forced_boundaries, op8_line_first, op9_order_minhash)
+    f.__name__: f for f in (op1_sampled_splitters, op2_token_efficiency, op3_poisson_mix, op4_longest_match, op6_forced_boundaries, op8_line_first, op9_order_minhash, op10_deep_shallow)
 }
 ORACLE_SQL: dict[str, str] = {}
