@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm.bpe import bpe_round_trip
 from ledgerloom.llm.mixing import mix_sources
+from ledgerloom.llm.neighbour_graph import nearest
 from ledgerloom.llm.order_minhash import near_duplicates
+from ledgerloom.llm.pii import find_personal_data
 from ledgerloom.llm.quality import quality_rules
 from ledgerloom.llm.secret_scan import scan_secrets
 from ledgerloom.llm.sharding import shard
@@ -39,10 +41,18 @@ def op4_longest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir))
 
 
+def op5_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op6_forced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(documents(spark, sf_dir))
 
 
+def op7_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(documents(spark, sf_dir))
+
+
 def op8_line_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
@@ -55,7 +65,17 @@ def op10_deep_shallow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sampled_splitters, op2_token_efficiency, op3_poisson_mix, op4_longest_match, op6_forced_boundaries, op8_line_first, op9_order_minhash, op10_deep_shallow)
-}
+_ALL = (
+    op1_sampled_splitters,
+    op2_token_efficiency,
+    op3_poisson_mix,
+    op4_longest_match,
+    op5_nn_descent,
+    op6_forced_boundaries,
+    op7_bilstm_crf,
+    op8_line_first,
+    op9_order_minhash,
+    op10_deep_shallow,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 ORACLE_SQL: dict[str, str] = {}
