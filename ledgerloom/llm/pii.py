@@ -13,14 +13,14 @@ empty table; other columns are ignored unless kept.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import random
 import re
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ledgerloom.llm.common import map_texts
@@ -181,12 +181,30 @@ def training_set(examples: Sequence[tuple[str, Sequence[tuple[int, int, int]]]],
     return np.stack([a for a, _ in made]), np.stack([b for _, b in made])
 
 
-@functools.lru_cache(maxsize=4)
-def trained(seed: int = 7, windows: int = TRAIN_WINDOWS, steps: int = TRAIN_STEPS) -> dict[str, np.ndarray]:
+def train(seed: int = 7, windows: int = TRAIN_WINDOWS, steps: int = TRAIN_STEPS) -> dict[str, np.ndarray]:
     """The tagger's arrays, the same for the same arguments; a few ten kilobytes."""
     tagger = Tagger(2 * len(KINDS) + 1, seed=seed)
     tagger.fit(*training_set(labelled(seed, windows)), steps=steps)
-    return {k: v.astype(np.float32) for k, v in tagger.params.items()}
+    return tagger.params
+
+
+_TRAINED: dict[tuple, dict[str, np.ndarray]] = {}
+
+
+def trained(spark: SparkSession, seed: int = 7, windows: int = TRAIN_WINDOWS, steps: int = TRAIN_STEPS) -> dict[str, np.ndarray]:
+    """``train`` in one task of the cluster, where numpy has one thread, which suits its many small products; kept by session."""
+    key = (spark.sparkContext.applicationId, seed, windows, steps)
+    if key not in _TRAINED:
+
+        def run(batches):
+            for _ in batches:
+                pass
+            params = train(seed, windows, steps)
+            yield pa.RecordBatch.from_arrays([pa.array(list(params)), pa.array([list(v.shape) for v in params.values()]), pa.array([v.astype(np.float32).tobytes() for v in params.values()])], names=["name", "shape", "data"])
+
+        rows = spark.range(0, 1, 1, 1).mapInArrow(run, "name string, shape array<bigint>, data binary").collect()
+        _TRAINED[key] = {r["name"]: np.frombuffer(r["data"], np.float32).reshape(r["shape"]) for r in rows}
+    return _TRAINED[key]
 
 
 def plausible(kind: int, string: str) -> bool:
@@ -276,7 +294,7 @@ def joined(spans: Sequence[tuple[int, int, int]]) -> str:
 
 def find_personal_data(df: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",), seed: int = 7) -> DataFrame:
     """Counts and spans for each row."""
-    params = trained(seed)
+    params = trained(df.sparkSession, seed)
 
     def make():
         finder = Finder(params)
