@@ -8,8 +8,8 @@ tries). Neighbours in that order give common lengths to the right, the bytes bef
 left, and both together say exactly which windows occur twice.
 
 Equal texts are folded by digest first; a text of 200 bytes or more that occurs twice goes as a whole. A gram in more
-than ``MOST_TOGETHER`` places is not sorted in one task: its windows are counted by 128-bit digest with partial
-aggregation, which spreads over all tasks and gives the same answer.
+than ``MOST_TOGETHER`` places is not sorted in one task: equal surroundings are folded, and the windows of the others are
+counted by 128-bit digest, both with partial aggregation, which spreads over all tasks and gives the same answer.
 
 Edge cases: a null text counts as empty; texts under 200 bytes lose nothing; repeats inside one text count. Whole texts
 are treated, in pieces of ``PIECE`` bytes that overlap by 199. An empty table gives an empty table; other columns are
@@ -236,14 +236,15 @@ def _spans_of_groups(length: int, gram: int):
 
 
 def _window_rows(length: int):
-    """(w1, w2, k1, k2, a): the digest of each window of the contexts and where it starts."""
+    """(w1, w2, k1, k2, a, alone): the digest of each window of the contexts and where it starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["w1", "w2", "k1", "k2", "a", "alone"]
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
-                out: list[list[int]] = [[], [], [], [], []]
+                out: list[list] = [[], [], [], [], [], []]
                 part = batch.slice(at, 128)
-                for _, k1, k2, spot, left, right in zip(*(c.to_pylist() for c in part.columns)):
+                for k1, k2, spot, left, right, alone in zip(*(c.to_pylist() for c in part.columns)):
                     body, first = left + right, (spot >> 16) - (spot >> 8 & 255)
                     for i in range((spot & 255) + 1):
                         digest = hashlib.blake2b(body[i : i + length], digest_size=16).digest()
@@ -252,7 +253,9 @@ def _window_rows(length: int):
                         out[2].append(k1)
                         out[3].append(k2)
                         out[4].append(first + i)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["w1", "w2", "k1", "k2", "a"])
+                        out[5].append(alone)
+                types = [pa.int64()] * 5 + [pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
 
     return run
 
@@ -280,20 +283,27 @@ def _cut_rows():
     return run
 
 
-def _span_lists(contexts: DataFrame, length: int, gram: int, most_together: int) -> DataFrame:
-    """(k1, k2, spans) over all grams; frequent grams go by counting."""
-    frequent = contexts.groupBy("h").count().filter(F.col("count") > most_together).select("h")
+def _span_lists(contexts: DataFrame, grams: DataFrame, length: int, gram: int, most_together: int) -> DataFrame:
+    """(k1, k2, spans) over all grams, one row of ``grams`` for each context; frequent grams go by counting."""
+    frequent = grams.groupBy("h").count().filter(F.col("count") > most_together).select("h")
     frequent = written(frequent, "suffix-frequent")
     usual = contexts
     spans = None
     if frequent.limit(1).count():
         usual = contexts.join(frequent, "h", "left_anti")
-        windows = contexts.join(frequent, "h", "left_semi").select("h", "k1", "k2", "spot", "left", "right").mapInArrow(_window_rows(length), "w1 bigint, w2 bigint, k1 bigint, k2 bigint, a bigint")
+        hot = contexts.join(frequent, "h", "left_semi").withColumns({"shape": F.col("spot").bitwiseAND(F.lit(65535)), "digest": F.md5(F.concat("left", "right"))})
+        hot = written(hot, "suffix-hot")
+        # Equal contexts repeat as a whole: one row for each, whatever their number, and one of them stands for all.
+        same = hot.groupBy("h", "digest", "shape").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "spot")).alias("first"))
+        known = hot.join(same, ["h", "digest", "shape"])
+        start = F.shiftright("spot", 16) - F.shiftright("shape", 8)
+        full = known.filter("n > 1").select("k1", "k2", start.alias("a"), (start + F.col("shape").bitwiseAND(F.lit(255)) + length).alias("b"))
+        asked = known.filter((F.col("n") == 1) | (F.struct("k1", "k2", "spot") == F.col("first")))
+        windows = asked.select("k1", "k2", "spot", "left", "right", (F.col("n") == 1).alias("alone")).mapInArrow(_window_rows(length), "w1 bigint, w2 bigint, k1 bigint, k2 bigint, a bigint, alone boolean")
         where = F.struct("k1", "k2", "a")
-        # A window repeats if its digest is at two places; the row's own place is always the least or the greatest of them or between.
         twice = windows.groupBy("w1", "w2").agg(F.min(where).alias("x"), F.max(where).alias("y")).filter("x != y").select("w1", "w2")
-        hit = windows.join(twice, ["w1", "w2"], "left_semi")
-        spans = hit.select("k1", "k2", "a", (F.col("a") + length).alias("b"))
+        hit = windows.filter("alone").join(twice, ["w1", "w2"], "left_semi")
+        spans = full.unionByName(hit.select("k1", "k2", "a", (F.col("a") + length).alias("b")))
     sorted_spans = usual.repartition("h").sortWithinPartitions("h").select("h", "k1", "k2", "spot", "left", "right").mapInArrow(_spans_of_groups(length, gram), _SPAN)
     spans = sorted_spans if spans is None else sorted_spans.unionByName(spans)
     return spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
@@ -327,7 +337,8 @@ def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text",
     release(grams)
     some = texts.filter(F.col("spots").isNotNull())
     contexts = some.select("k1", "k2", "body", "spots").mapInArrow(_context_rows(length), _CONTEXT)
-    lists = written(_span_lists(contexts, length, gram, most_together), "suffix-spans")
+    places = some.select(F.explode("spots.h").alias("h"))
+    lists = written(_span_lists(contexts, places, length, gram, most_together), "suffix-spans")
     cut = some.filter("not whole").select("k1", "k2", "body").join(lists, ["k1", "k2"], "left").select("k1", "k2", "body", "spans").mapInArrow(_cut_rows(), "k1 bigint, k2 bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
     zero, empty = F.lit(0).cast("bigint"), F.lit(hashlib.sha256(b"").hexdigest())
     plain = texts.filter(F.col("spots").isNull() | F.col("whole")).select(
