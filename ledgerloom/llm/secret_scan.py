@@ -71,8 +71,8 @@ def known(string: str) -> bool:
     words = [p for p in parts if not p.isdigit()]
     if not words:  # numbers, dates, versions
         return True
-    letters = sum(map(len, words))
-    return letters >= 4 * len(words) and len(parts) <= 2 * len(words) + 1
+    # Names are made of words: few parts for their letters, and few numbers between them.
+    return sum(map(len, words)) >= 4 * len(words) and len(parts) <= 2 * len(words) + 1
 
 
 class Scanner:
