@@ -36,14 +36,24 @@ def _words(text: Column, words) -> Column:
     return F.regexp_like(text, F.lit("(?<![a-z])(?:" + "|".join(words) + ")(?![a-z])"))
 
 
-def label_on(line: Column) -> Column:
-    """The field a line is labelled as: a sentence about included tax is the tax, else the longest label; null for none."""
-    plain = F.regexp_replace(F.lower(line), "[^a-z ]", " ")
-    out = F.lit(None).cast("string")
-    order = sorted(((len(w), -i, f, w) for i, f in enumerate(FIELDS) for w in LABELS[f]))
-    for _, _, field, word in order:
-        out = F.when(F.contains(plain, F.lit(word)) & _words(plain, (word,)), F.lit(field)).otherwise(out)
-    return F.when(F.regexp_like(plain, F.lit(INCLUSIVE)), F.lit("tax")).otherwise(out)
+_RANKS = {w: 10 * len(w) + 9 - i for i, f in enumerate(FIELDS) for w in LABELS[f]}
+_ANY_LABEL = "(?<![a-z])(?=(" + "|".join(sorted(_RANKS, key=len, reverse=True)) + ")(?![a-z]))"
+
+
+def plain(line: Column) -> Column:
+    """A line as labels are looked up in it: small letters and spaces only."""
+    return F.regexp_replace(F.lower(line), "[^a-z ]", " ")
+
+
+def label_on(plain_line: Column) -> Column:
+    """The field a line is labelled as: a sentence about included tax is the tax, else the longest label; null for none.
+
+    One pass of one pattern finds the longest label at every place; equally long labels go by the order of fields.
+    """
+    ranks = F.create_map(*(F.lit(x) for pair in _RANKS.items() for x in pair))
+    best = F.array_max(F.transform(F.regexp_extract_all(plain_line, F.lit(_ANY_LABEL), F.lit(1)), lambda w: F.element_at(ranks, w)))
+    field = F.element_at(F.array(*map(F.lit, FIELDS)), 10 - best % 10)
+    return F.when(F.regexp_like(plain_line, F.lit(INCLUSIVE)), F.lit("tax")).when(best.isNotNull(), field)
 
 
 def amounts_in(line: Column, mark: Column) -> Column:
@@ -61,76 +71,86 @@ def lines_of(receipts: DataFrame) -> DataFrame:
     mark = F.when(F.size("votes") < MARK_MINIMUM, F.lit("")).when(dots > commas, F.lit(".")).when(commas > dots, F.lit(",")).otherwise(F.lit(""))
     marked = split.withColumn("votes", votes).withColumn("mark", mark).withColumn("n_lines", F.size("lines"))
     rows = marked.select("receipt_id", "degraded", "mark", "n_lines", F.posexplode("lines").alias("number", "line"))
-    rows = rows.withColumn("line", F.regexp_replace("line", r"\s+$", ""))
-    return rows.withColumns({"label": label_on(F.col("line")), "amounts": amounts_in(F.col("line"), F.col("mark"))})
-
+    rows = rows.withColumn("line", F.regexp_replace("line", r"\s+$", "")).withColumn("plain", plain(F.col("line")))
+    return rows.withColumns({"label": label_on(F.col("plain")), "amounts": amounts_in(F.col("line"), F.col("mark"))})
 
-def _last(amounts: str = "amounts") -> Column:
-    return F.try_element_at(F.col(amounts), F.lit(-1))
 
+def readings(lines: DataFrame) -> DataFrame:
+    """(receipt_id, fields, items, merchant): everything that a receipt's lines state, in one aggregation.
 
-def fields(lines: DataFrame) -> DataFrame:
-    """(receipt_id, field, value_cents, confidence, line_number, line, how): what each receipt states.
-
-    The first labelled line of a field counts, for the total the last; in a degraded reading the last of every field, and
-    nothing is trusted. Without a total, what was handed over stands in (unless change was given), else the largest
-    amount of the last third; neither is trusted.
+    ``fields``: array of (field, value_cents, confidence, line_number, line, how). The first labelled line of a field
+    counts, for the total the last; in a degraded reading the last of every field, and nothing is trusted. Without a
+    total, what was handed over stands in (unless change was given), else the largest amount of the last third; neither is
+    trusted. ``items``: priced, unlabelled lines above the subtotal, none without a subtotal. ``merchant``: the first of six lines
+    with two letters, no amount and no label.
     """
-    named = lines.filter(F.col("label").isNotNull() & (F.size("amounts") > 0))
-    value = F.struct(_last().alias("value"), "number", "line")
-    pick_last = F.max_by(value, "number")
-    pick = F.when(F.bool_or("degraded") | (F.col("label") == "total"), pick_last).otherwise(F.min_by(value, "number"))
-    sure = F.when(F.bool_or("degraded"), F.lit(GUESSED)).otherwise(F.lit(LABELLED))
-    stated = named.groupBy("receipt_id", "label").agg(pick.alias("v"), sure.alias("confidence"))
-    stated = stated.select("receipt_id", F.col("label").alias("field"), F.col("v.value").alias("value_cents"), "confidence", F.col("v.number").alias("line_number"), "v.line", F.lit("labelled").alias("how"))
-    plain = F.regexp_replace(F.lower("line"), "[^a-z ]", " ")
-    priced = F.size("amounts") > 0
-    tail = F.col("number") >= F.floor(F.col("n_lines") * 2 / 3)
-    guesses = lines.groupBy("receipt_id").agg(
+    number, priced = F.col("number"), F.size("amounts") > 0
+    value = F.try_element_at(F.col("amounts"), F.lit(-1))
+    stated = F.struct(value.alias("value"), "number", "line")
+    tail = number >= F.floor(F.col("n_lines") * 2 / 3)
+    tender = priced & _words(F.col("plain"), TENDER)
+    fit = (number < 6) & F.col("label").isNull() & ~priced & F.regexp_like("line", F.lit(r"\p{L}.*\p{L}"))
+    description = F.regexp_replace(F.regexp_replace("line", _AMOUNT.replace("(?![\\d%])", "(?![\\d])"), ""), r"^[ .\-\t]+|[ .\-\t]+$", "")
+    item = F.struct(number.alias("row"), description.alias("description"), value.alias("amount_cents"), "line")
+    by_field = []
+    for f in FIELDS:
+        here = F.when(priced & (F.col("label") == f), number)
+        by_field += [F.max_by(stated, here).alias(f"last_{f}"), *([] if f == "total" else [F.min_by(stated, here).alias(f"first_{f}")])]
+    wide = lines.groupBy("receipt_id").agg(
         F.bool_or("degraded").alias("degraded"),
-        F.bool_or(F.coalesce(F.col("label") == "total", F.lit(False)) & priced).alias("has_total"),
-        F.bool_or(_words(plain, CHANGE)).alias("change"),
-        F.max_by(F.when(_words(plain, TENDER) & priced, value), F.when(_words(plain, TENDER) & priced, F.col("number"))).alias("tender"),
-        F.max(F.when(tail & priced, F.struct(F.array_max("amounts").alias("value"), (-F.col("number")).alias("up"), "line"))).alias("largest"),
+        *by_field,
+        F.bool_or(_words(F.col("plain"), CHANGE)).alias("change"),
+        F.max_by(stated, F.when(tender, number)).alias("tender"),
+        F.max(F.when(tail & priced, F.struct(F.array_max("amounts").alias("value"), (-number).alias("up"), "line"))).alias("largest"),
+        F.collect_list(F.when(priced & F.col("label").isNull(), item)).alias("priced"),
+        F.min_by("line", F.when(fit, number)).alias("merchant"),
+    )
+    level = F.when(F.col("degraded"), F.lit(GUESSED)).otherwise(F.lit(LABELLED))
+
+    def field(name: str, found: Column, confidence: Column, how: Column, number: Column | None = None) -> Column:
+        at = found["number"] if number is None else number
+        return F.struct(F.lit(name).alias("field"), found["value"].alias("value_cents"), confidence.alias("confidence"), at.alias("line_number"), found["line"].alias("line"), how.alias("how"))
+
+    made = [F.when(F.col(f"last_{f}").isNotNull(), field(f, F.when(F.col("degraded"), F.col(f"last_{f}")).otherwise(F.col(f"first_{f}")), level, F.lit("labelled"))) for f in FIELDS if f != "total"]
+    unsure = F.when(F.col("degraded"), F.lit(GUESSED)).otherwise(F.lit(INFERRED))
+    largest = F.col("largest")
+    total = (
+        F.when(F.col("last_total").isNotNull(), field("total", F.col("last_total"), level, F.lit("labelled")))
+        .when(~F.col("change") & F.col("tender").isNotNull(), field("total", F.col("tender"), unsure, F.lit("handed over")))
+        .when(largest.isNotNull(), field("total", largest, unsure, F.lit("largest near the end"), -largest["up"]))
+        .otherwise(field("total", F.col("last_total"), F.lit(0.0), F.lit("no amount")))
     )
-    handed = ~F.col("change") & F.col("tender").isNotNull()
-    amount = F.when(handed, F.col("tender.value")).otherwise(F.col("largest.value"))
-    level = F.when(amount.isNull(), F.lit(0.0)).when(F.col("degraded"), F.lit(GUESSED)).otherwise(F.lit(INFERRED))
-    how = F.when(handed, F.lit("handed over")).when(amount.isNotNull(), F.lit("largest near the end")).otherwise(F.lit("no amount"))
-    inferred = guesses.filter(~F.col("has_total")).select("receipt_id", F.lit("total").alias("field"), amount.alias("value_cents"), level.alias("confidence"), F.when(handed, F.col("tender.number")).otherwise(-F.col("largest.up")).alias("line_number"), F.when(handed, F.col("tender.line")).otherwise(F.col("largest.line")).alias("line"), how.alias("how"))
-    return stated.unionByName(inferred)
+    limit = F.when(F.col("degraded"), F.col("last_subtotal.number")).otherwise(F.col("first_subtotal.number"))
+    items = F.array_sort(F.filter("priced", lambda x: (x["row"] < limit) & (x["description"] != "")))
+    return wide.select("receipt_id", F.array_compact(F.array(*made, total)).alias("fields"), items.alias("items"), F.coalesce(F.trim("merchant"), F.lit("")).alias("merchant"))
 
 
-def line_items(lines: DataFrame, found: DataFrame) -> DataFrame:
-    """(receipt_id, items): priced, unlabelled lines above the subtotal; none without a subtotal."""
-    limits = found.filter("field = 'subtotal'").select("receipt_id", F.col("line_number").alias("limit"))
-    description = F.regexp_replace(F.regexp_replace("line", _AMOUNT.replace("(?![\\d%])", "(?![\\d])"), ""), r"^[ .\-\t]+|[ .\-\t]+$", "")
-    rows = lines.filter(F.col("label").isNull() & (F.size("amounts") > 0)).join(limits, "receipt_id").filter(F.col("number") < F.col("limit")).withColumn("description", description).filter("description != ''")
-    item = F.struct(F.col("number").alias("row"), "description", _last().alias("amount_cents"), "line")
-    return rows.groupBy("receipt_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+def fields(read: DataFrame) -> DataFrame:
+    """(receipt_id, field, value_cents, confidence, line_number, line, how) from ``readings``, one row for each field."""
+    return read.select("receipt_id", F.inline("fields"))
 
 
-def merchants(lines: DataFrame) -> DataFrame:
-    """(receipt_id, merchant): the first of six lines with two letters, no amount and no label."""
-    fit = (F.col("number") < 6) & F.col("label").isNull() & (F.size("amounts") == 0) & F.regexp_like("line", F.lit(r"\p{L}.*\p{L}"))
-    return lines.groupBy("receipt_id").agg(F.coalesce(F.trim(F.min_by(F.when(fit, F.col("line")), F.when(fit, F.col("number")))), F.lit("")).alias("merchant"))
+def _doubtful() -> Column:
+    unsure = F.filter("fields", lambda f: f["value_cents"].isNotNull() & (f["confidence"] < TRUSTED))
+    return F.array_sort(F.transform(unsure, lambda f: f["field"]))
 
 
-def needs_human(found: DataFrame) -> DataFrame:
+def needs_human(read: DataFrame) -> DataFrame:
     """(receipt_id, doubtful): fields with a value that nobody should trust unseen."""
-    return found.groupBy("receipt_id").agg(F.array_sort(F.collect_list(F.when(F.col("value_cents").isNotNull() & (F.col("confidence") < TRUSTED), F.col("field")))).alias("doubtful"))
+    return read.select("receipt_id", _doubtful().alias("doubtful"))
 
 
 def receipts(texts: DataFrame) -> DataFrame:
     """One row for each receipt: trusted fields as columns, items, merchant and currency; columns of ``texts`` other than text stay."""
-    lines = lines_of(texts)
-    found = fields(lines)
-    trusted = F.when(F.col("confidence") >= TRUSTED, F.col("value_cents"))
-    wide = found.groupBy("receipt_id").agg(*(F.max(F.when(F.col("field") == f, trusted)).alias(f"{f}_cents") for f in FIELDS))
+    read = readings(lines_of(texts))
+
+    def trusted(name: str) -> Column:
+        kept = F.filter("fields", lambda f: (f["field"] == name) & (f["confidence"] >= TRUSTED))
+        return F.try_element_at(kept, F.lit(1))["value_cents"].alias(f"{name}_cents")
+
+    wide = read.select("receipt_id", *map(trusted, FIELDS), "items", "merchant", _doubtful().alias("doubtful"))
     base = texts.withColumn("currency", first_currency(F.col("text"))).drop("text")
-    out = base.join(wide, "receipt_id", "left").join(line_items(lines, found), "receipt_id", "left").join(merchants(lines), "receipt_id", "left").join(needs_human(found), "receipt_id", "left")
-    none = F.expr("array()").cast(out.schema["items"].dataType)
-    return out.withColumn("items", F.coalesce("items", none))
+    return base.join(wide, "receipt_id", "left")
 
 
 def boxes(words: DataFrame) -> DataFrame:
