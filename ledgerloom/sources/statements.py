@@ -15,9 +15,10 @@ from typing import NamedTuple
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ledgerloom.functions.dates import date_order, order_vote, resolve_date
-from ledgerloom.functions.money import decimal_vote, document_mark, first_currency, normalise_currency, parse_cents
+from ledgerloom.functions.dates import order_vote, resolve_date
+from ledgerloom.functions.money import decimal_vote, first_currency, normalise_currency, parse_cents
 
 # Header names by role, delimiters in order of preference, header search depth.
 HEADERS = {
@@ -113,15 +114,31 @@ def parse_csv(files: DataFrame) -> Statements:
     """Statements of (statement_id, text) rows that hold delimited text."""
     rows = files.select("statement_id", "text").mapInPandas(_csv_rows, _CELLS)
     money = ("amount", "debit", "credit", "balance")
-    samples = rows.select("statement_id", F.posexplode(F.array(*money)).alias("place", "raw"), "row").withColumn("vote", decimal_vote(F.col("raw")))
-    marks = samples.groupBy("statement_id").agg(document_mark(F.col("vote"), F.struct("row", "place")).alias("mark"))
-    values = rows.select("statement_id", F.explode(F.map_values(F.from_json("cells", "map<string,string>"))).alias("value"))
-    currencies = values.groupBy("statement_id").agg(F.collect_set(first_currency(F.col("value"))).alias("c")).select("statement_id", F.when(F.size("c") == 1, F.element_at("c", 1)).alias("currency"))
-    dates = rows.groupBy("statement_id").agg(date_order(order_vote(F.col("date"))).alias("date_order"), F.max("row").alias("n_raw"), F.bool_or("has_date").alias("has_date"), F.bool_or("has_description").alias("has_description"))
-    facts = dates.join(marks, "statement_id", "left").join(currencies, "statement_id", "left")
-    read = rows.filter(F.col("row") > 0).join(facts.select("statement_id", "mark", "date_order"), "statement_id")
-    cents = {c: parse_cents(F.col(c), F.col("mark")) for c in money}
-    read = read.withColumns({f"{c}_c": v for c, v in cents.items()})
+    whole = Window.partitionBy("statement_id")
+    # Evidence of each row, then of the whole file: one window over the file decides marks, dates and currency for all rows.
+    votes = F.array(*(decimal_vote(F.col(c)) for c in money))
+    values = F.map_values(F.from_json("cells", "map<string,string>"))
+    rows = rows.withColumns({"votes": votes, "marks": F.transform(values, first_currency), "date_vote": order_vote(F.col("date"))})
+    both = F.filter("votes", lambda v: v["both"])
+    rows = rows.withColumns({"first_both": F.try_element_at(both, F.lit(1))["mark"], "lone": F.transform(F.filter("votes", lambda v: ~v["both"] & v["mark"].isNotNull()), lambda v: v["mark"])})
+    every = lambda c: F.array_distinct(F.flatten(F.collect_set(c).over(whole)))
+    facts = rows.withColumns(
+        {
+            "settled": F.min(F.when(F.col("first_both").isNotNull(), F.struct("row", "first_both"))).over(whole)["first_both"],
+            "lones": every("lone"),
+            "currencies": F.array_compact(every("marks")),
+            "date_votes": F.collect_set("date_vote").over(whole),
+        }
+    )
+    orders = F.array_remove("date_votes", "open")
+    facts = facts.withColumns(
+        {
+            "mark": F.coalesce("settled", F.when(F.size("lones") == 1, F.element_at("lones", 1)), F.lit("")),
+            "currency": F.when(F.size("currencies") == 1, F.element_at("currencies", 1)),
+            "date_order": F.when(F.size(orders) > 1, F.lit("mixed")).when(F.size(orders) == 1, F.element_at(orders, 1)).when(F.size("date_votes") > 0, F.lit("unsettled")).otherwise(F.lit("")),
+        }
+    ).drop("votes", "marks", "date_vote", "first_both", "lone", "settled", "lones", "currencies", "date_votes")
+    read = facts.withColumns({f"{c}_c": parse_cents(F.col(c), F.col("mark")) for c in money})
     debit, credit = F.nullif("debit_c", F.lit(0)), F.nullif("credit_c", F.lit(0))
     # A zero on the unused side of a split row is no amount.
     split = F.when(debit.isNotNull(), -F.abs(debit)).when(credit.isNotNull(), F.abs(credit)).otherwise(F.coalesce("debit_c", "credit_c"))
@@ -129,32 +146,26 @@ def parse_csv(files: DataFrame) -> Statements:
     unreadable = F.lit(False)
     for c in money:
         seen = ~_blank(c) & F.col(f"{c}_c").isNull()
-        unreadable = unreadable | (F.when(F.col("has_amount"), F.lit(False)).otherwise(seen) if c in ("debit", "credit") else seen)
-    both = ~F.col("has_amount") & debit.isNotNull() & credit.isNotNull()
-    read = read.withColumn("code", F.when(unreadable, F.lit("unreadable_amount")).when(both, F.lit("both_sides")))
-    by_row = read.filter(F.col("code").isNotNull()).groupBy("statement_id").agg(F.min(F.struct("row", "code")).alias("first")).select("statement_id", "first.code", "first.row")
-    by_file = rows.filter(F.col("code").isNotNull()).select("statement_id", "code", "row")
-    by_date = facts.filter(F.col("date_order").isin("mixed", "unsettled")).select("statement_id", F.concat(F.lit("dates_"), "date_order").alias("code"), F.lit(0).alias("row"))
-    with_amount = read.groupBy("statement_id").agg(F.count("amount_cents").alias("n"))
-    empty = facts.join(with_amount, "statement_id", "left").filter(F.coalesce("n", F.lit(0)) == 0).join(by_file, "statement_id", "left_anti").select("statement_id", F.lit("no_amounts").alias("code"), F.lit(0).alias("row"))
-    refusals = by_file.unionByName(by_date).unionByName(by_row).unionByName(empty).groupBy("statement_id").agg(F.min(F.struct("row", "code")).alias("first")).select("statement_id", "first.code", "first.row")
-    lines = (
-        read.join(refusals.select("statement_id"), "statement_id", "left_anti")
-        .filter(F.col("amount_cents").isNotNull())
-        .join(facts.select("statement_id", "currency"), "statement_id")
-        .select(
-            "statement_id",
-            "row",
-            resolve_date(F.col("date"), F.col("date_order")).alias("date"),
-            F.coalesce("description", F.lit("")).alias("description"),
-            "amount_cents",
-            F.col("balance_c").alias("balance_cents"),
-            "currency",
-            F.from_json("cells", "map<string,string>").alias("raw"),
-        )
+        unreadable = unreadable | (~F.col("has_amount") & seen if c in ("debit", "credit") else seen)
+    two_sided = ~F.col("has_amount") & debit.isNotNull() & credit.isNotNull()
+    head = (F.col("row") == 0) & F.col("date_order").isin("mixed", "unsettled")
+    code = F.coalesce("code", F.when(unreadable, F.lit("unreadable_amount")).when(two_sided, F.lit("both_sides")).when(head, F.concat(F.lit("dates_"), "date_order")))
+    read = read.withColumn("code", code)
+    read = read.withColumns({"refused": F.min(F.when(F.col("code").isNotNull(), F.struct("row", "code"))).over(whole), "n_amounts": F.count("amount_cents").over(whole)})
+    read = read.withColumn("refused", F.coalesce("refused", F.when(F.col("n_amounts") == 0, F.struct(F.lit(0).alias("row"), F.lit("no_amounts").alias("code")))))
+    refusals = read.filter((F.col("row") == 0) & F.col("refused").isNotNull()).select("statement_id", "refused.code", "refused.row")
+    lines = read.filter(F.col("refused").isNull() & (F.col("row") > 0) & F.col("amount_cents").isNotNull()).select(
+        "statement_id",
+        "row",
+        resolve_date(F.col("date"), F.col("date_order")).alias("date"),
+        F.coalesce("description", F.lit("")).alias("description"),
+        "amount_cents",
+        F.col("balance_c").alias("balance_cents"),
+        "currency",
+        F.from_json("cells", "map<string,string>").alias("raw"),
     )
     nothing = F.lit(None).cast("bigint")
-    statements = facts.join(refusals.select("statement_id"), "statement_id", "left_anti").select(
+    statements = read.filter(F.col("refused").isNull() & (F.col("row") == 0)).select(
         "statement_id",
         F.lit("csv").alias("source"),
         F.col("mark").alias("decimal_separator"),
