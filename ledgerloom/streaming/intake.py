@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerloom.plans.pipeline import audit_statements
-from ledgerloom.sources.statements import parse
+from ledgerloom.sources.statements import Statements, parse
 
 
 def watch(spark: SparkSession, inbox: str, store: str, checkpoint: str, on_change: Callable[[DataFrame, int], None] | None = None, once: bool = True) -> StreamingQuery:
@@ -24,16 +24,18 @@ def watch(spark: SparkSession, inbox: str, store: str, checkpoint: str, on_chang
     def take(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
         batch = batch.persist()
+        parsed: tuple[DataFrame, ...] = ()
         try:
             fresh = batch.dropDuplicates(["statement_id"])
-            parsed = parse(fresh)
+            parsed = Statements(*(df.persist() for df in parse(fresh)))
             audit = audit_statements(parsed)
             for name, df in (("lines", parsed.lines), ("states", audit.states), ("findings", audit.findings), ("refusals", parsed.refusals)):
                 df.write.mode("overwrite").parquet(f"{store}/{name}/batch={number}")
             if on_change:
                 on_change(session.read.parquet(f"{store}/findings/batch={number}"), number)
         finally:
-            batch.unpersist()
+            for df in (batch, *parsed):
+                df.unpersist()
 
     writer = files.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
