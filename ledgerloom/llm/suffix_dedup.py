@@ -32,7 +32,8 @@ from ledgerloom.llm.suffix_sort import common, deep_shallow_sort
 
 LENGTH = 200
 GRAM = 32
-MOST_TOGETHER = 2_000
+#: At most so many surroundings of a gram, of under 400 bytes each, are sorted in one task: some megabytes.
+MOST_TOGETHER = 20_000
 PIECE = 4_000_000
 
 _P = 0x9E3779B97F4A7C15
