@@ -1,4 +1,4 @@
-"""Cross-footing receipts against themselves and against charges: checks of three values and one verdict.
+"""Checking receipts against themselves and against charges: checks of three values and one verdict.
 
 Receipts come as columns subtotal_cents, tax_cents, tip_cents, fees_cents, discount_cents, total_cents, each with an optional
 companion ``<field>_present`` (true where the field is printed, readable or not), items (array of struct with

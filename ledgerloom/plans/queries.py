@@ -274,7 +274,7 @@ def pairing_assign(spark, sf_dir):
     return pairing.assign(charges, pairing.candidates(charges, receipts)).select("statement_id", "row", "outcome", "receipt_id")
 
 
-# Cross-footing: an order as a receipt of its lines; figures are perturbed by key so that every answer occurs.
+# Verdicts: an order as a receipt of its lines; figures are perturbed by key so that every answer occurs.
 
 _RECEIPTS = """
 WITH i AS (SELECT l_orderkey, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS items, count(*) AS n FROM lineitem GROUP BY l_orderkey),
@@ -310,7 +310,7 @@ def order_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_RECEIPTS + "SELECT o_orderkey, c1, c2, c3, c4, verdict FROM v")
-def crossfoot_orders(spark, sf_dir):
+def receipt_checks(spark, sf_dir):
     made = verdict.reconcile(order_pairs(spark, sf_dir))
     return made.select("o_orderkey", *(F.element_at("checks", i)["ok"].alias(f"c{i}") for i in range(1, 5)), "verdict")
 
