@@ -200,3 +200,14 @@ def test_greedy_search_finds_neighbours():
     hits = [len(set(np.argsort(-scores[i])[:10]) & set(places[i])) for i in range(50)]
     assert np.mean(hits) / 10 > 0.95
     assert np.allclose(exact, np.einsum("qd,qnd->qn", x[:50], x[places]))
+
+
+def test_greedy_search_reaches_every_cluster():
+    rng = np.random.default_rng(2)
+    x = np.repeat(rng.normal(size=(80, 32)), 20, axis=0) + 0.05 * rng.normal(size=(1600, 32))
+    x = rng.permutation(x / np.linalg.norm(x, axis=1)[:, None])
+    queries, x = x[:60], x[60:]
+    near = np.argsort(-(x @ x.T), axis=1)[:, 1:13]
+    places, _ = greedy_search(x, near, queries, np.full(60, -1), 64, 10)
+    hits = [len(set(np.argsort(-(x @ q))[:10]) & set(found)) for q, found in zip(queries, places)]
+    assert np.mean(hits) / 10 > 0.95
