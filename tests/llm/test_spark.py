@@ -139,6 +139,25 @@ def test_mixing(spark, docs, rows):
     assert mixing.mix_sources(docs.limit(0), targets).count() == 0
 
 
+def test_mixing_of_rare_sources(spark):
+    rows = [(i, "x" * 600_000, "a") for i in range(2)] + [(2, None, None), (3, "y" * 99, "b"), (4, "z" * 999, "c"), (5, "zz" * 500, "c")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    weight = Counter()
+    for _, t, s in rows:
+        weight[s] += len(t or "") + 1
+    mixed = mixing.mix_sources(df).groupBy("doc_id").agg(F.count("*"), F.countDistinct("copy"), F.max("copy"), F.max("n_copies"), F.countDistinct("shuffle_key"))
+    got = {r[0]: list(r[1:]) for r in mixed.collect()}
+    rates = {i: sum(weight.values()) / 4 / weight[s] for i, _, s in rows}
+    assert rates[2] > 250_000 and 2_500 < rates[3] < 3_500 and 100 < rates[4] < 200
+    for i, rate in rates.items():
+        u = int(hashlib.md5(f"17:{i}".encode()).hexdigest()[:13], 16) / 2**52
+        n, reached = -1, 0.0
+        while reached <= u:
+            n += 1
+            reached += math.exp(n * math.log(rate) - rate - math.lgamma(n + 1))
+        assert got.get(i, [0] * 5) == [n] * 5 or rate > 1e5 and abs(got[i][0] - n) <= 1 and got[i] == [got[i][0]] * 5
+
+
 def classes(rows):
     """Brute force: links between all pairs, then components."""
     real = [(i, t) for i, t, *_ in rows if i is not None and t is not None]
