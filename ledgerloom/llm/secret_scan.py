@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns plus a token-efficiency test.
 
 A run of 20 or more credential characters that a tiktoken vocabulary can only write with few characters per token is a
-random string; words, even unusual ones, take fewer tokens. Known digests (hexadecimal of a digest's length, UUIDs) and
-identifiers (words or numbers joined by separators or by capitals) are excluded before the test.
+random string; words, even unusual ones, take fewer tokens. Known digests (hexadecimal of a digest's length, UUIDs), numbers
+and identifiers (words joined by separators or by capitals, which by themselves take few tokens) are excluded.
 
 Edge cases: a null text counts as empty; texts are scanned whole; patterns never retry inside a failing match. Repeated
 rows give repeated results, an empty table gives an empty table, and other columns are ignored unless kept.
@@ -62,17 +62,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def known(string: str) -> bool:
-    """Whether a run is a digest or an identifier, which say nothing secret by themselves."""
+    """Whether a run is a digest or made of numbers, which say nothing secret by themselves."""
     if _UUID.fullmatch(string) or len(string) in DIGEST_LENGTHS and _ALL_HEX.fullmatch(string):
         return True
-    parts = _PART.findall(string)
-    if not parts:
-        return True
-    words = [p for p in parts if not p.isdigit()]
-    if not words:  # numbers, dates, versions
-        return True
-    # Names are made of words: few parts for their letters, and few numbers between them.
-    return sum(map(len, words)) >= 4 * len(words) and len(parts) <= 2 * len(words) + 1
+    return all(p.isdigit() for p in _PART.findall(string))  # numbers, dates, versions
 
 
 class Scanner:
@@ -85,11 +78,20 @@ class Scanner:
         self.encoding = tiktoken.Encoding("scan", pat_str=public_tokenizers.PATTERN, mergeable_ranks=tiktoken_ranks(vocabulary_path(vocabulary)), special_tokens={})
         self.max_ratio = max_ratio
 
+    def tokens(self, string: str) -> int:
+        return sum(len(self.encoding.encode_ordinary(string[i : i + _PIECE])) for i in range(0, len(string), _PIECE))
+
+    def identifier(self, string: str) -> bool:
+        """Whether a run is made of words: few parts for its letters, few numbers between them, and few tokens for each part."""
+        parts = _PART.findall(string)
+        words = [p for p in parts if not p.isdigit()]
+        letters = sum(map(len, words))
+        return letters >= 4 * len(words) and len(parts) <= 2 * len(words) + 1 and letters > self.max_ratio * sum(map(self.tokens, words))
+
     def random(self, string: str) -> bool:
-        if len(string) < MIN_LENGTH or known(string):
+        if len(string) < MIN_LENGTH or known(string) or len(string) > self.max_ratio * self.tokens(string):
             return False
-        tokens = sum(len(self.encoding.encode_ordinary(string[i : i + _PIECE])) for i in range(0, len(string), _PIECE))
-        return len(string) <= self.max_ratio * tokens
+        return not self.identifier(string)
 
     def spans(self, text: str | None) -> list[tuple[int, int, int]]:
         if not text:

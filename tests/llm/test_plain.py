@@ -211,3 +211,15 @@ def test_greedy_search_reaches_every_cluster():
     places, _ = greedy_search(x, near, queries, np.full(60, -1), 64, 10)
     hits = [len(set(np.argsort(-(x @ q))[:10]) & set(found)) for q, found in zip(queries, places)]
     assert np.mean(hits) / 10 > 0.95
+
+
+def test_secrets_of_one_case():
+    scanner = secret_scan.Scanner()
+    rng = random.Random(9)
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for letters in (upper, upper.lower(), upper + "234567", upper.lower() + "0123456789"):
+        hits = sum(bool(scanner.spans("key " + "".join(rng.choice(letters) for _ in range(32)) + " end")) for _ in range(200))
+        assert hits >= 180
+    assert scanner.spans("JBSWY3DPEHPK3PXPJBSWY3DPEHPK3PXP")
+    for name in ("otorhinolaryngologist_praxis_verzeichnis", "XMLHttpRequestFactoryBean", "MAX_CONNECTION_RETRY_COUNT_TOTAL", "Donaudampfschifffahrtsgesellschaft"):
+        assert not scanner.spans(name)
