@@ -1,5 +1,6 @@
 """Parts of the operators without Spark, against brute force."""
 
+import hashlib
 import random
 import re
 from collections import Counter, defaultdict
@@ -223,3 +224,18 @@ def test_secrets_of_one_case():
     assert scanner.spans("JBSWY3DPEHPK3PXPJBSWY3DPEHPK3PXP")
     for name in ("otorhinolaryngologist_praxis_verzeichnis", "XMLHttpRequestFactoryBean", "MAX_CONNECTION_RETRY_COUNT_TOTAL", "Donaudampfschifffahrtsgesellschaft"):
         assert not scanner.spans(name)
+
+
+def test_secrets_inside_paths():
+    scanner = secret_scan.Scanner()
+    rng = random.Random(10)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for start, size, more in (("config/services/payments/production/credentials/primary/", 32, ""), ("storage.example.com/private/downloads/", 24, ""), ("cdn.example.net/assets/images/gallery/", 24, "/"), ("internationalisationconfiguration", 40, "")):
+        hits = 0
+        for _ in range(100):
+            secret = "".join(rng.choice(letters + more) for _ in range(size - 1)) + "x"
+            text = f"see {start}{secret} now"
+            hits += "".join(text[a:b] for a, _, b in scanner.spans(text)).find(secret[4:-4]) >= 0
+        assert hits >= 90, start
+    for clean in ("config/services/payments/production/credentials/primary/index.html", "blog.example.com/2019/05/12/17/30/a-title-of-many-words", "static.example.com/assets/javascript/application/production/downloads/resources/" + hashlib.sha1(b"a").hexdigest() + "/app.js", "files/123e4567-e89b-12d3-a456-426614174000/download"):
+        assert not [s for s in scanner.spans(clean) if s[1] == 3], clean
