@@ -43,7 +43,11 @@ BOILERPLATE = (
     "terms of service",
     "terms of use",
 )
-_SEPARATED = re.compile(r"\s(?:[|>»•·/])\s")
+_SEPARATED = re.compile(r"\s*\|\s*|\s[>»•·/]\s")
+#: So many successive lines of few words without closing punctuation are a list of links; fewer are headings.
+LIST_LINES = 5
+LIST_WORDS = 3
+LIST_CHARS = 40
 
 FIELDS = T.StructType(
     [
@@ -67,7 +71,7 @@ def line_fails(line: str) -> bool:
 
     A line fails if it is short and holds a boilerplate phrase, if it is a row of short separated items (a menu), or if
     its words are mostly decorated with symbols. Lines without closing punctuation fail only when very short and
-    without any letter: headings and verse are clean text.
+    without any letter, or many together (``listed``): headings and verse are clean text.
     """
     stripped = line.strip()
     n = len(stripped)
@@ -75,9 +79,8 @@ def line_fails(line: str) -> bool:
         low = stripped.lower()
         if any(x in low for x in BOILERPLATE):
             return True
-    parts = stripped.count("|") + stripped.count(" > ") + stripped.count(" » ") + stripped.count(" • ")
-    if parts >= 3:
-        items = _SEPARATED.split(stripped)
+    if sum(map(stripped.count, "|>»•·/")) >= 3:
+        items = [x for x in _SEPARATED.split(stripped) if x]
         if len(items) > 3 and sum(len(x.split()) for x in items) <= 3 * len(items):
             return True
     marks = sum(map(stripped.count, SYMBOLS))
@@ -86,6 +89,24 @@ def line_fails(line: str) -> bool:
     return not stripped.endswith(_END) and n < 4 and not _WORD_LETTERS.search(stripped)
 
 
+def listed(lines: Sequence[str]) -> set[int]:
+    """Places of lines in runs of at least LIST_LINES short lines without closing punctuation; blank lines don't end a run."""
+    found, run = set(), []
+    for i, line in enumerate(lines):
+        stripped = line.strip()
+        if not stripped:
+            continue
+        if len(stripped) <= LIST_CHARS and not stripped.endswith(_END) and len(stripped.split()) <= LIST_WORDS:
+            run.append(i)
+            continue
+        if len(run) >= LIST_LINES:
+            found.update(run)
+        run = []
+    if len(run) >= LIST_LINES:
+        found.update(run)
+    return found
+
+
 def repeated_words(words: Sequence) -> int:
     """Words that lie in a 3-word window found twice or more in the text, the first one included."""
     n = len(words)
@@ -113,13 +134,14 @@ def judge(text: str | None) -> tuple:
     repeats = repeated_words(words)
     base_failed = n_words < MIN_WORDS or 100 * repeats > MAX_REPEAT_PERCENT * n_words
     lines, seen, dups, failed, lost, clean = text.split("\n"), set(), 0, 0, 0, []
-    for line in lines:
+    short = listed(lines)
+    for i, line in enumerate(lines):
         if line.strip(" \t\x0b\x0c\r"):
             if line in seen:
                 dups += 1
             else:
                 seen.add(line)
-            if line_fails(line):
+            if i in short or line_fails(line):
                 failed += 1
                 lost += len(line) - sum(map(line.count, " \t\x0b\x0c\r"))
                 continue

@@ -239,3 +239,15 @@ def test_secrets_inside_paths():
         assert hits >= 90, start
     for clean in ("config/services/payments/production/credentials/primary/index.html", "blog.example.com/2019/05/12/17/30/a-title-of-many-words", "static.example.com/assets/javascript/application/production/downloads/resources/" + hashlib.sha1(b"a").hexdigest() + "/app.js", "files/123e4567-e89b-12d3-a456-426614174000/download"):
         assert not [s for s in scanner.spans(clean) if s[1] == 3], clean
+
+
+def test_quality_of_menus():
+    menu = [f"Item {chr(97 + i % 26)}{i}" for i in range(60)]
+    for page in ("\n".join(menu), "\n\n".join(menu)):
+        assert quality.judge(page)[6] is False and quality.judge(page)[-1].strip() == ""
+    for line in ("Home|About|News|Login", "Home · About · News · Login", "Home / About / News / Login"):
+        assert quality.line_fails(line)
+    assert not quality.line_fails("and/or his/her him/her are written so") and not quality.line_fails("a heading")
+    rng = random.Random(3)
+    prose = "\n".join(f"A heading\n{' '.join(f'word{rng.randrange(500)}' for _ in range(9))}." for _ in range(12))
+    assert quality.judge(prose)[6] and quality.judge(prose)[-1] == prose
