@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 STATES = ("possible duplicate", "failed", "ambiguous", "unverified", "filed")
-_AMBIGUOUS = ("ambiguous", "unnamed", "contested")
+_AMBIGUOUS = ("ambiguous", "unnamed")
 
 
 def items(reconciled: DataFrame) -> DataFrame:
