@@ -1,78 +1,15 @@
-"""What the operators of this subpackage share: scratch tables, per-text workers, vocabulary files."""
+"""What the operators of this subpackage share: per-text workers, vocabulary files."""
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-_SCRATCH: dict[str, list[str]] = {}
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests, a laptop) a local folder is made and set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jdir.isDefined():
-            root = jdir.get()
-        else:
-            import tempfile
-
-            root = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
-            spark.sparkContext.setCheckpointDir(root)
-            root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return root.rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once to the shared folder and reread: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/ledgerloom-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    app = spark.sparkContext.applicationId
-    if app not in _SCRATCH:
-        _SCRATCH[app] = []
-        atexit.register(_sweep, spark, app)
-    _SCRATCH[app].append(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._ledgerloom_path = path
-    return out
-
-
-def release(df: DataFrame | None) -> None:
-    """Deletes the table behind a frame from ``written`` that no later plan reads."""
-    path = getattr(df, "_ledgerloom_path", None)
-    if path:
-        _delete(df.sparkSession, path)
-        for paths in _SCRATCH.values():
-            if path in paths:
-                paths.remove(path)
-
-
-def _sweep(spark: SparkSession, app: str) -> None:
-    for path in _SCRATCH.pop(app, []):
-        try:
-            _delete(spark, path)
-        except Exception:  # noqa: BLE001 - the session may be gone at exit
-            return
-
-
 def map_texts(df: DataFrame, text: str, make: Callable[[], Callable[[Sequence[str | None]], dict[str, list]]], fields: T.StructType, keep: Sequence[str]) -> DataFrame:
     """One output row for each input row: the columns ``keep`` as they are, then ``fields``.
 

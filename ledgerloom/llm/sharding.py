@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ledgerloom.llm.common import release, written
+from ledgerloom.scratch import release, written
+
 
 FIXED_BYTES = 16
 RANGES_PER_SHARD = 16
