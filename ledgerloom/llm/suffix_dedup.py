@@ -7,9 +7,12 @@ suffixes from the anchors are put in order by deep-shallow sorting (multikey qui
 tries). Neighbours in that order give common lengths to the right, the bytes before the anchors common lengths to the
 left, and both together say exactly which windows occur twice.
 
-Equal texts are folded by digest first; a text of 200 bytes or more that occurs twice goes as a whole. A gram in more
-than ``MOST_TOGETHER`` places is not sorted in one task: equal surroundings are folded, and the windows of the others are
-counted by 128-bit digest, both with partial aggregation, which spreads over all tasks and gives the same answer.
+Equal texts are folded by digest first; a text of 200 bytes or more that occurs twice goes as a whole. The surroundings of a
+gram in more than ``TOGETHER`` places are split before they are sorted: windows that begin within a range of distances before
+the anchor all hold the same core of bytes around it, so only surroundings with equal cores can share such a window. A
+quarter of the range makes the core longer and the group smaller; surroundings that have become equal are folded, by partial
+aggregation, and groups still over ``TOGETHER`` are split again, at last into single windows, which are all core. So
+every task sorts a bounded group, however frequent a gram is, and every window is compared with all its equals.
 
 Edge cases: a null text counts as empty; texts under 200 bytes lose nothing; repeats inside one text count. Whole texts
 are treated, in pieces of ``PIECE`` bytes that overlap by 199. An empty table gives an empty table; other columns are
@@ -27,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import release, written
 from ledgerloom.llm.suffix_sort import common, deep_shallow_sort
+from ledgerloom.scratch import release, written
 
 LENGTH = 200
 GRAM = 32
-#: At most so many surroundings of a gram, of under 400 bytes each, are sorted in one task: some megabytes.
-MOST_TOGETHER = 20_000
+#: So many surroundings, of under 400 bytes each, are sorted as one group; larger groups are split.
+TOGETHER = 1_000
 PIECE = 4_000_000
 
 _P = 0x9E3779B97F4A7C15
@@ -108,7 +111,9 @@ def repeated_windows(contexts: list[tuple[bytes, bytes, int]], length: int, gram
         places[context].append(i)
     distinct = list(places)
     out: list[list[tuple[int, int]]] = [[] for _ in contexts]
-    order, shared = deep_shallow_sort([c[1] for c in distinct], gram) if len(distinct) > 1 else ([0], [gram])
+    # Grams are grouped by hash; where two different ones meet, nothing is taken for granted.
+    start = gram if len({c[1][:gram] for c in distinct}) == 1 else 0
+    order, shared = deep_shallow_sort([c[1] for c in distinct], start) if len(distinct) > 1 else ([0], [start])
     for n, d in enumerate(order):
         left, right, windows = distinct[d]
         most, least = len(left), len(left) - windows + 1
@@ -207,11 +212,14 @@ _SPAN = "k1 bigint, k2 bigint, a bigint, b bigint"
 
 
 def _spans_of_groups(length: int, gram: int):
-    """Spans from contexts that arrive sorted by gram; only one gram's contexts are held at a time."""
+    """Spans from (key, k1, k2, place, lo, hi, left, right, alone) rows that arrive sorted by key; only one key's rows are held at a time.
 
-    def solve(h: list[tuple[int, int, int, bytes, bytes]]) -> list[tuple[int, int, int, int]]:
-        found = repeated_windows([(left, right, (spot & 255) + 1) for _, _, spot, left, right in h], length, gram)
-        return [(k1, k2, (spot >> 16) - most, (spot >> 16) - least + length) for (k1, k2, spot, _, _), spans in zip(h, found) for least, most in spans]
+    Rows that stand for several equal ones aren't ``alone``: their spans are known, and they are only met by others.
+    """
+
+    def solve(rows: list[tuple]) -> list[tuple[int, int, int, int]]:
+        found = repeated_windows([(left, right, hi - lo + 1) for _, _, _, lo, hi, left, right, _ in rows], length, gram)
+        return [(k1, k2, place - most, place - least + length) for (k1, k2, place, _, _, _, _, alone), spans in zip(rows, found) if alone for least, most in spans]
 
     def batch_of(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["k1", "k2", "a", "b"])
@@ -219,15 +227,15 @@ def _spans_of_groups(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, made = None, [], []
         for batch in batches:
-            for h, k1, k2, spot, left, right in zip(*(c.to_pylist() for c in batch.columns)):
-                if h != now:
+            for key, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != now:
                     if len(held) > 1:
                         made += solve(held)
-                    now, held = h, []
+                    now, held = key, []
                     if len(made) > 20_000:
                         yield batch_of(made)
                         made = []
-                held.append((k1, k2, spot, left, right))
+                held.append(row)
         if len(held) > 1:
             made += solve(held)
         if made:
@@ -236,31 +244,6 @@ def _spans_of_groups(length: int, gram: int):
     return run
 
 
-def _window_rows(length: int):
-    """(w1, w2, k1, k2, a, alone): the digest of each window of the contexts and where it starts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["w1", "w2", "k1", "k2", "a", "alone"]
-        for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                out: list[list] = [[], [], [], [], [], []]
-                part = batch.slice(at, 128)
-                for k1, k2, spot, left, right, alone in zip(*(c.to_pylist() for c in part.columns)):
-                    body, first = left + right, (spot >> 16) - (spot >> 8 & 255)
-                    for i in range((spot & 255) + 1):
-                        digest = hashlib.blake2b(body[i : i + length], digest_size=16).digest()
-                        out[0].append(int.from_bytes(digest[:8], "little", signed=True))
-                        out[1].append(int.from_bytes(digest[8:], "little", signed=True))
-                        out[2].append(k1)
-                        out[3].append(k2)
-                        out[4].append(first + i)
-                        out[5].append(alone)
-                types = [pa.int64()] * 5 + [pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
-
-    return run
-
-
 def _cut_rows():
     """(k1, k2, n_removed, n_spans, kept_sha256) from text and spans."""
 
@@ -284,33 +267,67 @@ def _cut_rows():
     return run
 
 
-def _span_lists(contexts: DataFrame, grams: DataFrame, length: int, gram: int, most_together: int) -> DataFrame:
-    """(k1, k2, spans) over all grams, one row of ``grams`` for each context; frequent grams go by counting."""
-    frequent = grams.groupBy("h").count().filter(F.col("count") > most_together).select("h")
-    frequent = written(frequent, "suffix-frequent")
-    usual = contexts
-    spans = None
-    if frequent.limit(1).count():
-        usual = contexts.join(frequent, "h", "left_anti")
-        hot = contexts.join(frequent, "h", "left_semi").withColumns({"shape": F.col("spot").bitwiseAND(F.lit(65535)), "digest": F.md5(F.concat("left", "right"))})
-        hot = written(hot, "suffix-hot")
-        # Equal contexts repeat as a whole: one row for each, whatever their number, and one of them stands for all.
-        same = hot.groupBy("h", "digest", "shape").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "spot")).alias("first"))
-        known = hot.join(same, ["h", "digest", "shape"])
-        start = F.shiftright("spot", 16) - F.shiftright("shape", 8)
-        full = known.filter("n > 1").select("k1", "k2", start.alias("a"), (start + F.col("shape").bitwiseAND(F.lit(255)) + length).alias("b"))
-        asked = known.filter((F.col("n") == 1) | (F.struct("k1", "k2", "spot") == F.col("first")))
-        windows = asked.select("k1", "k2", "spot", "left", "right", (F.col("n") == 1).alias("alone")).mapInArrow(_window_rows(length), "w1 bigint, w2 bigint, k1 bigint, k2 bigint, a bigint, alone boolean")
-        where = F.struct("k1", "k2", "a")
-        twice = windows.groupBy("w1", "w2").agg(F.min(where).alias("x"), F.max(where).alias("y")).filter("x != y").select("w1", "w2")
-        hit = windows.filter("alone").join(twice, ["w1", "w2"], "left_semi")
-        spans = full.unionByName(hit.select("k1", "k2", "a", (F.col("a") + length).alias("b")))
-    sorted_spans = usual.repartition("h").sortWithinPartitions("h").select("h", "k1", "k2", "spot", "left", "right").mapInArrow(_spans_of_groups(length, gram), _SPAN)
-    spans = sorted_spans if spans is None else sorted_spans.unionByName(spans)
-    return spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-
-
-def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, most_together: int = MOST_TOGETHER) -> DataFrame:
+def _sorted_spans(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    columns = ("key", "k1", "k2", "place", "lo", "hi", "left", "right", "alone")
+    return rows.repartition("key").sortWithinPartitions("key").select(*columns).mapInArrow(_spans_of_groups(length, gram), _SPAN)
+
+
+def _folded(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Spans of what is equal throughout, and one row for each different surroundings of a key."""
+    rows = written(rows.withColumn("digest", F.unhex(F.md5(F.concat("left", "right")))), "suffix-rows")
+    by = ["key", "lo", "hi", "digest"]
+    one = F.min(F.struct("k1", "k2", "place")).alias("one")
+    same = written(rows.groupBy(*by).agg(F.count("*").alias("n"), F.bool_and("alone").alias("alone"), one, F.first("left").alias("left"), F.first("right").alias("right")), "suffix-same")
+    twice = rows.filter("alone").join(same.filter("n > 1").select(*by), by, "left_semi")
+    spans = twice.select("k1", "k2", (F.col("place") - F.col("hi")).alias("a"), (F.col("place") - F.col("lo") + length).alias("b"))
+    return spans, same.select("key", "one.*", "lo", "hi", "left", "right", (F.col("alone") & (F.col("n") == 1)).alias("alone"))
+
+
+def _quarters(rows: DataFrame, width: int, length: int, gram: int) -> DataFrame:
+    """Rows cut to ranges of ``width`` distances, four to each range of before, with keys of their longer cores."""
+    base = F.col("lo") - F.col("lo") % (4 * width)
+    parts = []
+    for quarter in range(4):
+        first = base + quarter * width
+        last = first + (width - 1)
+        part = rows.withColumns({"first": first, "last": F.least(last, F.lit(length - gram)), "low": F.greatest("lo", first), "high": F.least("hi", last)}).filter("low <= high")
+        left = F.substring("left", F.col("hi") - F.col("high") + 1, F.col("high"))
+        right = F.substring("right", F.lit(1), length - F.col("low"))
+        part = part.select("key", "k1", "k2", "place", "alone", "first", "last", "low", "high", left.alias("left"), right.alias("right"))
+        core = F.concat("key", F.substring("left", F.col("high") - F.col("first") + 1, F.col("first")), F.substring("right", F.lit(1), length - F.col("last")), F.to_binary(F.lpad(F.hex("first"), 4, "0"), F.lit("hex")))
+        parts.append(part.select(F.unhex(F.md5(core)).alias("key"), "k1", "k2", "place", F.col("low").alias("lo"), F.col("high").alias("hi"), "left", "right", "alone"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+def _span_lists(contexts: DataFrame, grams: DataFrame, length: int, gram: int, together: int) -> DataFrame:
+    """(k1, k2, spans) over all grams, one row of ``grams`` for each context; groups of frequent grams are split."""
+    frequent = written(grams.groupBy("h").count().filter(F.col("count") > together).select("h"), "suffix-frequent")
+    place, hi = F.shiftright("spot", 16), F.shiftright("spot", 8).bitwiseAND(F.lit(255)).cast("int")
+    lo = hi - F.col("spot").bitwiseAND(F.lit(255)).cast("int")
+    shaped = contexts.select("h", F.unhex(F.lpad(F.hex("h"), 16, "0")).alias("key"), "k1", "k2", place.alias("place"), lo.alias("lo"), hi.alias("hi"), "left", "right", F.lit(True).alias("alone"))
+    if not frequent.limit(1).count():
+        return _listed([_sorted_spans(shaped, length, gram)])
+    spans = [_sorted_spans(shaped.join(frequent, "h", "left_anti"), length, gram)]
+    rows, width = shaped.join(frequent, "h", "left_semi").drop("h"), 256
+    while True:
+        full, different = _folded(rows, length)
+        sizes = written(different.groupBy("key").count().filter("count > 1"), "suffix-sizes")
+        spans += [full, _sorted_spans(different.join(sizes.filter(F.col("count") <= together), "key"), length, gram)]
+        large = sizes.filter(F.col("count") > together).select("key")
+        if width == 1 or not large.limit(1).count():
+            return _listed(spans)
+        width //= 4
+        rows = _quarters(different.join(large, "key"), width, length, gram)
+
+
+def _listed(spans: list[DataFrame]) -> DataFrame:
+    every = spans[0]
+    for more in spans[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+
+
+def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, together: int = TOGETHER) -> DataFrame:
     """One row for each row: (doc_id, n_bytes, n_removed, n_spans, kept_sha256)."""
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     digest = F.sha2(body, 256)
@@ -339,7 +356,7 @@ def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text",
     some = texts.filter(F.col("spots").isNotNull())
     contexts = some.select("k1", "k2", "body", "spots").mapInArrow(_context_rows(length), _CONTEXT)
     places = some.select(F.explode("spots.h").alias("h"))
-    lists = written(_span_lists(contexts, places, length, gram, most_together), "suffix-spans")
+    lists = written(_span_lists(contexts, places, length, gram, together), "suffix-spans")
     cut = some.filter("not whole").select("k1", "k2", "body").join(lists, ["k1", "k2"], "left").select("k1", "k2", "body", "spans").mapInArrow(_cut_rows(), "k1 bigint, k2 bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
     zero, empty = F.lit(0).cast("bigint"), F.lit(hashlib.sha256(b"").hexdigest())
     plain = texts.filter(F.col("spots").isNull() | F.col("whole")).select(
