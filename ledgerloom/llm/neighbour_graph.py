@@ -1,20 +1,24 @@
 """Approximate nearest neighbours by inner product: NN-descent graphs and greedy graph search.
 
-Equal vectors are one node. Nodes are dealt by hash to blocks of about ``BLOCK`` nodes, each with a neighbour graph of its own, so
-every task holds a bounded block. NN-descent starts from random neighbours; in each round Spark joins every node's
+Equal vectors are one node. Nodes are dealt to cells, each around one of a sample of vectors (its pivot), and a cell's nodes
+to blocks of about ``BLOCK`` nodes, each with a neighbour graph of its own, so every task holds a bounded block.
+NN-descent starts from random neighbours; in each round Spark joins every node's
 neighbours (both directions) with their neighbours, and the candidates so found replace worse neighbours. Rounds stop when few
-neighbours change. A query walks each block's graph greedily: from entry nodes it goes on to the neighbours of the best nodes found,
+neighbours change. A query goes to the cells whose pivots are nearest to it, at least ``LEAST_CELLS`` of them and in
+proportion to the square root of their number, so the work grows with the table to the power of 1.5 at most. It walks the graphs of
+their blocks greedily: from entry nodes it goes on to the neighbours of the best nodes found,
 as long as the best ``BEAM`` hold one that was not expanded. The entries of a block are so many that every node is one or
 one link away from one, so clusters without links between them are all reached. Blocks' answers are merged by exact
 scores in double precision.
 
-Every row is indexed; nothing is sampled. Reverse neighbours beyond ``REVERSE`` take part in turn, by a hash that
-changes each round. Recall against brute force is measured in the tests (over 0.9 at ten and fifty thousand vectors of
-64 nearly independent components, the hardest case).
+Cells are those of Euclidean distance after one component more has made all vectors equally long, which turns the largest inner
+product into the least distance. Pivots are at most ``MOST_PIVOTS``, a bounded sample; every row is indexed. Of the reverse
+neighbours beyond ``REVERSE``, each round takes others, by a hash that changes.
 
 Edge cases: vectors that are null, zero, or hold a null or non-finite component take no part, neither as queries nor as
-candidates; vectors of different lengths are never compared. Equal scores go to the smaller id. Repeated rows are rows of their own; null ids
-take no part. An empty table gives an empty table; other columns are ignored.
+candidates; vectors of different lengths are never compared, and very long ones only make blocks heavier. Equal scores go to
+the smaller id. Repeated rows are rows of their own, and so are rows that share an id but not the vector: each such query row
+has a list of its own. Null ids take no part. An empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,9 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.llm.common import release, written
+from ledgerloom.scratch import release, written
+
 
 BLOCK = 4_096
+#: Nodes for each pivot, and the bound of the sample.
+PER_CELL = 2_048
+MOST_PIVOTS = 16_384
+LEAST_CELLS = 16
 NEIGHBOURS = 14
 REVERSE = 14
 MOST_ROUNDS = 6
@@ -130,13 +139,51 @@ def greedy_search(x: np.ndarray, links: np.ndarray, queries: np.ndarray, own: np
     return np.where(np.isfinite(scores[rows, places]), places, -1), exact
 
 
+class Router:
+    """Finds the cell of a vector and the cells that a query visits, among the pivots of the vector's length."""
+
+    def __init__(self, pivots: list[np.ndarray], longest: float):
+        self.pivots: dict[int, np.ndarray] = {}
+        for dim in {len(p) for p in pivots}:
+            self.pivots[dim] = np.stack([p for p in pivots if len(p) == dim])
+        self.rest = {dim: np.sqrt(np.maximum(longest**2 - (x**2).sum(axis=1), 0)) for dim, x in self.pivots.items()}
+        self.longest = longest
+
+    def homes(self, vectors: list[np.ndarray]) -> np.ndarray:
+        """The nearest pivot of each vector; 0 where none has its length."""
+        out = np.zeros(len(vectors), np.int32)
+        sizes = np.array([len(v) for v in vectors])
+        for dim in set(sizes.tolist()) & set(self.pivots):
+            for at in np.array_split(np.flatnonzero(sizes == dim), -(-int((sizes == dim).sum()) // 256)):
+                x = np.stack([vectors[i] for i in at])
+                rest = np.sqrt(np.maximum(self.longest**2 - (x**2).sum(axis=1), 0))
+                out[at] = (x @ self.pivots[dim].T + rest[:, None] * self.rest[dim]).argmax(axis=1)
+        return out
+
+    def visits(self, vector: np.ndarray) -> list[int]:
+        """The cells nearest to a query."""
+        if len(vector) not in self.pivots:
+            return [0]
+        scores = self.pivots[len(vector)] @ vector
+        n = min(len(scores), max(LEAST_CELLS, int(np.ceil(4 * len(scores) ** 0.5))))
+        return np.argpartition(-scores, n - 1)[:n].astype(np.int32).tolist()
+
+
+def _router(nodes: DataFrame, n: int, per_cell: int) -> Router:
+    """Pivots are a uniform sample of nodes, of bounded size."""
+    wanted = min(MOST_PIVOTS, -(-n // per_cell))
+    longest = nodes.agg(F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))).first()[0]
+    sample = nodes.orderBy(F.xxhash64("vector")).limit(wanted).select("vector").toPandas()["vector"]
+    return Router([np.asarray(v, float) for v in sample], float(longest) ** 0.5)
+
+
 def _searcher(k: int, beam: int):
     def search(key: tuple, index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        columns = ["query", "node", "score"]
+        columns = ["query", "node", "least", "score"]
         if not len(index) or not len(queries):
-            return pd.DataFrame({"query": np.empty(0, np.int64), "node": np.empty(0, np.int64), "score": np.empty(0)})
+            return pd.DataFrame({"query": np.empty(0, np.int64), "node": np.empty(0, np.int64), "least": np.empty(0, np.int64), "score": np.empty(0)})
         index = index.sort_values("local")
-        x, nodes = _stack(index["vector"]), index["node"].to_numpy(np.int64)
+        x, nodes, least = _stack(index["vector"]), index["node"].to_numpy(np.int64), index["least"].to_numpy(np.int64)
         m = len(x)
         width = max(1, max(map(len, index["links"])))
         links = np.repeat(np.arange(m)[:, None], width, axis=1)
@@ -151,11 +198,12 @@ def _searcher(k: int, beam: int):
             own = np.array([place.get(int(i), -1) for i in ids])
             places, exact = greedy_search(x, links, _stack(part["vector"]), own, beam, k, entries)
             good = places >= 0
-            order = np.lexsort((nodes[places], np.where(good, -exact, np.inf)), axis=1)[:, :k]
+            order = np.lexsort((least[places], np.where(good, -exact, np.inf)), axis=1)[:, :k]
             r = np.repeat(np.arange(len(ids)), order.shape[1])
             c = order.ravel()
             good = good[r, c]
-            parts.append(pd.DataFrame({"query": ids[r], "node": nodes[places[r, c]], "score": exact[r, c]})[good])
+            at_node = places[r, c]
+            parts.append(pd.DataFrame({"query": ids[r], "node": nodes[at_node], "least": least[at_node], "score": exact[r, c]})[good])
         return pd.concat(parts)[columns]
 
     return search
@@ -190,48 +238,63 @@ def _both_ways(graph: DataFrame, turn: int, most: int = REVERSE) -> DataFrame:
     return there.unionByName(back.withColumn("rank", rank).filter(F.col("rank") <= most).drop("rank")).distinct()
 
 
-def nearest(df: DataFrame, id_column: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, beam: int = BEAM, block: int = BLOCK) -> DataFrame:
+def nearest(df: DataFrame, id_column: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, beam: int = BEAM, block: int = BLOCK, per_cell: int = PER_CELL) -> DataFrame:
     """(query_id, rank, vec_id, score): for rows whose id is divisible by ``every``, the k rows of largest inner product."""
     spark = df.sparkSession
     rows = df.select(F.col(f"`{id_column}`").cast("bigint").alias("vec_id"), F.col(f"`{vector}`").cast("array<double>").alias("vector"))
     rows = written(rows.filter(F.col("vec_id").isNotNull() & _usable("vector")).groupBy("vec_id", "vector").agg(F.count("*").alias("times")), "ann-rows")
-    # Partial aggregation folds equal vectors before the shuffle, however many there are.
-    nodes = rows.groupBy("vector").agg(F.min("vec_id").alias("node"))
+    # Partial aggregation folds equal vectors before the shuffle, however many there are. Written numbers stay as they are.
+    nodes = rows.groupBy("vector").agg(F.min("vec_id").alias("least")).withColumn("node", F.monotonically_increasing_id())
     keys = written(nodes, "ann-nodes")
     n = keys.count()
     if not n:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    blocks = -(-n // block)
-    # Equal ids with different vectors are told apart by the vector's hash; the block's local number is the node's name inside.
-    home = F.xxhash64(F.size("vector"), F.pmod(F.xxhash64("node", "vector"), F.lit(blocks)))
-    placed = keys.withColumn("block", home).withColumn("local", (F.row_number().over(Window.partitionBy("block").orderBy("node", F.xxhash64("vector"))) - 1).cast("int"))
-    placed = written(placed, "ann-placed")
+    router = _router(keys, n, per_cell)
+
+    @F.pandas_udf("int")
+    def home(vectors: pd.Series) -> pd.Series:
+        return pd.Series(router.homes(vectors.to_list()))
+
+    @F.pandas_udf("array<int>")
+    def visits(vectors: pd.Series) -> pd.Series:
+        return vectors.map(router.visits)
+
+    celled = written(keys.withColumns({"dim": F.size("vector"), "cell": home("vector")}), "ann-celled")
     release(keys)
+    # One row for each pivot at most; a cell of more than a block's nodes is dealt to several blocks.
+    cells = written(celled.groupBy("dim", "cell").agg(F.ceil(F.count("*") / block).alias("blocks")), "ann-cells")
+    name = lambda part: F.xxhash64("dim", "cell", part).alias("block")
+    dealt = celled.join(cells, ["dim", "cell"]).select("node", "least", "vector", "dim", name(F.pmod(F.xxhash64("node"), "blocks")))
+    placed = dealt.withColumn("local", (F.row_number().over(Window.partitionBy("block").orderBy("node")) - 1).cast("int"))
+    placed = written(placed, "ann-placed")
     graph = written(build_graph(placed), "ann-links")
     none = F.expr("cast(array() as array<int>)")
-    index = placed.join(graph, ["block", "local"], "left").select("block", "local", "node", "vector", F.coalesce("links", none).alias("links"))
+    index = placed.join(graph, ["block", "local"], "left").select("block", "local", "node", "least", "vector", F.coalesce("links", none).alias("links"))
     # Members of a node in order of id: k + 1 suffice, as ties go to the smaller id and only the query's own row is left out.
     named = rows.join(placed.select("node", F.col("vector").alias("v")), F.col("vector") == F.col("v")).select("vec_id", "node", "times")
-    own = named.filter(F.col("vec_id") % every == 0).select("vec_id", "node", "times")
-    own = written(own, "ann-queries")
-    asked = placed.join(own.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("query"), "vector", F.size("vector").alias("dim"))
-    places = placed.select("block", F.size("vector").alias("dim")).distinct()
-    chunks = -(-own.select("node").distinct().count() // (4 * QUERIES_TOGETHER)) or 1
-    asked = asked.withColumn("chunk", F.pmod(F.xxhash64("query"), F.lit(chunks)).cast("int")).join(places, "dim").select("block", "chunk", "query", "vector")
-    asked = written(asked, "ann-asked")
-    spread = index.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    found = spread.groupBy("block", "chunk").cogroup(asked.groupBy("block", "chunk")).applyInPandas(_searcher(k + 1, beam), "query bigint, node bigint, score double")
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "node")
-    found = written(found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1).drop("r"), "ann-found")
+    own = written(named.filter(F.col("vec_id") % every == 0), "ann-queries")
+    asked = celled.join(own.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("query"), "vector", "dim", F.explode(visits("vector")).alias("cell"))
+    asked = asked.join(cells, ["dim", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    asked = written(asked.select("query", "vector", name(F.col("part"))), "ann-asked")
+    release(celled)
+    # Blocks that very many queries visit are searched by several tasks.
+    chunks = written(asked.groupBy("block").agg(F.ceil(F.count("*") / (4 * QUERIES_TOGETHER)).alias("chunks")), "ann-chunks")
+    asked = asked.join(chunks, "block").select("block", F.pmod(F.xxhash64("query"), "chunks").alias("chunk"), "query", "vector")
+    spread = index.join(chunks, "block").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))).drop("chunks")
+    found = spread.groupBy("block", "chunk").cogroup(asked.groupBy("block", "chunk")).applyInPandas(_searcher(k + 1, beam), "query bigint, node bigint, least bigint, score double")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "least")
+    found = written(found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1).drop("r", "least"), "ann-found")
     first = Window.partitionBy("node").orderBy("vec_id")
     members = named.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k + 1).select("node", "vec_id", "times")
     members = written(members.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("times", F.lit(k + 1)).cast("int")))).drop("times"), "ann-members")
-    lists = found.join(members, "node").select("query", "vec_id", "copy", "score")
-    ranked = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "copy")
+    lists = found.join(members, "node").select("query", "node", "vec_id", "copy", "score")
+    ranked = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "node", "copy")
     lists = lists.withColumn("r", F.row_number().over(ranked)).filter(F.col("r") <= k + 1)
-    lists = written(lists.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "copy", "score"))).alias("list")), "ann-lists")
-    # A query row leaves out one row of its own id; repeated query rows give repeated answers.
+    lists = written(lists.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("r", "node", "vec_id", "copy", "score"))).alias("list")), "ann-lists")
+    for used in (placed, graph, cells, chunks):
+        release(used)
+    # A query row leaves out itself; repeated query rows give repeated answers.
     hits = own.join(lists, F.col("node") == F.col("query")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    hits = hits.select(F.col("vec_id").alias("query_id"), F.expr("filter(list, x -> not (x.vec_id = vec_id and x.copy = 1))").alias("list"))
+    hits = hits.select(F.col("vec_id").alias("query_id"), F.expr("filter(list, x -> not (x.node = node and x.vec_id = vec_id and x.copy = 1))").alias("list"))
     out = hits.select("query_id", F.posexplode(F.slice("list", 1, k)))
     return out.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("col.vec_id").alias("vec_id"), F.col("col.score").alias("score"))
