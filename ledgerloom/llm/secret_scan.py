@@ -12,7 +12,9 @@ rows give repeated results, an empty table gives an empty table, and other colum
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
 from collections.abc import Sequence
 
@@ -153,6 +155,9 @@ class Scanner:
         if not text:
             return []
         found = base_spans(text)
+        starts = [a for a, _, _ in found]
+        reached = list(itertools.accumulate((b for _, _, b in found), max))
+        random = []
         for m in _RUN.finditer(text):
             string = m.group()
             start = m.start() + len(string) - len(string.lstrip("._-/"))
@@ -161,9 +166,10 @@ class Scanner:
                 continue
             parts = [(0, len(string))] if self.random(string) else self.inner(string)
             for a, b in ((start + a, start + b) for a, b in parts):
-                if not any(c <= a and b <= d for c, _, d in found):
-                    found.append((a, 3, b))
-        return sorted(found)
+                before = bisect.bisect_right(starts, a)
+                if not (before and reached[before - 1] >= b):  # no pattern's span holds it
+                    random.append((a, 3, b))
+        return sorted(found + random)
 
 
 def joined(spans: Sequence[tuple[int, int, int]]) -> str:
