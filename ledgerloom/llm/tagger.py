@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 import numpy as np
 
 #: Characters with a letter of their own; others fall into a few classes.
@@ -78,24 +76,39 @@ class Tagger:
         scores = both @ self.params["out"] + self.params["bias"]
         return (scores, both, f_saved, b_saved) if keep else scores
 
-    def decode(self, ids: np.ndarray) -> np.ndarray:
-        """The best tag sequence of each window (window, step)."""
-        scores = self.emissions(ids)
+    def decode(self, scores: np.ndarray) -> np.ndarray:
+        """The best tag sequence of each row of tag scores (row, step, tag); what precedes and follows is tag 0.
+
+        Rows shorter than the others are padded by scores that leave nothing but tag 0.
+        """
         trans = self.params["trans"]
-        length, n, k = scores.shape
-        best = scores[0] + self.params["start"]
+        n, length, k = scores.shape
+        best = trans[0] + scores[:, 0]
         back = np.empty((length, n, k), np.int8)
         for t in range(1, length):
             moved = best[:, :, None] + trans
             back[t] = moved.argmax(axis=1)
-            best = moved.max(axis=1) + scores[t]
+            best = moved.max(axis=1) + scores[:, t]
         tags = np.empty((n, length), np.int64)
-        tags[:, -1] = best.argmax(axis=1)
+        tags[:, -1] = (best + trans[:, 0]).argmax(axis=1)
         rows = np.arange(n)
         for t in range(length - 1, 0, -1):
             tags[:, t - 1] = back[t, rows, tags[:, t]]
         return tags
 
+    def open_places(self, scores: np.ndarray) -> np.ndarray:
+        """Where the best sequence over (step, tag) scores may have another tag than 0; elsewhere it surely has 0.
+
+        A run of other tags gains at most the sum of its steps' best margins over tag 0 and of the best transitions; a step
+        is open if some run that holds it can gain at all.
+        """
+        trans = self.params["trans"]
+        margins = (scores[:, 1:] - scores[:, :1]).max(axis=1).astype(np.float64) + (trans[1:, 1:].max() - trans[0, 0])
+        ends = float(trans[0, 1:].max() + trans[1:, 0].max() - trans[0, 0] - trans[1:, 1:].max())
+        sums = np.concatenate([[0.0], np.cumsum(margins)])
+        highest = np.maximum.accumulate(sums[:0:-1])[::-1]
+        return highest - np.minimum.accumulate(sums[:-1]) + ends > -1e-3
+
     def gradients(self, ids: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log likelihood of the tag sequences, and its gradients."""
         p, k = self.params, self.hidden
@@ -160,7 +173,3 @@ class Tagger:
                 self.params[k] -= pace * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
         return losses
 
-
-def batches(windows: Sequence[np.ndarray], most: int = 512):
-    for at in range(0, len(windows), most):
-        yield np.stack(windows[at : at + most])
