@@ -1,6 +1,7 @@
 """Parts of the operators without Spark, against brute force."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
@@ -247,7 +248,141 @@ def test_quality_of_menus():
         assert quality.judge(page)[6] is False and quality.judge(page)[-1].strip() == ""
     for line in ("Home|About|News|Login", "Home · About · News · Login", "Home / About / News / Login"):
         assert quality.line_fails(line)
-    assert not quality.line_fails("and/or his/her him/her are written so") and not quality.line_fails("a heading")
+    assert not quality.line_fails("and/or his/her him/her are written so", heads=True) and not quality.line_fails("a heading", heads=True)
     rng = random.Random(3)
     prose = "\n".join(f"A heading\n{' '.join(f'word{rng.randrange(500)}' for _ in range(9))}." for _ in range(12))
     assert quality.judge(prose)[6] and quality.judge(prose)[-1] == prose
+
+
+def test_quality_of_labelled_lines():
+    navigation = ["Home", "Menu", "Home | About", "Skip to content", "Next page", "Back to top", "Home » Blog » Archive", "Page 3 of 10", "1 2 3 4 Next", "12 comments", "https://example.com/a?b=c", "Log in", "Startseite", "News / Sport / Weather"]
+    boilerplate = ["(c) 2020 Acme Inc", "© 2019 Example Ltd.", "Copyright 2021 Acme.", "All rights reserved.", "Subscribe to our newsletter today!", "This site uses cookies, see our cookie policy.", "Please enable JavaScript to view this page.", "Posted by admin on May 3, 2014", "Powered by WordPress.", "Tous droits réservés.", "Read more..."]
+    bare = ["Quick facts", "Blue widget deluxe edition", "*** $$$ ###", "12 / 34 / 56", "Buy!! now!! cheap!! cheap!! shoes!!", "The### best$$$ price*** of%%% all&&& time"]
+    prose = ["It was late, and nobody had come home.", "She said: \"Go on.\"", "Yes.", "He asked about the menu and the price of the wine.", "See the next page of the report for details.", "the rain fell on the roof and on the street below", "Version 2.0 was released on May 3, 2014, after a long delay.", "A rate of 3/4 or 5/8 is usual here.", "¿Dónde está la casa?", "Wow! It works! He ran home!", "Her news about the account came as a shock."]
+    for line in navigation:
+        assert quality.navigation(line), line
+    for line in boilerplate:
+        assert quality.boilerplate(line), line
+    for line in bare:
+        assert quality.line_fails(line), line
+    for line in prose:
+        assert not quality.line_fails(line), line
+    long = "He wrote that the privacy policy of the company had been changed without notice, " + "and that nobody had read it " * 5 + "at all."
+    assert len(long) > 200 and not quality.line_fails(long)
+
+
+def test_quality_rejects_what_loses_its_text():
+    rng = random.Random(7)
+    sentence = lambda n: " ".join(f"word{rng.randrange(900)}" for _ in range(n)) + "."
+    junk = lambda: f"Copyright 2020 {sentence(11)}"
+    for n_junk, kept in ((4, True), (40, False)):
+        lines = [sentence(13) for _ in range(10)] + [junk() for _ in range(n_junk)]
+        rng.shuffle(lines)
+        made = quality.judge("\n".join(lines))
+        clean = [x for x in lines if not x.startswith("Copyright")]
+        assert not made[5] and made[6] is kept and made[8] == n_junk and made[-1] == "\n".join(clean)
+        lost = sum(len("".join(x.split())) for x in lines if x not in clean)
+        assert made[9] == lost and kept == (100 * lost <= 60 * made[1])
+    text = "A heading\n\n" + sentence(12) + "\nTwo lines\nof a list\n" + sentence(12)
+    assert quality.judge(text)[-1] == text.replace("\nTwo lines\nof a list", "")
+
+
+def test_secrets_in_prose_and_code():
+    import argparse
+    import inspect
+    import json.decoder
+    import pydoc_data.topics
+
+    scanner = secret_scan.Scanner()
+    texts = [inspect.getsource(argparse), inspect.getsource(json.decoder), inspect.getsource(random), "\n".join(pydoc_data.topics.topics.values())]
+    found = [t[a:b] for t in texts for a, k, b in scanner.spans(t) if k == 3]
+    assert len(found) <= sum(map(len, texts)) / 50_000, found
+
+
+def test_secrets_are_those_of_brute_force():
+    scanner, rng = secret_scan.Scanner(), random.Random(12)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+    def brute(text):
+        """Whole runs that the ratio alone decides; the words here have no separators."""
+        out = []
+        for m in re.finditer(r"[A-Za-z0-9+/_.-]{20,}", text):
+            low = 100 * len(m.group()) <= 195 * len(scanner.encoding.encode_ordinary(m.group()))
+            if low and not any(a <= m.start() and m.end() <= b for a, _, b in secret_scan.base_spans(text)):
+                out.append(m.span())
+        return out
+
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 30)):
+            secret = "".join(rng.choice(letters) for _ in range(rng.randint(22, 40)))
+            parts.append(rng.choice([secret, f"password={secret}", "internationalisation", "a few words", hashlib.md5(secret.encode()).hexdigest(), "token: short"]))
+        text = " ".join(parts)
+        assert [(a, b) for a, k, b in scanner.spans(text) if k == 3 and b - a >= 22 and (a == 0 or text[a - 1] == " ") and (b == len(text) or text[b] == " ")] == brute(text)
+
+
+def test_overlaps_are_found_in_linear_time():
+    import time
+
+    scanner = secret_scan.Scanner()
+    text = "password=abcdefgh12345678 " * 20_000
+    began = time.time()
+    assert len(scanner.spans(text)) == 20_000 and time.time() - began < 20
+    finder = pii.Finder(pii.Tagger(9).params)
+    began = time.time()
+    assert len(finder.spans(["a@b.cd " * 20_000])[0][0]) == 20_000 and time.time() - began < 60
+
+
+def test_best_sequences_of_the_tagger():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        tagger = Tagger(3, embedding=2, hidden=2)
+        tagger.params["trans"] = rng.normal(0, 1.5, (3, 3)).astype(np.float32)
+        scores = rng.normal(0, 2, (6, 3)).astype(np.float32)
+        trans = tagger.params["trans"]
+        worth = {p: sum(scores[i, k] for i, k in enumerate(p)) + trans[0, p[0]] + sum(trans[a, b] for a, b in zip(p, p[1:])) + trans[p[-1], 0] for p in itertools.product(range(3), repeat=6)}
+        best = max(worth, key=worth.get)
+        assert tuple(tagger.decode(scores[None])[0]) == best
+        open_ = tagger.open_places(scores)
+        assert all(open_[i] for i, k in enumerate(best) if k)
+
+
+@pytest.fixture(scope="module")
+def finder():
+    return pii.Finder(pii.train())
+
+
+def test_stretches_change_nothing(finder):
+    texts = [t for t, _ in pii.labelled(98, 60)] + ["word " * 60 + "call (212) 555 0187 now " + "word " * 90 + "x [at] y.com", "a" * 500 + "1" + "b" * 500, ""]
+    near, all_ = finder.tagged(texts), finder.tagged(texts, everywhere=True)
+    held = lambda t, spans: [s for s in spans if pii.plausible(s[0], t[s[1] : s[2]])]
+    assert [held(t, x) for t, x in zip(texts, near)] == [held(t, x) for t, x in zip(texts, all_)]
+    # A window's border shows nowhere: shifted texts have shifted spans.
+    text = texts[-3]
+    for shift in (1, 7, 16, 31, 32, 33):
+        want = [(k, a + shift, b + shift) for k, a, b in held(text, finder.tagged([text])[0])]
+        assert held("-" * shift + text, finder.tagged(["-" * shift + text])[0]) == want
+
+
+def test_personal_data_planted_in_prose(finder):
+    """The texts and the written forms are none of the generator's."""
+    import pydoc_data.topics
+
+    prose = [" ".join(t.split()) for t in pydoc_data.topics.topics.values() if len(t) > 2000]
+    forms = {
+        0: ("john.smith [at] research.example [dot] com", "m.oconnor(at)mail(dot)example(dot)org", "info [at] bakery-luigi.net", "sales (at) widgets.example.com"),
+        1: ("192 . 168 . 10 . 44", "10[.]0[.]12[.]7", "172[.]16[.]254[.]1"),
+        2: ("4556.7375.8689.9855", "5105 - 1051 - 0510 - 5100", "4012.8888.8888.1881"),
+        3: ("(415) 555-2671", "020 7946 0958", "212-555-0147", "0049 89 636 48018", "650.555.0143"),
+    }
+    rng, right, there = random.Random(4), 0, 0
+    for kind, form in ((k, f) for k, fs in forms.items() for f in fs for _ in range(12)):
+        t = rng.choice(prose)
+        at = t.index(" ", rng.randrange(100, len(t) - 500))
+        text = f"{t[max(0, at - 400) : at]} {form}{rng.choice([' ', ', ', '. '])}{t[at + 1 : at + 300]}"
+        a = text.index(form)
+        right += (kind, a, a + len(form)) in finder.spans([text])[0][1]
+        there += 1
+    assert right / there >= 0.9
+    base, every = zip(*finder.spans(prose))
+    assert sum(map(len, every)) - sum(map(len, base)) <= 5  # false alarms in half a million characters

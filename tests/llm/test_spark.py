@@ -189,7 +189,45 @@ def test_near_duplicates(spark, docs, rows):
     assert sorted(ids) == sorted({*want.values()} | {r[0] for r in rows if r[0] is not None and r[1] is None})
 
 
-@pytest.mark.parametrize("together", [2000, 3])
+def test_near_duplicates_that_share_an_id(spark):
+    rng = random.Random(8)
+    some = lambda k: " ".join(f"w{rng.randrange(5000)}" for _ in range(k))
+    a, b, c = some(60), some(60), some(60)
+    rows = [(1, a), (1, b), (1, c), (1, c), (2, a), (3, b + " x"), (4, None), (4, None), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"class_id": F.lit("clash"), "node": F.lit("clash"), "key": F.lit(0)})
+    got = order_minhash.near_duplicates(df)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, 1, True, 2), (1, 1, True, 1), (1, 1, True, 2), (1, 1, True, 2), (2, 1, False, 2), (3, 1, False, 1), (4, 4, True, 1), (4, 4, True, 1), (None, None, True, 1)], key=repr)
+    kept = order_minhash.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(1, a), (1, b), (1, c), (4, None), (4, None), (None, a)])
+
+
+def test_near_duplicates_of_one_large_group(spark):
+    """Near copies that differ from each other by about as much as a link allows: no center is linked to all, and one class holds most."""
+    rng = random.Random(11)
+    words = [f"w{rng.randrange(900)}" for _ in range(80)]
+    rows = []
+    for i in range(400):
+        copy = list(words)
+        for _ in range(rng.randint(2, 11)):
+            copy[rng.randrange(80)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    rows += [(400 + i, " ".join(f"y{rng.randrange(10**6)}" for _ in range(80))) for i in range(50)]
+    want = classes(rows)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(df).collect()}
+    assert all(want[i] == want[got[i]] for i in want)  # no class joins what no links join
+    assert Counter(got.values()).most_common(1)[0][1] >= 370  # texts that share few shingles with any other may stay apart
+    split = {i: t.split() for i, t in rows}
+    shingles = {i: set(zip(*(w[k:] for k in range(5)))) for i, w in split.items()}
+    for i in range(400):
+        for j in range(i):
+            both = len(shingles[i] & shingles[j])
+            if 2 * both >= len(shingles[i] | shingles[j]) and similar(split[i], split[j]):
+                assert got[i] == got[j]
+
+
+@pytest.mark.parametrize("together", [1000, 3])
 def test_repeats(spark, docs, rows, together):
     texts = [(r[0], (r[1] or "").encode()) for r in rows]
     counts = Counter(t[i : i + 200] for _, t in texts for i in range(len(t) - 199))
@@ -200,7 +238,7 @@ def test_repeats(spark, docs, rows, together):
         for a, b in reversed(runs):
             del keep[a:b]
         want.append((i, len(t), sum(b - a for a, b in runs), len(runs), hashlib.sha256(bytes(keep)).hexdigest()))
-    got = collected(suffix_dedup.remove_repeats(docs, most_together=together))
+    got = collected(suffix_dedup.remove_repeats(docs, together=together))
     assert got == sorted(want, key=repr)
 
 
@@ -232,6 +270,41 @@ def test_nearest(spark):
     assert nearest(df.limit(0)).count() == 0
 
 
+def test_nearest_of_repeated_ids(spark):
+    """Rows that share an id but not the vector: each query row has a list of its own."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(-3, 4, (90, 6)).astype(float) + 0.5
+    ids = [i % 60 for i in range(90)]
+    rows = [(i, v.tolist()) for i, v in zip(ids, x)] + [(20, x[20].tolist())]  # and one repeated row
+    x, ids = np.vstack([x, x[20]]), np.array([*ids, 20])
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in nearest(df).collect())
+    want = Counter()
+    for q in np.flatnonzero(ids % 20 == 0):
+        scores = x @ x[q]
+        order = [i for i in np.lexsort((ids, -scores)) if i != q][:20]
+        # Of equal rows, whichever is left out, the list is the same.
+        want.update((int(ids[q]), n, int(ids[i]), float(scores[i])) for n, i in enumerate(order, 1))
+    assert got == want
+
+
+@pytest.mark.parametrize("kind", ["independent", "clustered"])
+def test_recall_over_several_cells(spark, kind):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(10_000, 64)) if kind == "independent" else rng.normal(size=(200, 64))[rng.integers(0, 200, 10_000)] + 0.3 * rng.normal(size=(10_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>").repartition(4)
+    found = {}
+    for r in nearest(df, block=512, per_cell=256).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(0, 10_000, 20):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        hits += len(found[q] & set(np.argpartition(-scores, 20)[:20].tolist()))
+    assert len(found) == 500 and hits / 10_000 >= 0.9
+
+
 def test_pipeline(spark, tmp_path):
     rows = corpus(seed=5, n=24)
     path = str(tmp_path)
