@@ -8,7 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # What may stand around an amount, and currency marks with their codes.
-CURRENCY_CODES = "USD EUR GBP JPY THB SGD AUD CAD CHF SEK NOK DKK PLN CZK HUF INR CNY HKD NZD ZAR MXN BRL".split()
+CURRENCY_CODES = (
+    "USD", "EUR", "GBP", "JPY", "THB", "SGD", "AUD", "CAD", "CHF", "SEK", "NOK", "DKK", "PLN", "CZK", "HUF", "INR", "CNY", "HKD",
+    "NZD", "ZAR", "MXN", "BRL",
+)
 CURRENCY_MARKS = {"$": "USD", "£": "GBP", "€": "EUR", "¥": "JPY", "₹": "INR"}
 
 _FURNITURE = r"(?iU)[$£€¥₹\s ']|(?<![A-Za-z])(?:" + "|".join(CURRENCY_CODES) + r")(?![A-Za-z])"

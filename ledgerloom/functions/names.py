@@ -11,7 +11,10 @@ from pyspark.sql import types as T
 
 # Payment processors' prefixes, and words that say nothing about a merchant.
 PREFIXES = ("sq *", "tst*", "sp *", "pp*", "paypal *")
-NOISE = "pos purchase debit credit card visa mastercard amex payment pmt transaction txn ref auth recurring online www com inc llc ltd co store shop no nr id".split()
+NOISE = (
+    "pos", "purchase", "debit", "credit", "card", "visa", "mastercard", "amex", "payment", "pmt", "transaction", "txn", "ref",
+    "auth", "recurring", "online", "www", "com", "inc", "llc", "ltd", "co", "store", "shop", "no", "nr", "id",
+)
 RATIO_FLOOR = 0.8
 
 _PREFIX = "|".join(r"\b" + p.replace("*", r"\*") for p in PREFIXES)

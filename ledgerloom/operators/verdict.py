@@ -18,7 +18,8 @@ CHECKS = ("lines_sum_to_subtotal", "subtotal_builds_total", "parts_within_total"
 
 
 def _check(name: str, ok: Column, expected: Column, actual: Column, detail: Column) -> Column:
-    return F.struct(F.lit(name).alias("name"), ok.alias("ok"), expected.cast("bigint").alias("expected"), actual.cast("bigint").alias("actual"), detail.alias("detail"))
+    expected, actual = expected.cast("bigint"), actual.cast("bigint")
+    return F.struct(F.lit(name).alias("name"), ok.alias("ok"), expected.alias("expected"), actual.alias("actual"), (actual - expected).alias("gap"), detail.alias("detail"))
 
 
 def poisoned_sum(items: Column) -> Column:

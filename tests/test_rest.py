@@ -11,7 +11,7 @@ from ledgerloom.streaming.intake import watch
 
 
 def fields(spark, text, degraded=False):
-    read = extract.readings(extract.lines_of(spark.createDataFrame([("r", text, degraded)], "receipt_id string, text string, degraded boolean")))
+    read = extract.readings(spark.createDataFrame([("r", text, degraded)], "receipt_id string, text string, degraded boolean"))
     return {r["field"]: (r["value_cents"], r["confidence"]) for r in extract.fields(read).collect()}, read.first()
 
 
