@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.functions.dates import date_order, order_vote, resolve_date
+from ledgerloom.functions.dates import any_date, date_order, order_vote, resolve_date
 from ledgerloom.functions.money import decimal_vote, document_mark, format_cents, normalise_currency, parse_cents
-from ledgerloom.functions.names import normalise_merchant, stable_name, with_similarity
+from ledgerloom.functions.names import containment, normalise_merchant, stable_name, with_similarity
 from ledgerloom.operators import decisions, extract, integrity, pairing, queue, selfaudit, verdict
-from ledgerloom.sources import sinks
-from ledgerloom.sources.statements import parse_csv, parse_ofx
+from ledgerloom.sources import documents, sinks
+from ledgerloom.sources.statements import parse, parse_csv, parse_ofx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -75,15 +75,32 @@ def decimal_evidence(spark, sf_dir):
 
 
 @query("""
-SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date, CASE WHEN o_custkey % 3 = 0 THEN '' WHEN big = 0 THEN 'unsettled' WHEN o_custkey % 3 = 1 THEN 'dmy' ELSE 'mdy' END AS date_order
-FROM (SELECT *, max(CASE WHEN day(o_orderdate) > 12 THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey) AS big FROM orders) WHERE o_custkey % 3 = 0 OR big = 1
+SELECT o_orderkey, CASE WHEN kind = 0 OR (seen AND kind < 3) THEN CAST(o_orderdate AS DATE) END AS date,
+CASE WHEN kind = 0 THEN '' WHEN NOT seen THEN 'unsettled' WHEN kind = 1 THEN 'dmy' WHEN kind = 2 THEN 'mdy' WHEN dmy AND mdy THEN 'mixed' WHEN dmy THEN 'dmy' ELSE 'mdy' END AS date_order
+FROM (SELECT *, o_custkey % 4 AS kind, bool_or(day(o_orderdate) > 12) OVER w AS seen, bool_or(day(o_orderdate) > 12 AND o_orderkey % 2 = 0) OVER w AS dmy, bool_or(day(o_orderdate) > 12 AND o_orderkey % 2 = 1) OVER w AS mdy
+  FROM orders WINDOW w AS (PARTITION BY o_custkey)) WHERE kind < 3 OR NOT seen OR (dmy AND mdy)
 """)
 def statement_dates(spark, sf_dir):
-    style = F.when(F.col("o_custkey") % 3 == 0, F.lit("yyyy-MM-dd")).when(F.col("o_custkey") % 3 == 1, F.lit("dd/MM/yyyy")).otherwise(F.lit("MM/dd/yyyy"))
-    raw = F.when(style == "yyyy-MM-dd", F.date_format("o_orderdate", "yyyy-MM-dd")).when(style == "dd/MM/yyyy", F.date_format("o_orderdate", "dd/MM/yyyy")).otherwise(F.date_format("o_orderdate", "MM/dd/yyyy"))
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", raw.alias("raw"))
-    orders = rows.groupBy("o_custkey").agg(date_order(order_vote(F.col("raw"))).alias("date_order")).filter("date_order not in ('mixed', 'unsettled')")
-    return rows.join(orders, "o_custkey").select("o_orderkey", resolve_date(F.col("raw"), F.col("date_order")).alias("date"), "date_order")
+    """ISO, day first, month first, and files in which both occur; files whose order can't be told have no dates."""
+    kind = F.col("o_custkey") % 4
+    day_first, iso = F.date_format("o_orderdate", "dd/MM/yyyy"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    month_first = F.date_format("o_orderdate", "MM/dd/yyyy")
+    raw = F.when(kind == 0, iso).when((kind == 1) | ((kind == 3) & (F.col("o_orderkey") % 2 == 0)), day_first).otherwise(month_first)
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", raw.alias("raw"), kind.alias("kind"))
+    orders = rows.groupBy("o_custkey").agg(date_order(order_vote(F.col("raw"))).alias("date_order"))
+    known = F.when(~F.col("date_order").isin("mixed", "unsettled"), resolve_date(F.col("raw"), F.col("date_order")))
+    return rows.join(orders, "o_custkey").filter("kind < 3 or date_order in ('mixed', 'unsettled')").select("o_orderkey", known.alias("date"), "date_order")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 8 < 7 THEN CAST(o_orderdate AS DATE) END AS date FROM orders WHERE o_orderkey % 8 IN (0, 3, 4, 5, 6, 7) OR day(o_orderdate) > 12""")
+def any_dates(spark, sf_dir):
+    """The fixed formats one after another; of the two that can be taken for each other, only dates that can't."""
+    formats = ("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "yyyy/M/d", "d-M-yyyy", "dd.MM.yyyy", "yyyyMMdd")
+    raw = F.lit("31/02/2024")
+    for k, f in enumerate(formats):
+        raw = F.when(F.col("o_orderkey") % 8 == k, F.concat(F.lit(" "), F.date_format("o_orderdate", f), F.lit(" " if k == 6 else ""))).otherwise(raw)
+    rows = table(spark, sf_dir, "orders").filter((~(F.col("o_orderkey") % 8).isin(1, 2)) | (F.dayofmonth("o_orderdate") > 12))
+    return rows.select("o_orderkey", any_date(raw).alias("date"))
 
 
 _MERCHANT = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(raw), '\bsq \*|\btst\*|\bsp \*|\bpp\*|\bpaypal \*', ' ', 'g'), '[^a-z0-9 ]', ' ', 'g'),
@@ -99,12 +116,28 @@ def merchant_names(spark, sf_dir):
     return names.withColumn("stable", stable_name(F.col("merchant")))
 
 
+_NAME_PAIRS = f"""
+WITH n AS (SELECT p_partkey, p_size, {_MERCHANT.replace("lower(raw)", "lower(p_name)")} AS a FROM part),
+q AS (SELECT p_partkey, lead(p_partkey) OVER w AS other, a, lead(a) OVER w AS b FROM n WINDOW w AS (PARTITION BY p_size ORDER BY p_partkey))
+"""
+
+
+def name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part's name beside the next one's of its size."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_size", normalise_merchant(F.col("p_name")).alias("a"))
+    next_ = Window.partitionBy("p_size").orderBy("p_partkey")
+    return part.withColumns({"other": F.lead("p_partkey").over(next_), "b": F.lead("a").over(next_)}).filter(F.col("other").isNotNull())
+
+
+@query(_NAME_PAIRS + """SELECT p_partkey, other, CASE WHEN a = '' OR b = '' THEN 0.0 ELSE len(list_intersect(list_distinct(string_split(a, ' ')), list_distinct(string_split(b, ' '))))
+/ least(len(list_distinct(string_split(a, ' '))), len(list_distinct(string_split(b, ' ')))) END AS shared FROM q WHERE other IS NOT NULL""")
+def name_containment(spark, sf_dir):
+    return name_pairs(spark, sf_dir).select("p_partkey", "other", containment(F.col("a"), F.col("b")).alias("shared"))
+
+
 @query()
 def name_similarity(spark, sf_dir):
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_size", normalise_merchant(F.col("p_name")).alias("a"))
-    other = part.select(F.col("p_partkey").alias("other"), F.col("p_size"), F.col("a").alias("b"))
-    pairs = part.join(other, "p_size").filter(F.col("p_partkey") < F.col("other"))
-    return with_similarity(pairs, "a", "b", "similarity").select("p_partkey", "other", F.bround("similarity", 3).alias("similarity"))
+    return with_similarity(name_pairs(spark, sf_dir), "a", "b", "similarity").select("p_partkey", "other", F.bround("similarity", 3).alias("similarity"))
 
 
 @query("SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'EUR' WHEN 1 THEN 'USD' WHEN 2 THEN upper(substr(n_name, 1, 3)) ELSE NULL END AS currency FROM nation")
@@ -122,7 +155,7 @@ WITH b AS (SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS date, -CAS
 l AS (SELECT *, lag(balance) OVER (PARTITION BY o_custkey ORDER BY row) + amount AS expected FROM b WHERE NOT (o_custkey % 5 = 0 AND row = 3)),
 w AS (SELECT o_custkey, count(*) AS n, min(CASE WHEN expected <> balance THEN row END) AS break_row, sum(amount) AS s FROM l GROUP BY o_custkey),
 f AS (SELECT o_custkey, sum(amount) AS declared FROM b GROUP BY o_custkey),
-c AS (SELECT w.o_custkey, CASE WHEN n >= 2 THEN break_row IS NULL END AS walk_ok, CASE WHEN n >= 2 THEN break_row END AS break_row,
+c AS (SELECT w.o_custkey, CASE WHEN n >= 2 AND w.o_custkey % 11 <> 4 THEN break_row IS NULL END AS walk_ok, CASE WHEN n >= 2 AND w.o_custkey % 11 <> 4 THEN break_row END AS break_row,
   CASE WHEN w.o_custkey % 2 = 0 THEN s = declared END AS total_ok FROM w JOIN f USING (o_custkey))
 """
 
@@ -137,6 +170,8 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_statements(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     lines = order_lines(spark, sf_dir)
     declared = lines.groupBy("statement_id").agg(F.sum("amount_cents").alias("all")).select("statement_id", F.when(F.col("statement_id") % 2 == 0, F.col("all")).alias("period_total_cents"), F.lit(None).cast("bigint").alias("opening_balance_cents"), F.lit(None).cast("bigint").alias("closing_balance_cents"))
+    # Some exports run backwards, so their balances can't be walked.
+    lines = lines.withColumn("date", F.when(F.col("o_custkey") % 11 == 4, F.date_sub("date", F.col("row") * 4000)).otherwise(F.col("date")))
     return lines.filter(~((F.col("o_custkey") % 5 == 0) & (F.col("row") == 3))), declared
 
 
@@ -156,77 +191,118 @@ def completeness_states(spark, sf_dir):
     return integrity.completeness(*order_statements(spark, sf_dir))
 
 
-# Self-audit: events of a user as charges at one merchant, clicks as credits.
+@query(_WALK + "SELECT o_custkey AS statement_id, total_ok AS ok FROM c")
+def statement_sums(spark, sf_dir):
+    return integrity.statement_sum(*order_statements(spark, sf_dir))
+
+
+# Self-audit: events of a user as charges at three merchants under two names each, some undated; clicks as credits.
+
+MERCHANTS = (
+    "Harbour Freight", "Alpine Dairy", "Meridian Telecom", "Copper Kettle", "Willow Bakery", "Falcon Insurance", "Juniper Gym",
+    "Saffron Kitchen", "Orchard Water", "Granite Rentals", "Velvet Cinema", "Thistle Garage", "Beacon Energy", "Lantern Books",
+)
+_LIST = "[" + ", ".join(f"'{m}'" for m in MERCHANTS) + "]"
+
+
+def _described(which: str, branch: str) -> tuple[str, str]:
+    """SQL for the description of a line of merchant ``which`` and its normal name; ``branch`` is 0 or 1."""
+    base = f"({_LIST})[{which} + 1]"
+    return f"CASE WHEN {branch} = 0 THEN 'SQ *' || {base} || ' 0042' ELSE {base} || ' Lisbon' END", f"lower({base}) || CASE WHEN {branch} = 0 THEN '' ELSE ' lisbon' END"
+
+
+def described(which, branch):
+    base = F.element_at(F.array(*map(F.lit, MERCHANTS)), (which + 1).cast("int"))
+    return F.when(branch == 0, F.concat(F.lit("SQ *"), base, F.lit(" 0042"))).otherwise(F.concat(base, F.lit(" Lisbon")))
+
 
-_EVENT_LINES = """
-WITH l AS (SELECT user_id AS statement_id, event_id AS row, CAST(ts AS DATE) AS date, CAST(round(value) AS BIGINT) * 100 * CASE WHEN event_type = 'click' THEN 1 ELSE -1 END AS amount FROM events),
-b AS (SELECT *, -amount AS cents, lag(row) OVER w AS before, datediff('day', lag(date) OVER w, date) AS gap FROM l WHERE amount < 0 WINDOW w AS (PARTITION BY statement_id, amount ORDER BY date, row)),
-m AS (SELECT *, coalesce(bool_and(gap BETWEEN 26 AND 35) OVER (PARTITION BY statement_id, cents), false) AS monthly FROM b),
-p AS (SELECT statement_id, cents, gap AS days_apart, before AS first_row, row AS second_row, date FROM m WHERE gap <= 3 AND NOT monthly),
-f AS (SELECT p.*, (SELECT min(l.row) FROM l WHERE l.statement_id = p.statement_id AND l.amount = p.cents AND l.date >= p.date) AS refund_row FROM p)
+_EVENT_TEXT, _EVENT_NAME = _described("event_id % 3", "event_id // 3 % 2")
+_EVENT_LINES = f"""
+WITH l AS (SELECT user_id AS statement_id, event_id AS row, CASE WHEN event_id % 50 <> 7 THEN CAST(ts AS DATE) END AS date, event_id % 3 AS m, {_EVENT_TEXT} AS description, {_EVENT_NAME} AS name,
+  CAST(round(value) AS BIGINT) * 100 * CASE WHEN event_type = 'click' THEN 1 ELSE -1 END AS amount FROM events),
+b AS (SELECT *, -amount AS cents, first_value(name) OVER (PARTITION BY statement_id, amount, m ORDER BY row) AS leader, lag(row) OVER w AS before, lag(description) OVER w AS before_name,
+  CASE WHEN date IS NOT NULL THEN datediff('day', lag(date) OVER w, date) END AS gap FROM l WHERE amount < 0 WINDOW w AS (PARTITION BY statement_id, amount, m ORDER BY date NULLS LAST, row)),
+k AS (SELECT *, coalesce(bool_and(gap BETWEEN 26 AND 35) OVER (PARTITION BY statement_id, cents, m), false) AS monthly FROM b),
+p AS (SELECT statement_id, cents, leader, before_name AS merchant, gap AS days_apart, before AS first_row, row AS second_row, date FROM k WHERE gap <= 3 AND NOT monthly),
+f AS (SELECT statement_id, cents, merchant, days_apart, first_row, second_row,
+  (SELECT min(l.row) FROM l WHERE l.statement_id = p.statement_id AND l.amount = p.cents AND l.name = p.leader AND (l.date IS NULL OR l.date >= p.date)) AS refund_row FROM p
+  UNION ALL SELECT statement_id, cents, arg_min(description, row), NULL, min(row), max(row), NULL FROM k GROUP BY statement_id, cents, m, monthly HAVING count(*) > 1 AND NOT monthly AND count(date) < count(*)),
+t AS (SELECT *, CASE WHEN refund_row IS NULL AND days_apart IS NOT NULL THEN cents ELSE 0 END AS at_risk FROM f)
 """
 
 
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     sign = F.when(F.col("event_type") == "click", F.lit(1)).otherwise(F.lit(-1))
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("statement_id"), F.col("event_id").alias("row"), F.to_date("ts").alias("date"), F.lit("Corner Cafe 0042").alias("description"), (F.round("value").cast("bigint") * 100 * sign).alias("amount_cents"))
+    k = F.col("event_id")
+    date = F.when(k % 50 != 7, F.to_date("ts"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("statement_id"), k.alias("row"), date.alias("date"), described(k % 3, F.floor(k / 3) % 2).alias("description"), (F.round("value").cast("bigint") * 100 * sign).alias("amount_cents"))
 
 
-@query(_EVENT_LINES + "SELECT statement_id, cents, days_apart, first_row, second_row, refund_row, CASE WHEN refund_row IS NULL THEN cents ELSE 0 END AS at_risk FROM f")
+@query(_EVENT_LINES + "SELECT statement_id, cents, merchant, days_apart, first_row, second_row, refund_row, at_risk FROM t")
 def paid_twice(spark, sf_dir):
-    return selfaudit.paid_twice(event_lines(spark, sf_dir)).select("statement_id", "cents", "days_apart", "first_row", "second_row", "refund_row", "at_risk")
+    return selfaudit.paid_twice(event_lines(spark, sf_dir)).select("statement_id", "cents", "merchant", F.col("days_apart").cast("bigint").alias("days_apart"), "first_row", "second_row", "refund_row", F.col("at_risk").cast("bigint").alias("at_risk"))
 
 
-@query(_EVENT_LINES + "SELECT statement_id, CAST(coalesce(sum(CASE WHEN refund_row IS NULL THEN cents END), 0) AS BIGINT) AS at_risk FROM f GROUP BY statement_id")
+@query(_EVENT_LINES + "SELECT statement_id, CAST(sum(at_risk) AS BIGINT) AS at_risk FROM t GROUP BY statement_id")
 def double_risk(spark, sf_dir):
     return selfaudit.double_risk(selfaudit.suspects(event_lines(spark, sf_dir)))
 
 
-_RUNS = """
-WITH l AS (SELECT l_suppkey || '-' || l_linenumber || '-' || l_linestatus AS statement_id, l_orderkey * 8 + l_linenumber AS row, CAST(l_shipdate AS DATE) AS date, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM lineitem),
-g AS (SELECT *, datediff('day', lag(date) OVER w, date) AS gap FROM l WINDOW w AS (PARTITION BY statement_id ORDER BY date, row)),
-a AS (SELECT statement_id, count(*) AS charges, list_sort(list(gap) FILTER (gap IS NOT NULL)) AS gaps, min(date) AS first_seen, max(date) AS last_seen, arg_min(cents, (date, row)) AS first_cents, arg_max(cents, (date, row)) AS last_cents FROM g GROUP BY statement_id),
-r AS (SELECT *, last_cents - first_cents AS rise FROM a WHERE charges >= 3 AND gaps[len(gaps) // 2 + 1] BETWEEN 26 AND 35)
+_FACTS = """
+g AS (SELECT *, datediff('day', lag(date) OVER w, date) AS gap FROM d WINDOW w AS (PARTITION BY statement_id, m ORDER BY date, row)),
+a AS (SELECT statement_id, m, count(*) AS charges, list_sort(list(gap) FILTER (gap IS NOT NULL)) AS gaps, min(date) AS first_seen, max(date) AS last_seen, arg_min(cents, (date, row)) AS first_cents, arg_max(cents, (date, row)) AS last_cents,
+  arg_min(name, row) AS leader, arg_max(description, (date, row)) AS merchant, min(row) AS r1, max(row) AS r2 FROM g GROUP BY statement_id, m),
+r AS (SELECT *, last_cents - first_cents AS rise FROM a WHERE charges >= 3 AND gaps[len(gaps) // 2 + 1] BETWEEN 26 AND 35),
+o AS (SELECT statement_id, min(date) AS opened FROM l GROUP BY statement_id)
+"""
+_SHIP_TEXT, _SHIP_NAME = _described("m", "l_orderkey % 2")
+_RUNS = f"""
+WITH l AS (SELECT l_suppkey AS statement_id, (l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey AS row, CAST(l_shipdate AS DATE) AS date, m, {_SHIP_TEXT} AS description, {_SHIP_NAME} AS name, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents
+  FROM (SELECT *, (l_linenumber - 1) * 2 + CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS m FROM lineitem)),
+d AS (SELECT * FROM l), {_FACTS}
 """
 
 
 def ship_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.concat_ws("-", "l_suppkey", "l_linenumber", "l_linestatus")
-    return table(spark, sf_dir, "lineitem").select(key.alias("statement_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row"), F.to_date("l_shipdate").alias("date"), F.lit("Harbour Freight").alias("description"), (-cents_of("l_extendedprice")).alias("amount_cents"))
+    """A supplier's shipments as charges at fourteen merchants, each under two names."""
+    which = (F.col("l_linenumber") - 1) * 2 + F.when(F.col("l_linestatus") == "F", F.lit(1)).otherwise(F.lit(0))
+    row = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("statement_id"), row.alias("row"), F.to_date("l_shipdate").alias("date"), described(which, F.col("l_orderkey") % 2).alias("description"), (-cents_of("l_extendedprice")).alias("amount_cents"))
 
 
-@query(_RUNS + "SELECT statement_id, charges, last_cents AS latest_cents, last_cents * 12 AS a_year_cents, first_seen, last_seen FROM r")
+@query(_RUNS + "SELECT statement_id, leader, merchant, charges, last_cents AS latest_cents, last_cents * 12 AS a_year_cents, first_seen, last_seen FROM r")
 def recurring_runs(spark, sf_dir):
-    return selfaudit.recurring(selfaudit.runs(ship_lines(spark, sf_dir))).select("statement_id", "charges", "latest_cents", "a_year_cents", "first_seen", "last_seen")
+    return selfaudit.recurring(selfaudit.runs(ship_lines(spark, sf_dir))).select("statement_id", "leader", "merchant", "charges", "latest_cents", "a_year_cents", "first_seen", "last_seen")
 
 
-@query(_RUNS + "SELECT r.statement_id, r.first_cents, r.last_cents, rise AS rise_cents, rise * 12 AS at_risk, min(l.date) AS rose_on FROM r JOIN l ON l.statement_id = r.statement_id AND l.cents > r.first_cents + 50 WHERE rise > 50 GROUP BY ALL")
+@query(_RUNS + "SELECT r.statement_id, r.leader, r.first_cents, r.last_cents, rise AS rise_cents, rise * 12 AS at_risk, min(l.date) AS rose_on FROM r JOIN l ON l.statement_id = r.statement_id AND l.m = r.m AND l.cents > r.first_cents + 50 WHERE rise > 50 GROUP BY ALL")
 def price_rises(spark, sf_dir):
-    return selfaudit.price_rises(selfaudit.runs(ship_lines(spark, sf_dir))).select("statement_id", "first_cents", "last_cents", "rise_cents", "at_risk", "rose_on")
+    return selfaudit.price_rises(selfaudit.runs(ship_lines(spark, sf_dir))).select("statement_id", "leader", "first_cents", "last_cents", "rise_cents", "at_risk", "rose_on")
 
 
-@query(_RUNS + "SELECT r.statement_id, r.charges, r.last_cents, r.last_cents * 12 AS at_risk, r.first_seen FROM r JOIN (SELECT min(date) AS opened FROM l) ON first_seen > opened + 45")
+@query(_RUNS + "SELECT statement_id, leader, charges, last_cents, last_cents * 12 AS at_risk, first_seen FROM r JOIN o USING (statement_id) WHERE first_seen > opened + 45")
 def new_recurring(spark, sf_dir):
     lines = ship_lines(spark, sf_dir)
-    # Every statement here opens with the whole table's first day, by one credit of nothing.
-    first = lines.agg(F.min("date").alias("date"))
-    openings = lines.select("statement_id").distinct().join(F.broadcast(first)).select("statement_id", F.lit(0).cast("bigint").alias("row"), "date", F.lit("opening").alias("description"), F.lit(0).cast("bigint").alias("amount_cents"))
-    found = selfaudit.new_recurring(selfaudit.runs(lines), lines.unionByName(openings))
-    return found.select("statement_id", "charges", "last_cents", "at_risk", "first_seen")
+    return selfaudit.new_recurring(selfaudit.runs(lines), lines).select("statement_id", "leader", "charges", "last_cents", "at_risk", "first_seen")
 
 
-@query()
+@query(_RUNS + "SELECT DISTINCT statement_id, name, first_value(name) OVER (PARTITION BY statement_id, m ORDER BY row) AS leader FROM l")
 def merchant_clusters(spark, sf_dir):
-    names = table(spark, sf_dir, "part").select(F.col("p_size").alias("statement_id"), normalise_merchant(F.concat_ws(" ", "p_name", "p_brand")).alias("name"), F.col("p_partkey").alias("row"))
+    names = selfaudit.billed(ship_lines(spark, sf_dir)).select("statement_id", stable_name(F.col("merchant")).alias("name"), "row")
     return selfaudit.leaders(names, ["statement_id"], selfaudit.SAME_RUN)
 
 
-@query()
+@query(_EVENT_LINES + f""", d AS (SELECT statement_id, row, date, m, name, description, cents FROM b WHERE date IS NOT NULL), {_FACTS},
+u AS (SELECT statement_id, 'paid_twice' AS kind, 0 AS place, merchant, at_risk, first_row AS r1, second_row AS r2 FROM t
+  UNION ALL SELECT statement_id, 'price_rose', 1, merchant, rise * 12, r1, r2 FROM r WHERE rise > 50
+  UNION ALL SELECT statement_id, 'new_recurring', 2, merchant, last_cents * 12, r1, r2 FROM r JOIN o USING (statement_id) WHERE first_seen > opened + 45)
+SELECT statement_id, kind, merchant, at_risk, row_number() OVER (PARTITION BY statement_id ORDER BY at_risk DESC, place, r1, r2) AS rank FROM u""")
 def audit_findings(spark, sf_dir):
     lines = event_lines(spark, sf_dir).withColumn("balance_cents", F.lit(None).cast("bigint"))
     nothing = F.lit(None).cast("bigint")
     statements = lines.select("statement_id").distinct().select("statement_id", nothing.alias("period_total_cents"), nothing.alias("opening_balance_cents"), nothing.alias("closing_balance_cents"))
-    return selfaudit.audit(lines, integrity.completeness(lines, statements)).select("statement_id", "kind", "merchant", "at_risk", "rank")
+    found = selfaudit.audit(lines, integrity.completeness(lines, statements))
+    return found.select("statement_id", "kind", "merchant", F.col("at_risk").cast("bigint").alias("at_risk"), F.col("rank").cast("bigint").alias("rank"))
 
 
 # Pairing: purchases as charges, clicks as receipts, in whole units.
@@ -268,7 +344,23 @@ def pairing_award(spark, sf_dir):
     return pairing.award(pairing.resolve(found)).select("statement_id", "row", "receipt_id")
 
 
-@query()
+_ROUNDS = _PAIRS.replace("WITH c AS", "WITH RECURSIVE c AS", 1) + """,
+st AS (SELECT 0 AS n, statement_id, row, receipt_id, score, days_apart, similarity, comparable, false AS won, false AS closed FROM s
+  UNION ALL
+  SELECT n + 1, statement_id, row, receipt_id, score, days_apart, similarity, comparable, won OR win, closed OR bool_or(win) OVER (PARTITION BY receipt_id) OR bool_or(win) OVER (PARTITION BY statement_id, row)
+  FROM (SELECT *, named AND row_number() OVER (PARTITION BY receipt_id, named ORDER BY score DESC, statement_id, row) = 1 AS win
+    FROM (SELECT *, NOT closed AND place = 1 AND n_level = 1 AND NOT (similarity < 0.45 AND comparable) AS named
+      FROM (SELECT *, row_number() OVER (PARTITION BY statement_id, row, closed ORDER BY score DESC, days_apart, receipt_id) AS place, sum(CASE WHEN NOT closed AND score >= best - 1e-9 THEN 1 ELSE 0 END) OVER (PARTITION BY statement_id, row) AS n_level
+        FROM (SELECT *, max(CASE WHEN NOT closed THEN score END) OVER (PARTITION BY statement_id, row) AS best FROM st))))
+  QUALIFY bool_or(win) OVER ()),
+z AS (SELECT * FROM st WHERE n = (SELECT max(n) FROM st)),
+y AS (SELECT statement_id, row, 'matched' AS outcome, receipt_id FROM z WHERE won
+  UNION ALL SELECT statement_id, row, CASE WHEN arg_max(similarity, (score, -days_apart, -receipt_id)) < 0.45 AND arg_max(comparable, (score, -days_apart, -receipt_id)) THEN 'unnamed' ELSE 'ambiguous' END, NULL
+    FROM z WHERE NOT closed GROUP BY statement_id, row)
+"""
+
+
+@query(_ROUNDS + "SELECT c.statement_id, c.row, coalesce(outcome, 'none') AS outcome, receipt_id FROM c LEFT JOIN y ON c.statement_id = y.statement_id AND c.row = y.row")
 def pairing_assign(spark, sf_dir):
     charges, receipts = charges_and_receipts(spark, sf_dir)
     return pairing.assign(charges, pairing.candidates(charges, receipts)).select("statement_id", "row", "outcome", "receipt_id")
@@ -347,12 +439,29 @@ def outstanding(spark, sf_dir):
     return decisions.outstanding(made, order_decisions(made)).select("o_orderkey", "state")
 
 
-_LEDGER = _RECEIPTS + """, g AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS date, '=Order, ' || o_orderkey AS description,
-CASE WHEN amount < 0 THEN '-' ELSE '' END || (abs(amount) // 100) || '.' || lpad(CAST(abs(amount) % 100 AS VARCHAR), 2, '0') AS amount_text,
+def _shown(c: str) -> str:
+    """SQL for cents as a decimal string."""
+    return f"(CASE WHEN {c} < 0 THEN '-' ELSE '' END || (abs({c}) // 100) || '.' || lpad(CAST(abs({c}) % 100 AS VARCHAR), 2, '0'))"
+
+
+_WHY = f"""
+w AS (SELECT *, CASE WHEN c1 IS NULL THEN 'items or subtotal not stated' ELSE 'items ' || {_shown("items")} || ', subtotal ' || {_shown("subtotal")} END AS d1,
+  CASE WHEN c2 IS NULL THEN 'subtotal or total not stated' ELSE 'built ' || {_shown("(subtotal + coalesce(tax, 0))")} || ', total ' || {_shown("total")} END AS d2,
+  CASE WHEN c3 IS NULL THEN 'no total, or neither tax nor tip' WHEN c3 THEN 'tax and tip fit the total' ELSE 'a part of ' || {_shown("tax")} || ' in a total of ' || {_shown("total")} END AS d3,
+  CASE WHEN total IS NULL THEN 'no receipt with a total' WHEN foreign_ THEN 'receipt in USD, charge in EUR' ELSE 'receipt ' || {_shown("total")} || ', charged ' || {_shown("abs(amount)")} END AS d4,
+  coalesce(c1, false)::INT + coalesce(c2, false)::INT + coalesce(c3, false)::INT + coalesce(c4, false)::INT AS passed FROM s),
+y AS (SELECT *, CASE WHEN state = 'ambiguous' THEN '2 receipts fit the amount, none can be chosen'
+  WHEN c1 = false THEN d1 WHEN c2 = false THEN d2 WHEN c3 = false THEN d3 WHEN c4 = false THEN d4
+  WHEN verdict = 'reconciled' THEN passed || ' checks agree'
+  WHEN generated AND passed > 0 THEN 'a model wrote these figures; that they agree is no evidence, and no charge matches them'
+  WHEN total IS NULL THEN d4 WHEN c1 IS NULL THEN d1 WHEN c2 IS NULL THEN d2 WHEN c3 IS NULL THEN d3 WHEN c4 IS NULL THEN d4 ELSE 'nothing to check' END AS item_why FROM w)
+"""
+_LEDGER = _RECEIPTS + "," + _WHY + f""", g AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS date, '=Order, ' || o_orderkey AS description, {_shown("amount")} AS amount_text,
 CASE WHEN o_orderkey % 20 = 0 THEN 'accepted' WHEN state = 'failed' THEN 'does-not-reconcile' WHEN state = 'ambiguous' THEN 'ambiguous' WHEN state = 'unverified' THEN 'unchecked' ELSE 'reconciled' END AS verdict_tag,
+CASE WHEN o_orderkey % 20 = 0 THEN 'accepted by you on 2024-05-06: seen it; ' ELSE '' END || item_why AS why,
 CASE WHEN o_orderkey % 2 = 0 THEN 'r' || o_orderkey ELSE 'Shop' END AS receipt,
 'lines_sum_to_subtotal=' || CASE WHEN c1 THEN 'ok' WHEN NOT c1 THEN 'FAILED' ELSE 'unrun' END || '; subtotal_builds_total=' || CASE WHEN c2 THEN 'ok' WHEN NOT c2 THEN 'FAILED' ELSE 'unrun' END ||
-'; parts_within_total=' || CASE WHEN c3 THEN 'ok' WHEN NOT c3 THEN 'FAILED' ELSE 'unrun' END || '; receipt_matches_charge=' || CASE WHEN c4 THEN 'ok' WHEN NOT c4 THEN 'FAILED' ELSE 'unrun' END AS checks FROM s)
+'; parts_within_total=' || CASE WHEN c3 THEN 'ok' WHEN NOT c3 THEN 'FAILED' ELSE 'unrun' END || '; receipt_matches_charge=' || CASE WHEN c4 THEN 'ok' WHEN NOT c4 THEN 'FAILED' ELSE 'unrun' END AS checks FROM y)
 """
 
 
@@ -361,30 +470,30 @@ def order_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.ledger_rows(made, order_decisions(made))
 
 
-@query(_LEDGER + "SELECT o_orderkey AS row, date, description, amount_text AS amount, verdict_tag AS verdict, receipt, checks FROM g")
+@query(_LEDGER + "SELECT o_orderkey AS row, date, description, amount_text AS amount, verdict_tag AS verdict, why, receipt, checks FROM g")
 def ledger_rows(spark, sf_dir):
-    return order_ledger(spark, sf_dir).select("row", "date", "description", "amount", "verdict", "receipt", "checks")
+    return order_ledger(spark, sf_dir).select("row", "date", "description", "amount", "verdict", "why", "receipt", "checks")
 
 
-@query(_LEDGER + "SELECT date, '''' || description AS description, amount_text AS amount, 'ledgerloom:' || verdict_tag AS verdict, receipt, checks FROM g")
+@query(_LEDGER + "SELECT date, '''' || description AS description, amount_text AS amount, 'ledgerloom:' || verdict_tag AS verdict, why, receipt, checks FROM g")
 def sink_generic(spark, sf_dir):
-    return sinks.generic(order_ledger(spark, sf_dir)).drop("why")
+    return sinks.generic(order_ledger(spark, sf_dir))
 
 
-@query(_LEDGER + "SELECT date AS \"Date\", '''' || description AS \"Payee\", '#ledgerloom-' || verdict_tag AS \"Notes\", amount_text AS \"Amount\" FROM g")
+@query(_LEDGER + "SELECT date AS \"Date\", '''' || description AS \"Payee\", '#ledgerloom-' || verdict_tag || ' ' || why AS \"Notes\", amount_text AS \"Amount\" FROM g")
 def sink_actual(spark, sf_dir):
-    return sinks.actual(order_ledger(spark, sf_dir).withColumn("why", F.lit("")))
+    return sinks.actual(order_ledger(spark, sf_dir))
 
 
-@query(_LEDGER + "SELECT date, '''' || description AS description, amount_text AS amount, 'ledgerloom:' || verdict_tag AS tags, 'receipt: ' || receipt || ' | ' || checks AS notes FROM g")
+@query(_LEDGER + "SELECT date, '''' || description AS description, amount_text AS amount, 'ledgerloom:' || verdict_tag AS tags, why || ' | receipt: ' || receipt || ' | ' || checks AS notes FROM g")
 def sink_firefly(spark, sf_dir):
-    return sinks.firefly(order_ledger(spark, sf_dir).withColumn("why", F.lit("")))
+    return sinks.firefly(order_ledger(spark, sf_dir))
 
 
 @query(_LEDGER + """SELECT o_orderkey AS row, date || ' ' || CASE WHEN verdict_tag IN ('reconciled', 'accepted') THEN '*' ELSE '!' END || ' "''' || description || '"' || chr(10) || '  ledgerloom-verdict: "' || verdict_tag || '"' || chr(10) ||
-'  ledgerloom-receipt: "' || receipt || '"' || chr(10) || '  Assets:Bank:Checking  ' || amount_text || ' ' || CASE WHEN o_orderkey % 19 = 0 THEN 'EUR' ELSE 'USD' END || chr(10) || '  Expenses:Unknown' || chr(10) AS value FROM g""")
+'  ledgerloom-why: "' || why || '"' || chr(10) || '  ledgerloom-receipt: "' || receipt || '"' || chr(10) || '  Assets:Bank:Checking  ' || amount_text || ' ' || CASE WHEN o_orderkey % 19 = 0 THEN 'EUR' ELSE 'USD' END || chr(10) || '  Expenses:Unknown' || chr(10) AS value FROM g""")
 def sink_beancount(spark, sf_dir):
-    return sinks.beancount(order_ledger(spark, sf_dir).withColumn("why", F.lit(""))).select("row", "value")
+    return sinks.beancount(order_ledger(spark, sf_dir)).select("row", "value")
 
 
 @query(_LEDGER + "SELECT verdict_tag AS verdict, count(*) AS n FROM g GROUP BY 1")
@@ -428,11 +537,27 @@ def receipt_fields(spark, sf_dir):
     return read.select("receipt_id", "subtotal_cents", "tax_cents", "total_cents", "merchant", "currency", F.size("items").cast("bigint").alias("n_items"))
 
 
-@query()
+_TOKENS = f"""
+WITH l AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice, l_quantity) - 1 AS number, CAST(round(l_extendedprice * 100) AS BIGINT) AS a, CAST(l_quantity AS BIGINT) * 100 AS b FROM lineitem),
+x AS (SELECT k, number, 0 AS part, a AS cents, CASE WHEN k % 4 = 1 THEN ',' ELSE '.' END AS own FROM l
+  UNION ALL SELECT k, number, 1, -b, CASE WHEN k % 4 IN (0, 1) THEN CASE WHEN k % 4 = 1 THEN ',' ELSE '.' END ELSE ',' END FROM l
+  UNION ALL SELECT k, count(*), 0, CAST(sum(a) AS BIGINT), '.' FROM l WHERE k % 4 = 3 GROUP BY k),
+v AS (SELECT k, CASE WHEN count(*) < 3 OR count(*) FILTER (own = '.') = count(*) FILTER (own = ',') THEN '' WHEN count(*) FILTER (own = '.') > count(*) FILTER (own = ',') THEN '.' ELSE ',' END AS mark FROM x GROUP BY k),
+t AS (SELECT *, row_number() OVER (PARTITION BY k, number ORDER BY part) - 1 AS place FROM x JOIN v USING (k) WHERE mark = '' OR mark = own)
+"""
+
+
+@query(_TOKENS + "SELECT k AS receipt_id, CAST(number AS INT) AS number, CAST(place AS INT) AS place, cents, mark FROM t")
 def amount_tokens(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("receipt_id"), "text", F.lit(False).alias("degraded"))
-    lines = extract.lines_of(docs)
-    return lines.filter(F.size("amounts") > 0).select("receipt_id", "number", "amounts", "mark")
+    """Two amounts and a rate on each line, with points, commas, both, and both with a sum that decides for points."""
+    k = F.col("l_orderkey")
+    comma = lambda text: F.translate(text, ".", ",")
+    a, b = format_cents(cents_of("l_extendedprice")), format_cents(-F.col("l_quantity").cast("bigint") * 100)
+    line = F.concat(F.lit("Item "), F.col("l_partkey").cast("string"), F.lit(": "), F.when(k % 4 == 1, comma(a)).otherwise(a), F.lit(" | "), F.when(k % 4 == 0, b).otherwise(comma(b)), F.lit(" | 7.50% | 3.4.05"))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", line.alias("line")))).alias("lines"), F.sum(cents_of("l_extendedprice")).alias("sum"))
+    text = F.concat(F.array_join(F.transform("lines", lambda x: x["line"]), "\r\n"), F.when(F.col("l_orderkey") % 4 == 3, F.concat(F.lit("\r\nSum: "), format_cents(F.col("sum")))).otherwise(F.lit("")))
+    lines = extract.lines_of(rows.select(F.col("l_orderkey").alias("receipt_id"), text.alias("text"), F.lit(False).alias("degraded")))
+    return lines.select("receipt_id", "number", "mark", F.posexplode("amounts").alias("place", "cents")).select("receipt_id", "number", "place", "cents", "mark")
 
 
 _PARSED = "SELECT o_custkey AS statement_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS row, CAST(o_orderdate AS DATE) AS date, {name} AS description, -CAST(round(o_totalprice * 100) AS BIGINT) AS amount_cents FROM orders"
@@ -457,3 +582,150 @@ def statements_ofx(spark, sf_dir):
     rows = order_lines(spark, sf_dir).groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", block.alias("line")))), lambda x: x["line"]), "\n").alias("body"))
     files = rows.select(F.col("o_custkey").cast("string").alias("statement_id"), F.concat(F.lit("<OFX><CURDEF>EUR<BANKTRANLIST>"), "body", F.lit("</BANKTRANLIST></OFX>")).alias("text"))
     return parse_ofx(files).lines.select(F.col("statement_id").cast("bigint").alias("statement_id"), F.col("row").cast("bigint").alias("row"), "date", "description", "amount_cents")
+
+
+_FILES = """
+WITH b AS (SELECT o_custkey AS k, o_custkey % 9 AS kind, row_number() OVER w AS row, -CAST(round(o_totalprice * 100) AS BIGINT) AS a, 100000000 + sum(-CAST(round(o_totalprice * 100) AS BIGINT)) OVER w AS balance FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+f AS (SELECT k, kind, count(*) AS n, sum(CASE WHEN kind IN (0, 1) AND row % 2 = 0 THEN -a ELSE a END) AS s, CASE WHEN kind IN (0, 6) THEN sum(balance) END AS balances FROM b GROUP BY k, kind),
+c AS (SELECT *, CASE WHEN kind = 1 AND n > 1 THEN 'both_sides' WHEN kind = 2 AND n > 1 OR kind = 8 THEN 'unreadable_amount' WHEN kind = 3 THEN 'no_money_column' WHEN kind = 4 THEN 'no_rows' WHEN kind = 5 THEN 'no_amounts' WHEN kind = 7 THEN 'dates_unsettled' END AS code FROM f)
+"""
+
+
+@query(_FILES + """SELECT k AS statement_id, code, CASE WHEN code IS NULL THEN NULL WHEN kind IN (1, 2) THEN 2 WHEN kind = 8 THEN 1 ELSE 0 END AS refused_row, CASE WHEN code IS NULL THEN n ELSE 0 END AS n_lines,
+CASE WHEN code IS NULL THEN CAST(s AS BIGINT) END AS sum_cents, CASE WHEN code IS NULL THEN CAST(balances AS BIGINT) END AS balances_cents, CASE WHEN code IS NULL AND kind = 6 THEN 'EUR' END AS currency FROM c""")
+def statement_files(spark, sf_dir):
+    """Debit and credit columns, balances, comma decimals with a currency, and every way in which a file is refused."""
+    rows = order_lines(spark, sf_dir).withColumn("kind", F.col("o_custkey") % 9)
+    kind, second = F.col("kind"), F.col("row") % 2 == 0
+    size, signed, balance = format_cents(F.abs("amount_cents")), format_cents(F.col("amount_cents")), format_cents(F.col("balance_cents"))
+    day, comma = F.date_format("date", "yyyy-MM-dd"), lambda c: F.concat(F.translate(c, ".", ","), F.lit(" €"))
+    both = (kind == 1) & (F.col("row") == 2)
+    debit, credit = F.when(second & ~both, F.lit("0.00")).otherwise(size), F.when(second | both, size).otherwise(F.lit(""))
+    name = F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"))
+    line = (
+        F.when(kind == 0, F.concat_ws(",", day, name, debit, credit, balance))
+        .when(kind == 1, F.concat_ws(",", day, name, debit, credit))
+        .when(kind == 2, F.concat_ws(",", day, name, F.when(F.col("row") == 2, F.lit("n/a")).otherwise(signed)))
+        .when(kind == 6, F.concat_ws(";", day, name, comma(signed), comma(balance)))
+        .when(kind == 7, F.concat_ws(",", F.lit("05/06/2024"), name, signed))
+        .when(kind == 8, F.concat(F.lit("<STMTTRN><TRNAMT>"), F.when(F.col("row") == 1, F.lit("lots")).otherwise(signed), F.lit("<NAME>"), name, F.lit("</STMTTRN>")))
+        .otherwise(F.concat_ws(",", day, name))
+    )
+    heads = {0: "Date,Description,Money out,Money in,Balance", 1: "Date,Description,Debit,Credit", 2: "Date,Description,Amount", 3: "Date,Description", 5: "Date,Description,Amount", 6: "Datum;Verwendungszweck;Betrag;Saldo", 7: "Date,Description,Amount", 8: "<OFX>"}
+    head = F.lit(" ")
+    for k, text in heads.items():
+        head = F.when(kind == k, F.lit(text)).otherwise(head)
+    bodies = rows.groupBy("o_custkey", "kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", line.alias("line")))), lambda x: x["line"]), "\n").alias("body"))
+    files = bodies.select(F.col("o_custkey").alias("statement_id"), F.when(kind.isin(4, 5), head).otherwise(F.concat_ws("\n", head, "body")).alias("text"))
+    parsed = parse(files.withColumn("statement_id", F.col("statement_id").cast("string")))
+    lines = parsed.lines.groupBy("statement_id").agg(F.count("*").alias("n_lines"), F.sum("amount_cents").alias("sum_cents"), F.sum("balance_cents").alias("balances_cents"), F.max("currency").alias("currency"))
+    every = files.select(F.col("statement_id").cast("string").alias("statement_id")).join(parsed.refusals, "statement_id", "left").join(lines, "statement_id", "left")
+    return every.select(F.col("statement_id").cast("bigint").alias("statement_id"), "code", F.col("row").alias("refused_row"), F.coalesce("n_lines", F.lit(0)).alias("n_lines"), "sum_cents", "balances_cents", "currency")
+
+
+_RULES = """
+WITH i AS (SELECT l_orderkey AS k, l_orderkey % 7 AS kind, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS s FROM lineitem GROUP BY l_orderkey),
+f AS (SELECT k, kind, 'tax' AS field, s // 11 AS value, 1.0 AS confidence, 2 AS line_number, 'labelled' AS how FROM i WHERE kind = 0
+  UNION ALL SELECT k, kind, 'total', s, 1.0, 1, 'labelled' FROM i WHERE kind = 0
+  UNION ALL SELECT k, kind, 'total', s, 0.55, 1, 'handed over' FROM i WHERE kind = 1
+  UNION ALL SELECT k, kind, 'total', s + 500, 0.55, 2, 'largest near the end' FROM i WHERE kind = 2
+  UNION ALL SELECT k, kind, 'total', s, 0.2, 2, 'labelled' FROM i WHERE kind = 3
+  UNION ALL SELECT k, kind, 'total', NULL, 0.0, NULL, 'no amount' FROM i WHERE kind = 4
+  UNION ALL SELECT k, kind, unnest(['subtotal', 'tip', 'discount', 'fees', 'total']), unnest([s, s // 20, 150, 99, s + s // 20 - 51]), 1.0, unnest([2, 3, 4, 5, 6]), 'labelled' FROM i WHERE kind = 5
+  UNION ALL SELECT k, kind, 'total', s, 0.2, 1, 'largest near the end' FROM i WHERE kind = 6)
+"""
+
+
+def ruled_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tax that is included, totals handed over, guessed, doubtful and missing, and every labelled part."""
+    items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("receipt_id")).agg(F.sum(cents_of("l_extendedprice")).alias("s"))
+    kind, amount, plus = F.col("receipt_id") % 7, format_cents(F.col("s")), format_cents(F.col("s") + 500)
+    tip = F.expr("s div 20")
+    lines = {
+        0: ("Shop", F.concat(F.lit("Total  "), amount), F.concat(F.lit("of which VAT 10% is "), format_cents(F.expr("s div 11")))),
+        1: ("Shop", F.concat(F.lit("Amount paid "), amount)),
+        2: ("Shop", F.concat(F.lit("Tea "), amount), F.concat(F.lit("Cash "), plus), F.lit("Change 5.00")),
+        3: ("Shop", "Total 1.00", F.concat(F.lit("TOTAL DUE "), amount)),
+        5: ("Shop", F.concat(F.lit("Tea "), amount), F.concat(F.lit("Sub-Total "), amount), F.concat(F.lit("Gratuity "), format_cents(tip)), F.lit("Coupon 1.50"), F.lit("Service fee 0.99"), F.concat(F.lit("Balance due "), format_cents(F.col("s") + tip - 51))),
+        6: ("Shop", F.concat(F.lit("Tea "), amount)),
+    }
+    text = F.lit("nothing\nto read")
+    for k, parts in lines.items():
+        text = F.when(kind == k, F.concat_ws("\n", *(F.lit(x) if isinstance(x, str) else x for x in parts))).otherwise(text)
+    return items.select("receipt_id", text.alias("text"), kind.isin(3, 6).alias("degraded"))
+
+
+@query(_RULES + "SELECT k AS receipt_id, field, CAST(value AS BIGINT) AS value_cents, CAST(confidence AS DOUBLE) AS confidence, line_number, how FROM f")
+def receipt_rules(spark, sf_dir):
+    return extract.fields(extract.readings(ruled_receipts(spark, sf_dir))).select("receipt_id", "field", "value_cents", "confidence", "line_number", "how")
+
+
+@query(_RULES + "SELECT k AS receipt_id, CASE WHEN kind IN (1, 2, 3, 6) THEN 'total' ELSE '' END AS doubtful, kind IN (0, 5) AS trusted FROM i")
+def receipts_for_a_person(spark, sf_dir):
+    made = extract.receipts(ruled_receipts(spark, sf_dir))
+    return made.select("receipt_id", F.array_join("doubtful", ",").alias("doubtful"), F.col("total_cents").isNotNull().alias("trusted"))
+
+
+_WORDS = """
+WITH w AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_discount) AS line, 'p' || l_partkey AS a, 'q' || CAST(l_quantity AS BIGINT) AS b, CAST(l_quantity AS INT) AS q, CAST(round(l_discount * 1000) AS INT) AS c FROM lineitem)
+"""
+
+
+def words_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two words a line, the right one given first."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity", "l_discount")
+    q, line = F.col("l_quantity").cast("int"), F.col("line")
+    left = F.struct(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("text"), F.lit(90).alias("confidence"), F.lit(10).alias("left"), (line * 20).alias("top"), (q + 1).alias("width"), F.lit(12).alias("height"))
+    right = F.struct(F.concat(F.lit("q"), q.cast("string")).alias("text"), F.round(F.col("l_discount") * 1000).cast("int").alias("confidence"), (q + 30).alias("left"), (line * 20 + 1).alias("top"), F.lit(25).alias("width"), (F.lit(8) + line).alias("height"))
+    lines = table(spark, sf_dir, "lineitem").withColumn("line", F.row_number().over(order))
+    return lines.select(F.col("l_orderkey").alias("doc_id"), "line", F.inline(F.array(right, left)))
+
+
+@query(_WORDS + """SELECT doc_id AS receipt_id, string_agg(a || ' ' || b, chr(10) ORDER BY line) AS text, count(*) FILTER (c < 60) > 0.2 * 2 * count(*) OR 2 * count(*) < 8 AS degraded FROM w GROUP BY doc_id""")
+def assembled_words(spark, sf_dir):
+    return documents.assemble_words(words_read(spark, sf_dir)).select("receipt_id", "text", "degraded")
+
+
+@query(_WORDS + 'SELECT doc_id, line, 10 AS "left", line * 20 AS "top", q + 55 AS "right", greatest(line * 20 + 12, line * 20 + 9 + line) AS "bottom" FROM w')
+def line_boxes(spark, sf_dir):
+    return extract.boxes(words_read(spark, sf_dir))
+
+
+# Subset sums: an order's line prices and their total, whole, a cent off, with one digit misread, or with one price missing.
+
+_SUMS = """
+WITH l AS (SELECT l_orderkey AS k, count(*) AS n, sum(CAST(round(l_quantity) AS BIGINT) * 100 + l_linenumber) AS s FROM lineitem GROUP BY l_orderkey)
+SELECT k AS receipt_id, n + 1 AS n_amounts, CASE WHEN n < 2 THEN NULL WHEN k % 3 = 0 THEN 0 WHEN k % 3 = 1 THEN 7 ELSE 100000 END AS gap, CASE WHEN n < 2 THEN 'too few amounts' WHEN k % 3 = 0 THEN 'exact' WHEN k % 3 = 1 THEN 'near' ELSE 'far' END AS verdict FROM l
+"""
+
+
+@query(_SUMS)
+def amounts_that_sum(spark, sf_dir):
+    """The total is the sum, seven cents over it, or far over it (no single digit closes a gap of a thousand)."""
+    price = F.round("l_quantity").cast("bigint") * 100 + F.col("l_linenumber")
+    orders = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("receipt_id")).agg(F.array_join(F.collect_list(format_cents(price)), "\n").alias("lines"), F.sum(price).alias("s"))
+    kind = F.col("receipt_id") % 3
+    total = F.col("s") + F.when(kind == 0, F.lit(0)).when(kind == 1, F.lit(7)).otherwise(F.lit(100_000))
+    return extract.arithmetic(orders.select("receipt_id", F.concat_ws("\n", "lines", F.concat(F.lit("Sum "), format_cents(total))).alias("text")))
+
+
+@query("""
+WITH l AS (SELECT l_orderkey AS k, l_orderkey % 5 AS kind, count(*) AS n FROM lineitem GROUP BY l_orderkey)
+SELECT CAST(kind AS VARCHAR) AS kind, count(*) AS texts, count(*) AS with_text, count(*) FILTER (n >= 3) AS with_amounts, list_sort(list(n))[count(*) // 2 + 1] AS median_amounts FROM l GROUP BY kind
+""")
+def amounts_by_kind(spark, sf_dir):
+    orders = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.collect_list(format_cents(cents_of("l_extendedprice"))), "\n").alias("text"))
+    made = extract.amounts_by_kind(orders.select((F.col("l_orderkey") % 5).cast("string").alias("kind"), "text"))
+    return made.withColumn("median_amounts", F.col("median_amounts").cast("bigint"))
+
+
+@query(_LEDGER + """SELECT (SELECT count(*) FROM g) || ' transactions: ' || string_agg(n || ' ' || verdict_tag, ', ' ORDER BY list_position(['possible-duplicate', 'reconciled', 'accepted', 'does-not-reconcile', 'ambiguous', 'unchecked'], verdict_tag)) AS summary
+FROM (SELECT verdict_tag, count(*) AS n FROM g GROUP BY 1)""")
+def ledger_summary(spark, sf_dir):
+    return sinks.summary(order_ledger(spark, sf_dir))
+
+
+@query(_RECEIPTS + """SELECT o_orderkey, CASE WHEN c1 IS NOT NULL THEN items - subtotal END AS gap1, CASE WHEN c2 IS NOT NULL THEN subtotal + coalesce(tax, 0) - total END AS gap2, CASE WHEN c4 IS NOT NULL THEN total - abs(amount) END AS gap4 FROM v""")
+def check_gaps(spark, sf_dir):
+    made = verdict.reconcile(order_pairs(spark, sf_dir))
+    return made.select("o_orderkey", *(F.element_at("checks", i)["gap"].alias(f"gap{i}") for i in (1, 2, 4)))
