@@ -154,9 +154,11 @@ def is_recurring(gaps: Column, charges: Column) -> Column:
 
 
 def recurring(of_runs: DataFrame) -> DataFrame:
-    """(statement_id, merchant, charges, latest_cents, a_year_cents, first_seen, last_seen, rows)."""
+    """(statement_id, leader, merchant, charges, latest_cents, a_year_cents, first_seen, last_seen, rows, rank), the largest year first."""
     facts = _run_facts(of_runs).filter(is_recurring(F.col("gaps"), F.col("charges")))
-    return facts.select("statement_id", "leader", "merchant", "charges", F.col("last_cents").alias("latest_cents"), (F.col("last_cents") * 12).alias("a_year_cents"), "first_seen", "last_seen", "rows", "first_row")
+    order = Window.partitionBy("statement_id").orderBy(F.desc("last_cents"), "first_row")
+    facts = facts.withColumn("rank", F.row_number().over(order))
+    return facts.select("statement_id", "leader", "merchant", "charges", F.col("last_cents").alias("latest_cents"), (F.col("last_cents") * 12).alias("a_year_cents"), "first_seen", "last_seen", "rows", "first_row", "rank")
 
 
 def price_rises(of_runs: DataFrame) -> DataFrame:
@@ -177,9 +179,10 @@ def new_recurring(of_runs: DataFrame, lines: DataFrame, settling_days: int = SET
 
 
 def paid_twice(lines: DataFrame, window_days: int = WINDOW_DAYS) -> DataFrame:
-    """``suspects`` with the money at risk of each: nothing for refunded pairs and undated groups."""
+    """``suspects`` with the money at risk of each (nothing for refunded pairs and undated groups) and their rank, the largest amount first."""
     risk = F.when(F.col("refund_row").isNull() & F.col("days_apart").isNotNull(), F.col("cents")).otherwise(F.lit(0))
-    return suspects(lines, window_days).withColumn("at_risk", risk)
+    order = Window.partitionBy("statement_id").orderBy(F.desc("cents"), "first_row", "second_row")
+    return suspects(lines, window_days).withColumns({"at_risk": risk, "rank": F.row_number().over(order)})
 
 
 def audit(lines: DataFrame, states: DataFrame, window_days: int = WINDOW_DAYS) -> DataFrame:

@@ -41,8 +41,20 @@ def firefly(rows: DataFrame) -> DataFrame:
 def firefly_config(account_id: str = "") -> str:
     """The importer's column mapping; an unknown account is left at 0 so that the importer asks."""
     roles = ["date_transaction", "description", "amount", "tags-comma", "note"]
-    made = {"version": 3, "source": PREFIX, "date": "Y-m-d", "delimiter": "comma", "headers": True, "roles": roles, "do_mapping": [False] * 5, "mapping": [[] for _ in roles]}
-    made |= {"default_account": int(account_id) if str(account_id).isdigit() else 0, "duplicate_detection_method": "cell", "unique_column_index": 1, "unique_column_type": "description"}
+    made = {
+        "version": 3,
+        "source": PREFIX,
+        "date": "Y-m-d",
+        "delimiter": "comma",
+        "headers": True,
+        "roles": roles,
+        "do_mapping": [False] * 5,
+        "mapping": [[] for _ in roles],
+        "default_account": int(account_id) if str(account_id).isdigit() else 0,
+        "duplicate_detection_method": "cell",
+        "unique_column_index": 1,
+        "unique_column_type": "description",
+    }
     return json.dumps(made, indent=2) + "\n"
 
 
@@ -82,3 +94,16 @@ def write(rows: DataFrame, target: str, path: str, single_file: bool = False) ->
 def verdict_counts(rows: DataFrame) -> DataFrame:
     """(verdict, n) over all rows."""
     return rows.groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+#: Verdicts in the order in which a summary names them.
+ORDER = ("possible-duplicate", "reconciled", "accepted", "does-not-reconcile", "ambiguous", "unchecked")
+
+
+def summary(rows: DataFrame) -> DataFrame:
+    """(summary): one sentence that leaves no verdict out."""
+    counted = verdict_counts(rows)  # a row for each verdict
+    place = F.array_position(F.array(*map(F.lit, ORDER)), F.col("verdict"))
+    named = F.struct(place.alias("place"), F.concat(F.col("n").cast("string"), F.lit(" "), F.col("verdict")).alias("text"))
+    made = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("string").alias("all"), F.array_sort(F.collect_list(named)).alias("each"))
+    return made.select(F.concat("all", F.lit(" transactions: "), F.array_join(F.transform("each", lambda x: x["text"]), ", ")).alias("summary"))
