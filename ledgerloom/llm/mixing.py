@@ -8,7 +8,7 @@ distribution is a table; beyond, each document sums it from twelve deviations be
 first term there, which neither underflows nor grows with more than the root of the rate. Counts beyond ``CHUNK`` are
 dealt out in chunks before they are exploded.
 
-Edge cases: a null source is a source of its own; a null or empty text counts one byte; rows with one id (null included)
+Edge cases: a null source is a source of its own; a null or empty text counts one byte, and a very long one is copied whole like any other; rows with one id (null included)
 draw one number, so repeated rows get equal counts. An empty table gives an empty table. Input columns named like an
 output column (``copy``, ``n_copies``, ``shuffle_key``) are replaced. No rate is too large; the two counts are ints, or bigints
 where a source's mean is over a billion.
@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 
 from ledgerloom.scratch import written
 
-
 #: Well beyond this rate the first probability underflows.
 TABLE_RATE = 500
 #: So many copies of a document at most are exploded in one place.

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from ledgerloom.llm import bpe, order_minhash, pii, quality, secret_scan, suffix_dedup, token_counts
+from ledgerloom.llm import bpe, order_minhash, pii, quality, secret_scan, sharding, suffix_dedup, token_counts
 from ledgerloom.llm.alignment import edit_distance, similar
 from ledgerloom.llm.common import tiktoken_ranks, vocabulary_path
 from ledgerloom.llm.neighbour_graph import greedy_search
@@ -386,3 +386,12 @@ def test_personal_data_planted_in_prose(finder):
     assert right / there >= 0.9
     base, every = zip(*finder.spans(prose))
     assert sum(map(len, every)) - sum(map(len, base)) <= 5  # false alarms in half a million characters
+
+
+def test_places_between_splitters():
+    rng = random.Random(3)
+    for _ in range(300):
+        some = lambda n: [tuple(rng.randrange(3) for _ in range(3)) for _ in range(n)]
+        splitters, keys = sorted(set(some(rng.randint(0, 9)))), some(30)
+        got = sharding.place_of([np.array([k[i] for k in keys]) for i in range(3)], [np.array([s[i] for s in splitters], np.int64) for i in range(3)])
+        assert got.tolist() == [sum(s <= k for s in splitters) for k in keys]

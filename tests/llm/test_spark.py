@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from ledgerloom.llm import bpe, mixing, order_minhash, pii, quality, queries, secret_scan, sharding, suffix_dedup, token_counts
 from ledgerloom.llm.alignment import similar
-from ledgerloom.llm.common import vocabulary_path
+from ledgerloom.llm.common import tiktoken_ranks, vocabulary_path
 from ledgerloom.llm.neighbour_graph import nearest
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, spans string, copy int, shard int, class_id string"
@@ -74,8 +74,16 @@ def test_texts_one_by_one(spark, docs, rows):
     assert got == sorted(want, key=repr)
     full = {r["doc_id"]: r for r in bpe.bpe_round_trip(docs, full=True).collect() if r["doc_id"] is not None}
     assert full[3]["decoded"] == codec.decode(full[3]["ids"])
-    got = collected(token_counts.count_tokens(docs))
-    assert len(got) == len(texts) and sum(r[1] for r in got) == sum(len((t or "").split()) for t in texts)
+    ranks = tiktoken_ranks(vocabulary_path(token_counts.VOCABULARY))
+
+    def pieces(word):
+        n = 0
+        while word:
+            word, n = word[next(k for k in range(len(word), 0, -1) if word[:k] in ranks) :], n + 1
+        return n
+
+    words = [(t or "").encode().split() for t in texts]
+    assert collected(token_counts.count_tokens(docs)) == sorted(((r[0], len(w), sum(pieces(b" " + x) for x in w)) for r, w in zip(rows, words)), key=repr)
     for f in (quality.quality_rules, secret_scan.scan_secrets, bpe.bpe_round_trip, token_counts.count_tokens):
         assert f(docs.limit(0)).count() == 0
 
@@ -109,6 +117,10 @@ def test_shards(spark, docs, rows):
     want = sorted((r[0], len((r[1] or "").encode()) + 16, zlib.crc32((r[1] or "").encode())) for r in rows if r[0] is not None)
     assert sorted((r["doc_id"], r["size"], r["text_crc32"]) for r in got if r["doc_id"] is not None) == want
     assert sharding.shard(docs.limit(0)).count() == 0
+    # One row, repeated: no task may hold it all, so its ranges are split too.
+    same = spark.range(6000).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit("same text").alias("text"))
+    got = sharding.shard(same, 10).collect()
+    assert sorted(Counter(r["shard"] for r in got).values()) == [600] * 10 and sorted(r["slot"] for r in got if r["shard"] == 3) == list(range(600))
     one = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("same").alias("text"))
     sizes = Counter(r["shard"] for r in sharding.shard(one, 10).collect())
     assert len(sizes) == 10 and max(sizes.values()) - min(sizes.values()) <= 1
