@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import decisions, integrity
 from ledgerloom.plans import reports
 from ledgerloom.plans.pipeline import audit_statements, review_texts
+from ledgerloom.scratch import written
 from ledgerloom.sources import sinks
 from ledgerloom.sources.documents import read_receipts
-from ledgerloom.sources.statements import parse, read_texts
+from ledgerloom.sources.statements import Statements, parse, read_texts
 
 
 def _print(lines: DataFrame) -> None:
@@ -30,8 +31,13 @@ def _worst(codes: DataFrame) -> int:
     return codes.agg(F.coalesce(F.max("code"), F.lit(2))).first()[0]
 
 
+def _statements(spark: SparkSession, path: str) -> Statements:
+    """Parsed once, then read as tables by every report."""
+    return Statements(*(written(df, f"cli-{name}") for name, df in parse(read_texts(spark, path))._asdict().items()))
+
+
 def audit(spark: SparkSession, args: argparse.Namespace) -> int:
-    parsed = parse(read_texts(spark, args.statements))
+    parsed = _statements(spark, args.statements)
     made = audit_statements(parsed)
     _print(reports.audit_report(made).unionByName(reports.refusal_report(parsed)))
     return _worst(reports.audit_codes(parsed, made))
@@ -39,11 +45,11 @@ def audit(spark: SparkSession, args: argparse.Namespace) -> int:
 
 def _reviewed(spark: SparkSession, args: argparse.Namespace) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(queue, refusals with incomplete statements, unreadable receipts)."""
-    parsed = parse(read_texts(spark, args.statements))
+    parsed = _statements(spark, args.statements)
     receipts, unreadable = read_receipts(spark, args.receipts)
     states = integrity.completeness(parsed.lines, parsed.statements)
     bad = reports.refusal_report(parsed).unionByName(states.filter("not usable").select("statement_id", F.lit(1).alias("number"), F.lit("Incomplete: its own figures contradict it.").alias("line")))
-    return review_texts(parsed, receipts), bad, unreadable
+    return written(review_texts(parsed, receipts), "cli-queue"), bad, unreadable
 
 
 def check(spark: SparkSession, args: argparse.Namespace) -> int:
@@ -56,11 +62,11 @@ def check(spark: SparkSession, args: argparse.Namespace) -> int:
 
 def export(spark: SparkSession, args: argparse.Namespace) -> int:
     """Writes a ledger; a decision log that was tampered with stops it."""
-    queue, bad, _ = _reviewed(spark, args)
     log = decisions.read_log(spark, args.decisions) if args.decisions else None
     if log is not None and (broken := decisions.verify_chain(log).filter("not intact").first()):
         print(f"Not exported: the decision log breaks at line {broken['broken_at']}.", file=sys.stderr)
         return 2
+    queue, bad, _ = _reviewed(spark, args)
     decided = decisions.decisions(log) if log is not None else spark.createDataFrame([], f"log_id string, line_no int, {decisions.SCHEMA}")
     rows = decisions.ledger_rows(queue, decided)
     sinks.write(rows, args.to, args.out, single_file=args.single)

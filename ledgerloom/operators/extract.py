@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ledgerloom.functions.money import first_currency
+from ledgerloom.functions.money import first_currency, let
 
 # Labels by field, tender and change words, confidences.
 LABELS = {
@@ -71,87 +71,100 @@ def _cents(token: Column) -> Column:
     return F.translate(token, "., \t\n\x0b\f\r", "").try_cast("bigint")
 
 
-def lined(receipts: DataFrame) -> DataFrame:
-    """(receipt_id, degraded, mark, lines): lines is an array of (number, line, plain, amounts, label).
+def _parsed(text: Column) -> Column:
+    """struct(mark, lines): lines is an array of (number, line, plain, amounts, label).
 
     Amounts are the cents of every amount on a line, left to right; rates, and amounts without the receipt's decimal mark, are left
-    out. Labels are looked up where they can matter: beside amounts, and in the first lines.
+    out. Labels are looked up where they can matter: beside amounts, and in the first lines. Values that are used more than
+    once are bound by ``let``, so the expression stays small wherever the optimizer copies it.
     """
-    text = F.coalesce("text", F.lit(""))
-    raw = F.transform(F.split(text, "\r\n|\n|\r"), lambda x: F.regexp_replace(x, r"\s+$", ""))
-    split = receipts.select("receipt_id", F.coalesce("degraded", F.lit(False)).alias("degraded"), raw.alias("raw"))
-    split = split.withColumn("tokens", F.transform("raw", lambda x: F.when(F.regexp_like(x, F.lit(r"\d[.,]\d\d")), F.regexp_extract_all(x, F.lit(_AMOUNT), F.lit(0))).otherwise(F.array().cast("array<string>"))))
-    # An amount's mark stands before its last two digits.
-    votes = F.transform(F.flatten("tokens"), lambda x: F.substring(x, -3, 1))
-    split = split.withColumn("votes", votes)
-    dots, commas = F.size(F.filter("votes", lambda v: v == ".")), F.size(F.filter("votes", lambda v: v == ","))
-    mark = F.when(F.size("votes") < MARK_MINIMUM, F.lit("")).when(dots > commas, F.lit(".")).when(commas > dots, F.lit(",")).otherwise(F.lit(""))
-    marked = split.withColumn("mark", mark)
-
-    def line(raw: Column, i: Column) -> Column:
-        kept = F.filter(F.element_at("tokens", i + 1), lambda x: (F.col("mark") == "") | (F.substring(x, -3, 1) == F.col("mark")))
-        return F.struct(i.alias("number"), raw.alias("line"), plain(raw).alias("plain"), F.transform(kept, _cents).alias("amounts"))
-
-    rows = marked.select("receipt_id", "degraded", "mark", F.transform("raw", line).alias("rows"))
-    labelled = F.transform("rows", lambda x: x.withField("label", F.when((F.size(x["amounts"]) > 0) | (x["number"] < MERCHANT_LINES), label_on(x["plain"]))))
-    return rows.select("receipt_id", "degraded", "mark", labelled.alias("lines"))
+    raw = F.transform(F.split(F.coalesce(text, F.lit("")), "\r\n|\n|\r"), lambda x: F.regexp_replace(x, r"\s+$", ""))
+    none = F.array().cast("array<string>")
 
+    def tokens(line: Column) -> Column:
+        return F.struct(line.alias("line"), F.when(F.regexp_like(line, F.lit(r"\d[.,]\d\d")), F.regexp_extract_all(line, F.lit(_AMOUNT), F.lit(0))).otherwise(none).alias("tokens"))
 
-def lines_of(receipts: DataFrame) -> DataFrame:
-    """(receipt_id, degraded, mark, number, line, plain, amounts, label): one row for each line of text."""
-    return lined(receipts).select("receipt_id", "degraded", "mark", F.inline_outer("lines"))
+    def marked(rows: Column) -> Column:
+        # An amount's mark stands before its last two digits.
+        votes = F.flatten(F.transform(rows, lambda x: F.transform(x["tokens"], lambda t: F.substring(t, -3, 1))))
 
+        def mark(v: Column) -> Column:
+            dots, commas = F.size(F.filter(v, lambda m: m == ".")), F.size(F.filter(v, lambda m: m == ","))
+            return F.when(F.size(v) < MARK_MINIMUM, F.lit("")).when(dots > commas, F.lit(".")).when(commas > dots, F.lit(",")).otherwise(F.lit(""))
 
-def readings(receipts: DataFrame) -> DataFrame:
-    """(receipt_id, fields, items, merchant): everything that the lines of (receipt_id, text, degraded) state.
+        return let(let(votes, mark), lambda m: F.struct(m.alias("mark"), F.transform(rows, lambda x, i: line(x, i, m)).alias("lines")))
 
-    ``fields``: array of (field, value_cents, confidence, line_number, line, how). The first labelled line of a field
-    counts, for the total the last; in a degraded reading the last of every field, and nothing is trusted. Without a
-    total, what was handed over stands in (unless change was given), else the largest amount of the last third; neither is
-    trusted. ``items``: priced, unlabelled lines above the subtotal, none without a subtotal. ``merchant``: the first of six lines
-    with two letters, no amount and no label.
-    """
-    read = lined(receipts).withColumn("priced", F.filter("lines", lambda x: F.size(x["amounts"]) > 0))
+    def line(x: Column, i: Column, mark: Column) -> Column:
+        kept = F.transform(F.filter(x["tokens"], lambda t: (mark == "") | (F.substring(t, -3, 1) == mark)), _cents)
+        made = F.struct(i.alias("number"), x["line"].alias("line"), plain(x["line"]).alias("plain"), kept.alias("amounts"))
+        return let(made, lambda y: y.withField("label", F.when((F.size(y["amounts"]) > 0) | (y["number"] < MERCHANT_LINES), label_on(y["plain"]))))
+
+    return let(F.transform(raw, tokens), marked)
+
+
+def _reading(parsed: Column, degraded: Column) -> Column:
+    """struct(fields, items, merchant) of ``_parsed`` lines."""
+    first, last = (lambda a: F.try_element_at(a, F.lit(1))), (lambda a: F.try_element_at(a, F.lit(-1)))
     value = lambda x: F.element_at(x["amounts"], -1)
     stated = lambda x: F.struct(value(x).alias("value"), x["number"].alias("number"), x["line"].alias("line"))
-    first, last = (lambda a: F.try_element_at(a, F.lit(1))), (lambda a: F.try_element_at(a, F.lit(-1)))
+    lines = parsed["lines"]
 
-    def labelled(f: str) -> Column:
-        return F.transform(F.filter("priced", lambda x: x["label"] == f), stated).alias(f"all_{f}")
+    def labelled(priced: Column, f: str) -> Column:
+        found = F.filter(priced, lambda x: x["label"] == f)
+        return F.transform(F.array(last(found) if f == "total" else F.when(degraded, last(found)).otherwise(first(found))), stated)[0].alias(f)
 
-    tail = F.filter("priced", lambda x: x["number"] >= F.floor(F.size("lines") * 2 / 3))
-    largest = F.array_max(F.transform(tail, lambda x: F.struct(F.array_max(x["amounts"]).alias("value"), (-x["number"]).alias("up"), x["line"].alias("line"))))
-    tender = last(F.transform(F.filter("priced", lambda x: _words(x["plain"], TENDER)), stated))
-    change = F.exists("lines", lambda x: _words(x["plain"], CHANGE))
-    fit = F.filter(F.slice("lines", 1, MERCHANT_LINES), lambda x: x["label"].isNull() & (F.size(x["amounts"]) == 0) & F.regexp_like(x["line"], F.lit(r"\p{L}.*\p{L}")))
-    read = read.select("receipt_id", "degraded", "priced", *map(labelled, FIELDS), largest.alias("largest"), tender.alias("tender"), change.alias("change"), first(fit)["line"].alias("merchant"))
-    level = F.when(F.col("degraded"), F.lit(GUESSED)).otherwise(F.lit(LABELLED))
+    def facts(priced: Column) -> Column:
+        tail = F.filter(priced, lambda x: x["number"] >= F.floor(F.size(lines) * 2 / 3))
+        largest = F.array_max(F.transform(tail, lambda x: F.struct(F.array_max(x["amounts"]).alias("value"), (-x["number"]).alias("up"), x["line"].alias("line"))))
+        tender = last(F.transform(F.filter(priced, lambda x: _words(x["plain"], TENDER)), stated))
+        change = F.exists(lines, lambda x: _words(x["plain"], CHANGE))
+        return F.struct(priced.alias("priced"), *(labelled(priced, f) for f in FIELDS), largest.alias("largest"), tender.alias("tender"), change.alias("change"))
 
-    def field(name: str, found: Column, confidence: Column, how: Column, number: Column | None = None) -> Column:
+    def field(name: str, found: Column, confidence: Column, how: str, number: Column | None = None) -> Column:
         at = found["number"] if number is None else number
-        return F.struct(F.lit(name).alias("field"), found["value"].alias("value_cents"), confidence.alias("confidence"), at.alias("line_number"), found["line"].alias("line"), how.alias("how"))
-
-    def chosen(f: str) -> Column:
-        return F.when(F.col("degraded"), last(F.col(f"all_{f}"))).otherwise(first(F.col(f"all_{f}")))
-
-    made = [F.when(F.size(f"all_{f}") > 0, field(f, chosen(f), level, F.lit("labelled"))) for f in FIELDS if f != "total"]
-    unsure = F.when(F.col("degraded"), F.lit(GUESSED)).otherwise(F.lit(INFERRED))
-    total, most = last(F.col("all_total")), F.col("largest")
-    total = (
-        F.when(total.isNotNull(), field("total", total, level, F.lit("labelled")))
-        .when(~F.col("change") & F.col("tender").isNotNull(), field("total", F.col("tender"), unsure, F.lit("handed over")))
-        .when(most.isNotNull(), field("total", most, unsure, F.lit("largest near the end"), -most["up"]))
-        .otherwise(field("total", total, F.lit(0.0), F.lit("no amount")))
-    )
-    limit = chosen("subtotal")["number"]
+        return F.struct(F.lit(name).alias("field"), found["value"].alias("value_cents"), confidence.alias("confidence"), at.alias("line_number"), found["line"].alias("line"), F.lit(how).alias("how"))
+
+    def made(x: Column) -> Column:
+        level = F.when(degraded, F.lit(GUESSED)).otherwise(F.lit(LABELLED))
+        unsure = F.when(degraded, F.lit(GUESSED)).otherwise(F.lit(INFERRED))
+        stated_ = [F.when(x[f]["number"].isNotNull(), field(f, x[f], level, "labelled")) for f in FIELDS if f != "total"]
+        total = (
+            F.when(x["total"]["number"].isNotNull(), field("total", x["total"], level, "labelled"))
+            .when(~x["change"] & x["tender"].isNotNull(), field("total", x["tender"], unsure, "handed over"))
+            .when(x["largest"].isNotNull(), field("total", x["largest"], unsure, "largest near the end", -x["largest"]["up"]))
+            .otherwise(field("total", x["total"], F.lit(0.0), "no amount"))
+        )
+        above = F.filter(x["priced"], lambda y: y["label"].isNull() & (y["number"] < x["subtotal"]["number"]))
+        items = F.filter(F.transform(above, item), lambda y: y["description"] != "")
+        fit = F.filter(F.slice(lines, 1, MERCHANT_LINES), lambda y: y["label"].isNull() & (F.size(y["amounts"]) == 0) & F.regexp_like(y["line"], F.lit(r"\p{L}.*\p{L}")))
+        merchant = F.coalesce(F.trim(first(fit)["line"]), F.lit(""))
+        return F.struct(F.array_compact(F.array(*stated_, total)).alias("fields"), items.alias("items"), merchant.alias("merchant"))
 
     def item(x: Column) -> Column:
         description = F.regexp_replace(F.regexp_replace(x["line"], _ANY_AMOUNT, ""), r"^[ .\-\t]+|[ .\-\t]+$", "")
         return F.struct(x["number"].alias("row"), description.alias("description"), value(x).alias("amount_cents"), x["line"].alias("line"))
 
-    above = F.filter("priced", lambda x: x["label"].isNull() & (x["number"] < limit))
-    items = F.filter(F.transform(above, item), lambda x: x["description"] != "")
-    return read.select("receipt_id", F.array_compact(F.array(*made, total)).alias("fields"), items.alias("items"), F.coalesce(F.trim("merchant"), F.lit("")).alias("merchant"))
+    return let(let(F.filter(lines, lambda x: F.size(x["amounts"]) > 0), facts), made)
+
+
+def lines_of(receipts: DataFrame) -> DataFrame:
+    """(receipt_id, degraded, mark, number, line, plain, amounts, label): one row for each line of text."""
+    parsed = receipts.select("receipt_id", F.coalesce("degraded", F.lit(False)).alias("degraded"), _parsed(F.col("text")).alias("p"))
+    return parsed.select("receipt_id", "degraded", "p.mark", F.inline_outer("p.lines"))
+
+
+def readings(receipts: DataFrame) -> DataFrame:
+    """(receipt_id, fields, items, merchant): everything that the lines of (receipt_id, text, degraded) state.
+
+    ``fields``: array of (field, value_cents, confidence, line_number, line, how). The first labelled line of a field
+    counts, for the total the last; in a degraded reading the last of every field, and nothing is trusted. Without a
+    total, what was handed over stands in (unless change was given), else the largest amount of the last third; neither is
+    trusted. ``items``: priced, unlabelled lines above the subtotal, none without a subtotal. ``merchant``: the first of six lines
+    with two letters, no amount and no label.
+    """
+    degraded = F.coalesce("degraded", F.lit(False))
+    read = let(_parsed(F.col("text")), lambda p: _reading(p, degraded))
+    return receipts.select("receipt_id", read.alias("r")).select("receipt_id", "r.fields", "r.items", "r.merchant")
 
 
 def fields(read: DataFrame) -> DataFrame:
