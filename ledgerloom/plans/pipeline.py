@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import extract, integrity, pairing, queue, selfaudit, verdict
+from ledgerloom.scratch import written
 from ledgerloom.sources.statements import Statements
 
 
@@ -19,12 +20,18 @@ class Audit(NamedTuple):
     coverage: DataFrame
 
 
+def parsed_once(parsed: Statements) -> Statements:
+    """``parsed`` as tables: files are read and parsed once, however many questions follow."""
+    return Statements(*(df if hasattr(df, "_ledgerloom_path") else written(df, name) for name, df in parsed._asdict().items()))
+
+
 def audit_statements(parsed: Statements) -> Audit:
     """States, findings and recurring charges of all statements; incomplete ones have neither findings nor charges.
 
     ``coverage`` says how many lines could be examined at all: a statement without dates or names is whole and yet nothing
     in it was audited.
     """
+    parsed = parsed_once(parsed)
     states = integrity.completeness(parsed.lines, parsed.statements)
     good = parsed.lines.join(states.filter("usable").select("statement_id"), "statement_id", "left_semi")
     looked = selfaudit.billed(parsed.lines).groupBy("statement_id").agg(F.count("*").alias("auditable"), F.count_if(F.col("date").isNull()).alias("undated"))
@@ -50,9 +57,10 @@ def review(lines: DataFrame, receipts: DataFrame, scope: Sequence[str] = (), win
 
 def review_texts(parsed: Statements, texts: DataFrame) -> DataFrame:
     """``review`` of parsed statements against receipts given as text (receipt_id, text, degraded)."""
+    parsed = parsed_once(parsed)
     states = integrity.completeness(parsed.lines, parsed.statements)
     good = parsed.lines.join(states.filter("usable").select("statement_id"), "statement_id", "left_semi")
-    read = extract.receipts(texts)
+    read = written(extract.receipts(texts), "receipts")
     for column, kind in (("date", "date"), ("generated", "boolean")):
         if column not in read.columns:
             read = read.withColumn(column, F.lit(None).cast(kind))

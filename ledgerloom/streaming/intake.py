@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerloom.plans.pipeline import audit_statements
-from ledgerloom.sources.statements import Statements, parse
+from ledgerloom.plans.pipeline import audit_statements, parsed_once
+from ledgerloom.scratch import release
+from ledgerloom.sources.statements import parse
 
 
 def watch(spark: SparkSession, inbox: str, store: str, checkpoint: str, on_change: Callable[[DataFrame, int], None] | None = None, once: bool = True) -> StreamingQuery:
@@ -26,16 +27,16 @@ def watch(spark: SparkSession, inbox: str, store: str, checkpoint: str, on_chang
         batch = batch.persist()
         parsed: tuple[DataFrame, ...] = ()
         try:
-            fresh = batch.dropDuplicates(["statement_id"])
-            parsed = Statements(*(df.persist() for df in parse(fresh)))
+            parsed = parsed_once(parse(batch.dropDuplicates(["statement_id"])))
             audit = audit_statements(parsed)
             for name, df in (("lines", parsed.lines), ("states", audit.states), ("findings", audit.findings), ("refusals", parsed.refusals)):
                 df.write.mode("overwrite").parquet(f"{store}/{name}/batch={number}")
             if on_change:
                 on_change(session.read.parquet(f"{store}/findings/batch={number}"), number)
         finally:
-            for df in (batch, *parsed):
-                df.unpersist()
+            batch.unpersist()
+            for df in parsed:
+                release(df)
 
     writer = files.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
