@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm.bpe import bpe_round_trip
+from ledgerloom.llm.cross_tokenizer import align_tokenizers
 from ledgerloom.llm.mixing import mix_sources
 from ledgerloom.llm.neighbour_graph import nearest
 from ledgerloom.llm.order_minhash import near_duplicates
@@ -65,6 +66,10 @@ def op10_deep_shallow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir))
 
 
+def op12_byte_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(documents(spark, sf_dir))
+
+
 _ALL = (
     op1_sampled_splitters,
     op2_token_efficiency,
@@ -76,6 +81,7 @@ _ALL = (
     op8_line_first,
     op9_order_minhash,
     op10_deep_shallow,
+    op12_byte_owners,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
