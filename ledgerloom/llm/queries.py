@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm.bpe import bpe_round_trip
 from ledgerloom.llm.cross_tokenizer import align_tokenizers
+from ledgerloom.llm.lexical_search import search
 from ledgerloom.llm.mixing import mix_sources
 from ledgerloom.llm.neighbour_graph import nearest
 from ledgerloom.llm.order_minhash import near_duplicates
@@ -70,6 +71,10 @@ def op12_byte_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokenizers(documents(spark, sf_dir))
 
 
+def op13_tput(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 _ALL = (
     op1_sampled_splitters,
     op2_token_efficiency,
@@ -82,6 +87,7 @@ _ALL = (
     op9_order_minhash,
     op10_deep_shallow,
     op12_byte_owners,
+    op13_tput,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
@@ -95,4 +101,17 @@ n AS (SELECT d.*, len(list_filter(c.sums, lambda x: x <= CAST('0x' || substr(md5
 e AS (SELECT doc_id, text, lang, source, n_chars, CAST(n_copies AS INTEGER) AS n_copies, CAST(unnest(range(1, n_copies + 1)) AS INTEGER) AS copy FROM n)
 SELECT *, md5('18:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || copy) AS shuffle_key FROM e
 """
-ORACLE_SQL: dict[str, str] = {"op3_poisson_mix": _MIX_SQL}
+
+_SEARCH_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+b AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term FROM benchmark),
+s AS (SELECT count(*) AS nd, CAST(sum(len(ts)) AS BIGINT) AS l FROM d WHERE len(ts) > 0),
+p AS (SELECT doc_id, len(ts) AS n, unnest(ts) AS term FROM d),
+t AS (SELECT doc_id, n, term, count(*) AS tf FROM p WHERE term IN (SELECT term FROM b) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * (SELECT nd FROM s) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM t GROUP BY term),
+r AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * (SELECT nd FROM s)) // (SELECT l FROM s))))) AS BIGINT) AS score
+  FROM b JOIN t USING (term) JOIN w USING (term) GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM r WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
+"""
+ORACLE_SQL: dict[str, str] = {"op3_poisson_mix": _MIX_SQL, "op13_tput": _SEARCH_SQL}
