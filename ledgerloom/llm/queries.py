@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerloom.llm.backoff_lm import score_texts
 from ledgerloom.llm.bpe import bpe_round_trip
 from ledgerloom.llm.cross_tokenizer import align_tokenizers
 from ledgerloom.llm.lexical_search import search
@@ -67,6 +68,10 @@ def op10_deep_shallow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir))
 
 
+def op11_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(documents(spark, sf_dir))
+
+
 def op12_byte_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokenizers(documents(spark, sf_dir))
 
@@ -86,6 +91,7 @@ _ALL = (
     op8_line_first,
     op9_order_minhash,
     op10_deep_shallow,
+    op11_backoff_automaton,
     op12_byte_owners,
     op13_tput,
 )
