@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -45,6 +46,13 @@ def ratio(a: str, b: str) -> float:
     return difflib.SequenceMatcher(None, a, b).ratio()
 
 
+def ratio_bound(a: str, b: str) -> float:
+    """No ratio is above this: letters that two names share, wherever they stand."""
+    if not a or not b:
+        return 0.0
+    return 2 * sum((Counter(a) & Counter(b)).values()) / (len(a) + len(b))
+
+
 @F.pandas_udf(T.DoubleType())
 def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
     pairs = list(zip(a, b))
@@ -52,20 +60,22 @@ def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([known[pair] for pair in pairs], dtype=float)
 
 
-def length_bound(a: Column, b: Column) -> Column:
-    """No ratio is above this."""
-    return 2 * F.least(F.length(a), F.length(b)) / (F.length(a) + F.length(b))
+def ratio_limit(a: Column, b: Column) -> Column:
+    """A bound of ``ratio`` that is cheap: what must be inserted and deleted is no matching character, and is no less than the edit distance."""
+    total = F.length(a) + F.length(b)
+    short = 2 * F.least(F.length(a), F.length(b)) / total
+    return F.when(short >= RATIO_FLOOR, 1 - F.levenshtein(a, b) / total).otherwise(short)
 
 
 def with_similarity(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
     """``df`` with the similarity of two columns of normal names: containment, or a ratio of at least the floor.
 
-    Only pairs whose lengths allow such a ratio, and whose tokens don't decide, reach Python (as non-null arguments).
+    Only pairs whose edit distance allows such a ratio, and whose tokens don't decide, reach Python (as non-null arguments).
     """
     x, y = F.col(a), F.col(b)
     held = F.when((x != "") & (x == y), F.lit(1.0)).otherwise(containment(x, y))
     with_held = df.withColumn("__held", held)
-    ask = (F.col("__held") < 1) & (x != "") & (y != "") & (length_bound(x, y) >= RATIO_FLOOR)
+    ask = (F.col("__held") < 1) & (x != "") & (y != "") & (ratio_limit(x, y) >= RATIO_FLOOR)
     asked = with_held.withColumn("__ratio", _ratios(F.when(ask, x), F.when(ask, y)))
     close = F.when(F.col("__ratio") >= RATIO_FLOOR, F.col("__ratio")).otherwise(F.lit(0.0))
     return asked.withColumn(out, F.greatest("__held", close)).drop("__held", "__ratio")

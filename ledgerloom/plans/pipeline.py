@@ -36,7 +36,10 @@ def audit_statements(parsed: Statements) -> Audit:
     good = parsed.lines.join(states.filter("usable").select("statement_id"), "statement_id", "left_semi")
     looked = selfaudit.billed(parsed.lines).groupBy("statement_id").agg(F.count("*").alias("auditable"), F.count_if(F.col("date").isNull()).alias("undated"))
     coverage = parsed.lines.groupBy("statement_id").agg(F.count("*").alias("n_lines")).join(looked, "statement_id", "left").fillna(0, ["auditable", "undated"])
-    return Audit(states, selfaudit.audit(parsed.lines, states), selfaudit.recurring(selfaudit.runs(good)), coverage)
+    # Clustered once: findings and the inventory are told from the same facts.
+    of_runs = selfaudit.runs(good)
+    facts = written(selfaudit.recurring_facts(of_runs), "recurring")
+    return Audit(states, selfaudit.audit(parsed.lines, states, facts=facts), selfaudit.recurring(of_runs, facts), coverage)
 
 
 def review(lines: DataFrame, receipts: DataFrame, scope: Sequence[str] = (), window_days: int = pairing.WINDOW_DAYS) -> DataFrame:

@@ -238,9 +238,9 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("statement_id"), k.alias("row"), date.alias("date"), described(k % 3, F.floor(k / 3) % 2).alias("description"), (F.round("value").cast("bigint") * 100 * sign).alias("amount_cents"))
 
 
-@query(_EVENT_LINES + "SELECT statement_id, cents, merchant, days_apart, first_row, second_row, refund_row, at_risk FROM t")
+@query(_EVENT_LINES + "SELECT statement_id, cents, merchant, days_apart, first_row, second_row, refund_row, at_risk, row_number() OVER (PARTITION BY statement_id ORDER BY cents DESC, first_row, second_row) AS rank FROM t")
 def paid_twice(spark, sf_dir):
-    return selfaudit.paid_twice(event_lines(spark, sf_dir)).select("statement_id", "cents", "merchant", F.col("days_apart").cast("bigint").alias("days_apart"), "first_row", "second_row", "refund_row", F.col("at_risk").cast("bigint").alias("at_risk"))
+    return selfaudit.paid_twice(event_lines(spark, sf_dir)).select("statement_id", "cents", "merchant", F.col("days_apart").cast("bigint").alias("days_apart"), "first_row", "second_row", "refund_row", F.col("at_risk").cast("bigint").alias("at_risk"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(_EVENT_LINES + "SELECT statement_id, CAST(sum(at_risk) AS BIGINT) AS at_risk FROM t GROUP BY statement_id")
@@ -270,9 +270,9 @@ def ship_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("statement_id"), row.alias("row"), F.to_date("l_shipdate").alias("date"), described(which, F.col("l_orderkey") % 2).alias("description"), (-cents_of("l_extendedprice")).alias("amount_cents"))
 
 
-@query(_RUNS + "SELECT statement_id, leader, merchant, charges, last_cents AS latest_cents, last_cents * 12 AS a_year_cents, first_seen, last_seen FROM r")
+@query(_RUNS + "SELECT statement_id, leader, merchant, charges, last_cents AS latest_cents, last_cents * 12 AS a_year_cents, first_seen, last_seen, row_number() OVER (PARTITION BY statement_id ORDER BY last_cents DESC, r1) AS rank FROM r")
 def recurring_runs(spark, sf_dir):
-    return selfaudit.recurring(selfaudit.runs(ship_lines(spark, sf_dir))).select("statement_id", "leader", "merchant", "charges", "latest_cents", "a_year_cents", "first_seen", "last_seen")
+    return selfaudit.recurring(selfaudit.runs(ship_lines(spark, sf_dir))).select("statement_id", "leader", "merchant", "charges", "latest_cents", "a_year_cents", "first_seen", "last_seen", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(_RUNS + "SELECT r.statement_id, r.leader, r.first_cents, r.last_cents, rise AS rise_cents, rise * 12 AS at_risk, min(l.date) AS rose_on FROM r JOIN l ON l.statement_id = r.statement_id AND l.m = r.m AND l.cents > r.first_cents + 50 WHERE rise > 50 GROUP BY ALL")
@@ -305,6 +305,22 @@ def audit_findings(spark, sf_dir):
     return found.select("statement_id", "kind", "merchant", F.col("at_risk").cast("bigint").alias("at_risk"), F.col("rank").cast("bigint").alias("rank"))
 
 
+@query(_EVENT_LINES + f""", d AS (SELECT statement_id, row, date, m, name, description, cents FROM b WHERE date IS NOT NULL), {_FACTS},
+u AS (SELECT statement_id, 0 AS place, CAST(NULL AS BIGINT) AS m, cents, days_apart, at_risk, first_row AS r1, second_row AS r2 FROM t
+  UNION ALL SELECT statement_id, 1, m, NULL, NULL, rise * 12, r1, r2 FROM r WHERE rise > 50
+  UNION ALL SELECT statement_id, 2, m, NULL, NULL, last_cents * 12, r1, r2 FROM r JOIN o USING (statement_id) WHERE first_seen > opened + 45),
+v AS (SELECT *, row_number() OVER (PARTITION BY statement_id ORDER BY at_risk DESC, place, r1, r2) AS rank FROM u)
+SELECT statement_id, rank, unnest([r1, r2]) AS row FROM v WHERE place = 0 AND days_apart IS NOT NULL
+UNION ALL SELECT v.statement_id, rank, b.row FROM v JOIN b ON v.place = 0 AND v.days_apart IS NULL AND b.statement_id = v.statement_id AND b.cents = v.cents AND b.m = v.r1 % 3
+UNION ALL SELECT v.statement_id, rank, d.row FROM v JOIN d ON v.place > 0 AND d.statement_id = v.statement_id AND d.m = v.m""")
+def finding_rows(spark, sf_dir):
+    lines = event_lines(spark, sf_dir).withColumn("balance_cents", F.lit(None).cast("bigint"))
+    nothing = F.lit(None).cast("bigint")
+    statements = lines.select("statement_id").distinct().select("statement_id", nothing.alias("period_total_cents"), nothing.alias("opening_balance_cents"), nothing.alias("closing_balance_cents"))
+    found = selfaudit.finding_rows(selfaudit.audit(lines, integrity.completeness(lines, statements)), lines)
+    return found.select("statement_id", F.col("rank").cast("bigint").alias("rank"), "row")
+
+
 # Pairing: purchases as charges, clicks as receipts, in whole units.
 
 _PAIRS = """

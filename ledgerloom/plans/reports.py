@@ -54,7 +54,7 @@ def audit_report(audit: Audit) -> DataFrame:
     label = F.lit("")
     for kind, name in KINDS.items():
         label = F.when(F.col("kind") == kind, F.lit(name)).otherwise(label)
-    rows = F.array_join(F.transform("rows", lambda r: r.cast("string")), ", ")
+    rows = F.concat(F.col("first_row").cast("string"), F.lit(" to "), F.col("last_row").cast("string"))
     parts.append(_lines(audit.findings, 3, F.col("rank"), F.concat(F.lit("    "), _padded(format_cents(F.col("at_risk")), 10), F.lit("  "), F.rpad(label, 14, " "), F.lit(" "), F.coalesce("merchant", F.lit("")), F.lit(", rows "), rows)))
     yearly = audit.recurring.groupBy("statement_id").agg(F.sum("a_year_cents").alias("s"))
     parts.append(_lines(yearly, 4, nothing, F.concat(F.lit("  Recurring charges: "), format_cents(F.col("s")), F.lit(" a year, no finding, just what is there"))))
