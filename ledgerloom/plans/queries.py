@@ -135,11 +135,51 @@ def name_containment(spark, sf_dir):
     return name_pairs(spark, sf_dir).select("p_partkey", "other", containment(F.col("a"), F.col("b")).alias("shared"))
 
 
-@query()
+def _similar_sql(pairs: str) -> str:
+    """SQL for the similarity of (p_partkey, a, b): matching blocks by recursion. The longest run of equal letters, the earliest on ties, parts
+    both names in two, and so on; ``r`` holds the run that begins at each pair of equal letters."""
+    shared = "len(list_intersect(list_distinct(string_split(a, ' ')), list_distinct(string_split(b, ' ')))) / least(len(list_distinct(string_split(a, ' '))), len(list_distinct(string_split(b, ' '))))"
+    return f"""
+WITH RECURSIVE {pairs},
+h AS (SELECT *, CASE WHEN a = '' OR b = '' THEN 0.0 WHEN a = b THEN 1.0 ELSE {shared} END AS held FROM p),
+o AS (SELECT * FROM h WHERE held < 1 AND a <> '' AND b <> ''),
+e AS (SELECT p_partkey, i, j FROM (SELECT p_partkey, a, b, i, unnest(range(1, length(b) + 1)) AS j FROM (SELECT *, unnest(range(1, length(a) + 1)) AS i FROM o)) WHERE a[i] = b[j]),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY p_partkey, i - j ORDER BY i) AS island FROM e),
+r AS (SELECT p_partkey, i, j, max(i) OVER (PARTITION BY p_partkey, i - j, island) - i + 1 AS run FROM g),
+seg AS (SELECT p_partkey, CAST(1 AS BIGINT) AS alo, CAST(length(a) + 1 AS BIGINT) AS ahi, CAST(1 AS BIGINT) AS blo, CAST(length(b) + 1 AS BIGINT) AS bhi, CAST(0 AS BIGINT) AS size FROM o
+  UNION ALL
+  SELECT p_partkey, CASE WHEN side = 0 THEN alo ELSE i + k END, CASE WHEN side = 0 THEN i ELSE ahi END, CASE WHEN side = 0 THEN blo ELSE j + k END, CASE WHEN side = 0 THEN j ELSE bhi END, CASE WHEN side = 0 THEN k ELSE 0 END
+  FROM (SELECT seg.*, i, j, least(run, ahi - i, bhi - j) AS k FROM seg JOIN r ON r.p_partkey = seg.p_partkey AND i >= alo AND i < ahi AND j >= blo AND j < bhi
+    QUALIFY row_number() OVER (PARTITION BY seg.p_partkey, alo, ahi, blo, bhi ORDER BY least(run, ahi - i, bhi - j) DESC, i, j) = 1) AS x, (VALUES (0), (1)) AS v(side)),
+m AS (SELECT p_partkey, 2.0::DOUBLE * sum(size) / (any_value(length(a)) + any_value(length(b))) AS ratio FROM seg JOIN o USING (p_partkey) GROUP BY p_partkey)
+SELECT h.*, round_even(greatest(held, CASE WHEN ratio >= 0.8 THEN ratio ELSE 0 END)::DOUBLE, 3) AS similarity FROM h LEFT JOIN m USING (p_partkey)"""
+
+
+@query(f"SELECT p_partkey, other, similarity FROM ({_similar_sql(_NAME_PAIRS.replace('WITH', '').strip() + ', p AS (SELECT * FROM q WHERE other IS NOT NULL)')})")
 def name_similarity(spark, sf_dir):
     return with_similarity(name_pairs(spark, sf_dir), "a", "b", "similarity").select("p_partkey", "other", F.bround("similarity", 3).alias("similarity"))
 
 
+_MISSPELT = "regexp_replace({0}, '[aeiou]', 'u')", "{0}[1:4] || {0}[6:]", "reverse({0}[1:3]) || {0}[4:]", "{0}[5:] || {0}[1:4]", "{0} || {0}[3:5]"
+
+
+@query("SELECT p_partkey, b AS spelt, similarity FROM (" + _similar_sql(f"""p AS (SELECT *, trim(regexp_replace(CASE p_partkey % 5 {" ".join(f"WHEN {k} THEN {x.format('a')}" for k, x in enumerate(_MISSPELT))} END, ' +', ' ', 'g')) AS b
+  FROM (SELECT p_partkey, replace({_MERCHANT.replace("lower(raw)", "lower(p_name)")}, ' ', '') || p_partkey % 7 AS a FROM part))""") + ")")
+def misspelt_names(spark, sf_dir):
+    """One-word names beside themselves with a letter changed, lost, moved or added, where letters alone decide."""
+    a, k = F.col("a"), F.col("p_partkey") % 5
+    names = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.replace(normalise_merchant(F.col("p_name")), F.lit(" "), F.lit("")), (F.col("p_partkey") % 7).cast("string")).alias("a"))
+    cut = lambda at, n=None: F.substring(a, at, n or 1000)
+    b = (
+        F.when(k == 0, F.concat(F.regexp_extract(a, "^([^aeiou]*)", 1), F.when(a.rlike("[aeiou]"), F.lit("u")).otherwise(F.lit("")), F.regexp_extract(a, "^[^aeiou]*[aeiou](.*)$", 1)))
+        .when(k == 1, F.concat(cut(1, 4), cut(6)))
+        .when(k == 2, F.concat(F.reverse(cut(1, 3)), cut(4)))
+        .when(k == 3, F.concat(cut(5), cut(1, 4)))
+        .otherwise(F.concat(a, cut(3, 3)))
+    )
+    return with_similarity(names.withColumn("b", b), "a", "b", "similarity").select("p_partkey", F.col("b").alias("spelt"), F.bround("similarity", 3).alias("similarity"))
+
+
 @query("SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'EUR' WHEN 1 THEN 'USD' WHEN 2 THEN upper(substr(n_name, 1, 3)) ELSE NULL END AS currency FROM nation")
 def currencies(spark, sf_dir):
     k = F.col("n_nationkey") % 4
