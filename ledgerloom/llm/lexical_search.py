@@ -3,11 +3,11 @@
 A term is a maximal run of letters, digits and anything beyond ASCII, with A to Z lowered. Each item's documents are ranked by a sum
 over its distinct terms of integer impacts (``impact``). Three phases read the lists, never a whole document again:
 
-1. The head of each term's list, its k largest impacts, gives each item k documents with partial sums; the k-th largest is a
-   lower bound of its k-th best score.
-2. Every list of an item is cut at one threshold, the bound over the number of lists: a document below it in all lists can't
-   reach the bound. The sums of what is read give a better bound, and each document an upper one.
-3. Documents whose upper bound reaches the better bound are looked up exactly.
+1. The head of each term's list, its k largest impacts, names documents for each item. The few with the largest sums over the heads are
+   looked up; the k-th best of their scores is a lower bound of the item's k-th best score.
+2. Every list of an item is cut at one threshold. It is the largest for which documents below it in all lists can't reach the bound,
+   given that no list has more than its head's first impact. The sums of what is read give each document an upper bound.
+3. Documents whose upper bound reaches the lower one are looked up exactly.
 
 All bounds are integers and a document equal to a bound stays, so ties are decided by exact scores alone.
 
@@ -28,11 +28,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.scratch import release, written
+from ledgerloom.scratch import written
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: No term is empty: the empty string marks one row for each document, which carries its length.
 DOCUMENT = ""
+#: Rows of items' terms for documents that are broadcast; more are joined by key.
+BROADCAST_ROWS = 500_000
 
 
 def terms_of(text: Column) -> Column:
@@ -56,16 +58,23 @@ def impact(weight: Column, tf: Column, n: Column, documents: int, terms: int) ->
     return weight * F.call_function("div", F.lit(1_000_000_000) * tf, F.lit(1000) * tf + F.lit(8) * m)
 
 
-def _kth(sums: DataFrame, k: int, name: str) -> DataFrame:
-    """(item, name): each item's k-th largest ``partial``; items with fewer have no row."""
-    place = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("partial"), "key"))
-    return sums.withColumn("place", place).filter(F.col("place") <= k).groupBy("item").agg(F.min("partial").alias(name), F.count("*").alias("n")).filter(F.col("n") == k).drop("n")
+def _best(sums: DataFrame, k: int, value: str) -> DataFrame:
+    """The k rows of each item with the largest ``value``."""
+    place = F.row_number().over(Window.partitionBy("item").orderBy(F.desc(value), "key"))
+    return sums.withColumn("place", place).filter(F.col("place") <= k).drop("place")
+
+
+def _looked_up(scored: DataFrame, pairs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(item, key, doc_id, score): exact scores of documents for items."""
+    wanted = written(pairs.select("item", "key").join(asked.select("item", "term"), "item"), "search-wanted-terms")
+    few = wanted.count() <= BROADCAST_ROWS
+    return scored.join(F.broadcast(wanted) if few else wanted, ["key", "term"]).groupBy("item", "key", "doc_id").agg(F.sum("impact").alias("score"))
 
 
 def search(docs: DataFrame, items: DataFrame, k: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(item_id, rank, doc_id, score): each item's k highest-scoring documents with a score above 0."""
     asked = items.select(F.monotonically_increasing_id().alias("item"), F.col(f"`{item_id}`").alias("item_id"), F.array_distinct(terms_of(F.col(f"`{item_text}`"))).alias("terms"))
-    asked = written(asked.select("item", "item_id", F.size("terms").cast("bigint").alias("lists"), F.explode("terms").alias("term")), "search-terms")
+    asked = written(asked.select("item", "item_id", F.explode("terms").alias("term")), "search-terms")
     spark = docs.sparkSession
     wanted = written(asked.select("term").distinct().unionByName(spark.range(1).select(F.lit(DOCUMENT).alias("term"))), "search-wanted")
     # A long list is dealt to several partitions.
@@ -77,18 +86,25 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, doc_id: str = "doc_id
     scored = lists.join(weights, "term").select("term", "key", "doc_id", impact(F.col("weight"), F.col("tf"), F.col("n"), documents, terms).alias("impact")).filter("impact > 0")
 
     head = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("impact"), "key"))
-    heads = scored.withColumn("place", head).filter(F.col("place") <= k)
+    heads = written(scored.withColumn("place", head).filter(F.col("place") <= k), "search-heads")
     sums = heads.join(asked.select("item", "term"), "term").groupBy("item", "key").agg(F.sum("impact").alias("partial"))
-    bounds = written(asked.join(_kth(sums, k, "bound"), "item", "left").select("item", "term", "lists", F.coalesce("bound", F.lit(0)).alias("bound")), "search-bounds")
-
-    read = scored.join(bounds, "term").filter(F.col("impact") * F.col("lists") >= F.col("bound"))
-    unseen = F.call_function("div", F.greatest(F.first("bound") - 1, F.lit(0)), F.first("lists"))
-    seen = written(read.groupBy("item", "key").agg(F.sum("impact").alias("partial"), (F.sum("impact") + (F.first("lists") - F.count("*")) * unseen).alias("upper")), "search-seen")
-
-    better = _kth(seen, k, "better")
-    candidates = written(seen.join(better, "item", "left").filter(F.col("better").isNull() | (F.col("upper") >= F.col("better"))).select("item", "key"), "search-candidates")
-    release(seen)
-    near = scored.join(candidates.select("key").distinct(), "key", "left_semi")
-    exact = candidates.join(asked, "item").join(near, ["key", "term"]).groupBy("item", "item_id", "key", "doc_id").agg(F.sum("impact").alias("score"))
+    tried = _looked_up(scored, _best(sums, 3 * k, "partial"), asked)
+    bound = _best(tried, k, "score").groupBy("item").agg(F.when(F.count("*") == k, F.min("score")).alias("bound"))
+    # No list has more than ``most``. Of x = (bound - 1 - what the j shortest lists can give) / (the number of others), the largest is
+    # the level at which the lists together stay below the bound.
+    most = heads.groupBy("term").agg(F.max("impact").alias("most"))
+    lists_of = asked.join(most, "term").join(bound, "item", "left").withColumn("bound", F.coalesce("bound", F.lit(0)))
+    shorter = Window.partitionBy("item").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("item")
+    others = F.count("*").over(whole) - F.count("*").over(shorter)
+    level = F.call_function("div", F.col("bound") - 1 - F.coalesce(F.sum("most").over(shorter), F.lit(0)), others)
+    lists_of = lists_of.withColumn("x", level).withColumn("level", F.greatest(F.max("x").over(whole), F.lit(0)))
+    lists_of = lists_of.withColumn("cap", F.least("level", "most"))
+    cuts = written(lists_of.withColumn("all_caps", F.sum("cap").over(whole)).select("item", "term", "level", "cap", "all_caps", "bound", "most"), "search-cuts")
+
+    read = scored.join(cuts.filter("most > level"), "term").filter("impact > level")
+    upper = F.sum(F.col("impact") - F.col("cap")) + F.max("all_caps")
+    candidates = read.groupBy("item", "key").agg(upper.alias("upper"), F.max("bound").alias("bound")).filter(F.col("upper") >= F.col("bound"))
+    exact = _looked_up(scored, candidates, asked).join(asked.select("item", "item_id").distinct(), "item")
     rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last(), "key"))
     return exact.withColumn("rank", rank).filter(F.col("rank") <= k).select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
