@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import tempfile
 import uuid
@@ -66,3 +67,12 @@ def _sweep(spark: SparkSession, app: str) -> None:
             _delete(spark, path)
         except Exception:  # noqa: BLE001 - the session may be gone at exit
             return
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Has Spark remove the shuffle files of finished stages that no plan can read any more.
+
+    It does so only once the driver's memory is collected, which may be hours away where a driver has little to do.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
