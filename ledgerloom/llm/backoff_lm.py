@@ -28,7 +28,6 @@ from math import log10
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -36,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ledgerloom.scratch import written
+from ledgerloom.scratch import drop_shuffles, written
 
 #: Tokens of a block; a longer text is a block of its own.
 BLOCK = 1 << 20
@@ -71,7 +70,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 def encoded_blocks(df: DataFrame, text: str, test: Column, keep: Sequence[str]) -> DataFrame:
     """Each document's tokens as places in its block's vocabulary, and a block's vocabulary as keys in the row of its first document."""
-    fields = [T.StructField("__block", T.LongType()), T.StructField("__n", T.LongType()), T.StructField("__tokens", T.ArrayType(T.IntegerType())), T.StructField("__keys", T.ArrayType(T.LongType()))]
+    fields = [T.StructField("__block", T.LongType()), T.StructField("__n", T.LongType()), T.StructField("__tokens", T.BinaryType()), T.StructField("__keys", T.BinaryType())]
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(test, F.lit(False)).alias("__test"), F.col(f"`{text}`").cast("string").alias("__text"))
     schema = T.StructType([*source.schema.fields[:-1], *fields])
     arrow = to_arrow_schema(T.StructType(fields))
@@ -82,12 +81,12 @@ def encoded_blocks(df: DataFrame, text: str, test: Column, keep: Sequence[str])
 
         def flush() -> Iterator[pa.RecordBatch]:
             # Rows of a block lie in one or more batches; its vocabulary goes with the first.
-            keys = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in places), np.uint64, len(places)).view(np.int64)
+            keys = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in places), np.uint64, len(places)).tobytes()
             first = True
             for part, tokens in zip(held, rows):
                 if not tokens:
                     continue
-                made = [[block] * len(tokens), list(map(len, tokens)), tokens, [keys if first and not i else None for i in range(len(tokens))]]
+                made = [[block] * len(tokens), list(map(len, tokens)), list(map(planes, tokens)), [keys if first and not i else None for i in range(len(tokens))]]
                 first = False
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(v, f.type) for v, f in zip(made, arrow))], names=schema.names)
 
@@ -117,9 +116,14 @@ def encoded_blocks(df: DataFrame, text: str, test: Column, keep: Sequence[str])
     return source.mapInArrow(run, schema)
 
 
-def flat(lists: pa.ChunkedArray) -> np.ndarray:
-    """The values of a column of lists, one after another."""
-    return np.concatenate([c.flatten().to_numpy() for c in lists.chunks])
+def planes(values: np.ndarray) -> bytes:
+    """Integers byte by byte, all lowest bytes first: small ones leave long runs of zeros, which compress away."""
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def from_planes(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, len(data) // size).T).view(kind).ravel()
 
 
 class Grams:
@@ -132,8 +136,8 @@ class Grams:
     def __init__(self, documents: pa.Table, order: int):
         # A shuffle doesn't keep the order of rows; codes and counts don't depend on it.
         self.lengths = documents.column("__n").to_numpy()
-        self.tokens = flat(documents.column("__tokens"))
-        (self.words,) = (np.asarray(k, np.int64) for k in documents.column("__keys").to_pylist() if k is not None)
+        self.tokens = np.concatenate([from_planes(x, np.int32) for x in documents.column("__tokens").to_pylist()])
+        (self.words,) = (np.frombuffer(k, np.int64) for k in documents.column("__keys").to_pylist() if k is not None)
         train = np.repeat(~documents.column("__test").to_numpy(), self.lengths)
         ends = np.cumsum(self.lengths)
         first = np.zeros(len(self.tokens), bool)
@@ -173,8 +177,8 @@ def _by_range(keys: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(_range_of(keys[order], ranges), np.arange(ranges), side="right")
 
 
-_SENT = "of_range int, n int, of_block long, keys array<bigint>, counts array<int>"
-_TOTAL = "of_range int, n int, of_block long, totals array<bigint>, distinct long, counted long"
+_SENT = "of_range int, n int, of_block long, keys binary, counts binary"
+_TOTAL = "of_range int, n int, of_block long, totals binary, distinct long, counted long"
 
 
 def totals(blocks: DataFrame, order: int, ranges: int) -> DataFrame:
@@ -190,20 +194,21 @@ def totals(blocks: DataFrame, order: int, ranges: int) -> DataFrame:
             at, ends = _by_range(keys, ranges)
             for r, (start, end) in enumerate(zip([0, *ends[:-1]], ends)):
                 if end > start:
-                    for c, v in zip(out, (r, n, block, keys[at[start:end]], counts[at[start:end]])):
+                    steps = np.diff(keys[at[start:end]].view(np.uint64), prepend=np.uint64(0))
+                    for c, v in zip(out, (r, n, block, planes(steps), planes(counts[at[start:end]].astype(np.int32)))):
                         out[c].append(v)
-        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
         return pa.table([pa.array(v, k) for v, k in zip(out.values(), kinds)], names=[*out])
 
     def add(sent: pa.Table) -> pa.Table:
         rows = sent.num_rows
-        _, places = np.unique(flat(sent.column("keys")), return_inverse=True)
-        sums = np.bincount(places, flat(sent.column("counts")))
-        ends = np.cumsum(pc.list_value_length(sent.column("keys")).to_numpy())
-        found = np.split(sums[places].astype(np.int64), ends[:-1])
+        keys = [np.cumsum(from_planes(x, np.uint64), dtype=np.uint64) for x in sent.column("keys").to_pylist()]
+        _, places = np.unique(np.concatenate(keys), return_inverse=True)
+        sums = np.bincount(places, np.concatenate([from_planes(x, np.int32) for x in sent.column("counts").to_pylist()]))
+        found = list(map(planes, np.split(sums[places].astype(np.int64), np.cumsum(list(map(len, keys)))[:-1])))
         single = sent.column("n")[0].as_py() == 0
         distinct, counted = (int((sums > 0).sum()), int(sums.sum())) if single else (0, 0)
-        columns = [sent.column("of_range"), sent.column("n"), sent.column("of_block"), pa.array(found, pa.list_(pa.int64())), pa.array([distinct, *[0] * (rows - 1)]), pa.array([counted, *[0] * (rows - 1)])]
+        columns = [sent.column("of_range"), sent.column("n"), sent.column("of_block"), pa.array(found, pa.binary()), pa.array([distinct, *[0] * (rows - 1)]), pa.array([counted, *[0] * (rows - 1)])]
         return pa.table(columns, names=["of_range", "n", "of_block", "totals", "distinct", "counted"])
 
     needed = blocks.select("__block", "__n", "__test", "__tokens", "__keys")
@@ -275,6 +280,7 @@ def score_texts(df: DataFrame, text: str = "text", doc_id: str = "doc_id", keep:
     tokens = blocks.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
     ranges = max(1, -(-tokens // RANGE))
     counted = written(totals(blocks, order, ranges), "lm-totals")
+    drop_shuffles(df.sparkSession)
     distinct, train = counted.agg(F.coalesce(F.sum("distinct"), F.lit(0)), F.coalesce(F.sum("counted"), F.lit(0))).first()
     schema = T.StructType([*(blocks.schema[c] for c in keep), *FIELDS.fields])
 
@@ -285,7 +291,7 @@ def score_texts(df: DataFrame, text: str = "text", doc_id: str = "doc_id", keep:
         lists = found.column("totals")
         for n, keys in enumerate(grams.keys):
             at, _ = _by_range(keys, ranges)
-            sorted_ = np.concatenate([lists[i].values.to_numpy() for m, _, i in by_place if m == n])
+            sorted_ = np.concatenate([from_planes(lists[i].as_py(), np.int64) for m, _, i in by_place if m == n])
             back = np.empty(len(keys), np.int64)
             back[at] = sorted_
             counts.append(back)

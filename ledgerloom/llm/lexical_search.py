@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.scratch import written
+from ledgerloom.scratch import drop_shuffles, written
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: No term is empty: the empty string marks one row for each document, which carries its length.
@@ -79,6 +79,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, doc_id: str = "doc_id
     wanted = written(asked.select("term").distinct().unionByName(spark.range(1).select(F.lit(DOCUMENT).alias("term"))), "search-wanted")
     # A long list is dealt to several partitions.
     lists = written(postings(docs, wanted, doc_id, text).hint("rebalance", "term"), "search-lists")
+    drop_shuffles(spark)
     totals = lists.filter(F.col("term") == DOCUMENT).agg(F.count("*").alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).first()
     documents, terms = totals["documents"], totals["terms"]
     weight = F.floor(F.lit(1000) * F.log(F.lit(2.0 * documents + 2) / (F.lit(2) * F.col("df") + 1)))
