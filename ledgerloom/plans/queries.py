@@ -385,7 +385,7 @@ def charges_and_receipts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, D
 
 @query(_PAIRS + "SELECT statement_id, row, receipt_id, CAST(similarity AS DOUBLE) AS similarity, comparable, days_apart, CAST(score AS DOUBLE) AS score FROM s")
 def pairing_candidates(spark, sf_dir):
-    return pairing.candidates(*charges_and_receipts(spark, sf_dir)).withColumn("days_apart", F.col("days_apart").cast("bigint"))
+    return pairing.candidates(*charges_and_receipts(spark, sf_dir)).withColumn("days_apart", F.col("days_apart").cast("bigint")).drop("pool")
 
 
 @query(_PAIRS + "SELECT statement_id, row, outcome, CASE WHEN outcome = 'matched' THEN receipt_id END AS receipt_id, n_candidates FROM o")

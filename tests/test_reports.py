@@ -3,6 +3,8 @@
 import itertools
 import random
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from ledgerloom.cli import main
@@ -82,3 +84,66 @@ def test_command_line(spark, tmp_path, capsys):
     open(log, "a").write("{}\n")
     assert main(["export", str(bank / "a.csv"), str(papers), str(tmp_path / "out2"), "--decisions", log]) == 2
     assert not decisions.verify_chain(decisions.read_log(spark, log)).first()["intact"]
+
+
+def brute_rounds(pairs):
+    """Rounds of nominations and awards over (charge, receipt, score, days, alike), one after another."""
+    charges, receipts, won = {p[0] for p in pairs}, {p[1] for p in pairs}, set()
+    while True:
+        bids = {}
+        for c in sorted(charges):
+            mine = sorted((p for p in pairs if p[0] == c and p[1] in receipts), key=lambda p: (-p[2], p[3], p[1]))
+            if mine and mine[0][4] and (len(mine) == 1 or mine[1][2] < mine[0][2] - pairing.TIE):
+                bids.setdefault(mine[0][1], []).append((-mine[0][2], c))
+        if not bids:
+            return won, {p[:2] for p in pairs if p[0] in charges and p[1] in receipts}
+        for r, offers in bids.items():
+            won.add((min(offers)[1], r))
+            charges.discard(min(offers)[1])
+            receipts.discard(r)
+
+
+def random_pairs(rng, n, m):
+    score = lambda: round(rng.choice([1.0, 0.9, rng.random()]) - 0.01 * rng.randint(0, 2), 4)
+    return [(c, r, score(), rng.randint(0, 5), rng.random() < 0.8) for c in range(n) for r in range(m) if rng.random() < 0.6]
+
+
+def test_pools_are_settled_as_rounds_would():
+    rng = random.Random(1)
+    for _ in range(500):
+        pairs = random_pairs(rng, rng.randint(1, 9), rng.randint(1, 9))
+        rng.shuffle(pairs)
+        if pairs:
+            won, still = pairing.settle(*(np.array([p[i] for p in pairs]) for i in range(5)))
+            assert ({p[:2] for p, w in zip(pairs, won) if w}, {p[:2] for p, w in zip(pairs, still) if w}) == brute_rounds(pairs)
+
+
+def test_one_pass_and_rounds_agree(spark, monkeypatch):
+    """Pools of every size by one task each; then all of them too large for that, by rounds of all tasks."""
+    rng = random.Random(3)
+    rows, want = [], {}
+    for pool in range(30):
+        pairs = random_pairs(rng, rng.randint(1, 6), rng.randint(1, 6))
+        rows += [("s", pool * 100 + c, f"r{pool * 100 + r:05d}", 1.0 if a else 0.0, True, d, s, pool) for c, r, s, d, a in pairs]
+        want |= {pool * 100 + c: f"r{pool * 100 + r:05d}" for c, r in brute_rounds(pairs)[0]}
+    found = spark.createDataFrame(rows, "statement_id string, row int, receipt_id string, similarity double, comparable boolean, days_apart int, score double, pool bigint")
+    charges = found.select("statement_id", "row").distinct()
+    for most in (1 << 20, 12, 0):
+        monkeypatch.setattr(pairing, "MOST_PAIRS", most)
+        monkeypatch.setattr(pairing, "PAIRS_A_CALL", 50)
+        assert {r["row"]: r["receipt_id"] for r in pairing.assign(charges, found).collect() if r["receipt_id"]} == want
+
+
+def test_jobs_don_t_grow_with_the_group(spark):
+    """One order of preference for all: a round of all tasks would award one receipt each."""
+
+    def jobs(n):
+        charges = spark.createDataFrame([("s", i) for i in range(n)], "statement_id string, row int")
+        rows = [("s", i, f"r{j:03d}", 1.0, True, 1, 0.9 - 0.005 * j - 0.00001 * i, 7) for i in range(n) for j in range(n)]
+        found = spark.createDataFrame(rows, "statement_id string, row int, receipt_id string, similarity double, comparable boolean, days_apart int, score double, pool bigint")
+        spark.sparkContext.setJobGroup(f"assign-{n}", "")
+        got = {r["row"]: r["receipt_id"] for r in pairing.assign(charges, found).collect()}
+        assert got == {i: f"r{i:03d}" for i in range(n)}
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"assign-{n}"))
+
+    assert jobs(40) == jobs(4)
