@@ -5,15 +5,18 @@ over its distinct terms of integer impacts (``impact``). Three phases read the l
 
 1. The head of each term's list, its k largest impacts, names documents for each item. The few with the largest sums over the heads are
    looked up; the k-th best of their scores is a lower bound of the item's k-th best score.
-2. Every list of an item is cut at one threshold. It is the largest for which documents below it in all lists can't reach the bound,
-   given that no list has more than its head's first impact. The sums of what is read give each document an upper bound.
+2. Every list of an item is cut at one threshold, below which documents that are in no cut list can't reach the bound, given that
+   no list has more than its head's first impact. The sums of what is read give each document an upper bound. At the largest such
+   threshold (``SHARE`` of 1) every document that is read at all could still reach the bound; a lower one reads a little more and
+   leaves few.
 3. Documents whose upper bound reaches the lower one are looked up exactly.
 
 All bounds are integers and a document equal to a bound stays, so ties are decided by exact scores alone.
 
-Scale: texts are split once. Only postings of the items' terms are kept, counted within their documents before they meet other
-documents', and stored by term, a long list over several partitions. Heads and bounds are limited within tasks before they
-are shuffled. Spark broadcasts the items' terms and the candidates where their stored size allows it, and joins by key otherwise.
+Scale: texts are split once. Only postings of the items' terms are kept. They lie by term within slices of documents, those of a
+task, so a common term's list is spread over all slices, and a task sums up an item's impacts for a document before anything is
+shuffled: with lists that were whole by term, 220 million partial sums of 0.5 GB of documents met in one shuffle. Heads and bounds
+are limited within tasks, too. Documents to look up are broadcast where they were counted and are few, and joined by key otherwise.
 
 Edge cases: a null text has no terms; a document or item without terms takes no part. Each row is a document or item of its
 own, whatever ids repeat; equal scores go by doc_id, nulls last, then by the order of rows read. Whole texts are read, however long. An
@@ -22,34 +25,63 @@ empty table of either kind gives an empty table. Other columns are ignored.
 
 from __future__ import annotations
 
-import string
+import re
+from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ledgerloom.scratch import drop_shuffles, written
+from ledgerloom.scratch import written
 
-SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_TERM = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: No term is empty: the empty string marks one row for each document, which carries its length.
 DOCUMENT = ""
-#: Rows of items' terms for documents that are broadcast; more are joined by key.
-BROADCAST_ROWS = 500_000
+#: Documents to look up, of 16 bytes each, that are broadcast; more are joined by key.
+BROADCAST_ROWS = 1_000_000
+#: The threshold as a share of the largest one.
+SHARE = 0.3
 
 
-def terms_of(text: Column) -> Column:
+def terms_in(text: str | None) -> list[bytes]:
     """All terms of a text, with repeats, in order."""
-    plain = F.coalesce(text.cast("string"), F.lit(""))
-    # ASCII texts are lowered faster than by a table of letters.
-    lowered = F.when(F.length(plain) == F.octet_length(plain), F.lower(plain)).otherwise(F.translate(plain, string.ascii_uppercase, string.ascii_lowercase))
-    return F.array_remove(F.split(lowered, SEPARATORS), "")
-
-
-def postings(docs: DataFrame, wanted: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(term, key, doc_id, n, tf) for the terms of ``wanted`` (and one row of the empty term) in each document with terms; n counts all its terms."""
-    found = docs.select(F.monotonically_increasing_id().alias("key"), F.col(f"`{doc_id}`").alias("doc_id"), terms_of(F.col(f"`{text}`")).alias("terms")).filter(F.size("terms") > 0)
-    each = found.select("key", "doc_id", F.size("terms").cast("bigint").alias("n"), F.explode(F.concat("terms", F.array(F.lit(DOCUMENT)))).alias("term"))
-    return each.join(wanted, "term", "left_semi").groupBy("key", "doc_id", "n", "term").agg(F.count("*").alias("tf")).select("term", "key", "doc_id", "n", "tf")
+    return _TERM.findall((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))
+
+
+def _counted(df: DataFrame, row_id: str, text: str) -> DataFrame:
+    """(key, id, n, term, tf): a row for each distinct term of each text, and one for the empty term where a text has any; n counts all its terms."""
+    source = df.select(F.col(f"`{row_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+    lists = [T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("tfs", T.ArrayType(T.LongType()))]
+    schema = T.StructType([T.StructField("key", T.LongType()), source.schema["id"], T.StructField("n", T.LongType()), *lists])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                sizes, ends, terms, tfs = [], [0], [], []
+                for text in part.column(1).to_pylist():
+                    found = terms_in(text)
+                    counts = Counter(found)
+                    if found:
+                        counts[DOCUMENT.encode()] = 1
+                    sizes.append(len(found))
+                    terms += counts.keys()
+                    tfs += counts.values()
+                    ends.append(len(terms))
+                ends = pa.array(ends, pa.int32())
+                keys = pa.array(range(key, key + len(sizes)), pa.int64())
+                key += len(sizes)
+                columns = [keys, part.column(0), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(terms, pa.string())), pa.ListArray.from_arrays(ends, pa.array(tfs, pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    each = source.mapInArrow(run, schema).select("key", "id", "n", F.explode(F.arrays_zip("terms", "tfs")).alias("x"))
+    return each.select("key", "id", "n", F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf"))
 
 
 def impact(weight: Column, tf: Column, n: Column, documents: int, terms: int) -> Column:
@@ -66,20 +98,18 @@ def _best(sums: DataFrame, k: int, value: str) -> DataFrame:
 
 def _looked_up(scored: DataFrame, pairs: DataFrame, asked: DataFrame) -> DataFrame:
     """(item, key, doc_id, score): exact scores of documents for items."""
-    wanted = written(pairs.select("item", "key").join(asked.select("item", "term"), "item"), "search-wanted-terms")
-    few = wanted.count() <= BROADCAST_ROWS
-    return scored.join(F.broadcast(wanted) if few else wanted, ["key", "term"]).groupBy("item", "key", "doc_id").agg(F.sum("impact").alias("score"))
+    wanted = written(pairs.select("item", "key"), "search-documents")
+    near = scored.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "key")
+    return near.join(asked.select("item", "term"), ["item", "term"]).groupBy("item", "key", "doc_id").agg(F.sum("impact").alias("score"))
 
 
 def search(docs: DataFrame, items: DataFrame, k: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(item_id, rank, doc_id, score): each item's k highest-scoring documents with a score above 0."""
-    asked = items.select(F.monotonically_increasing_id().alias("item"), F.col(f"`{item_id}`").alias("item_id"), F.array_distinct(terms_of(F.col(f"`{item_text}`"))).alias("terms"))
-    asked = written(asked.select("item", "item_id", F.explode("terms").alias("term")), "search-terms")
     spark = docs.sparkSession
+    asked = written(_counted(items, item_id, item_text).select(F.col("key").alias("item"), F.col("id").alias("item_id"), "term").filter(F.col("term") != DOCUMENT), "search-terms")
     wanted = written(asked.select("term").distinct().unionByName(spark.range(1).select(F.lit(DOCUMENT).alias("term"))), "search-wanted")
-    # A long list is dealt to several partitions.
-    lists = written(postings(docs, wanted, doc_id, text).hint("rebalance", "term"), "search-lists")
-    drop_shuffles(spark)
+    kept = _counted(docs, doc_id, text).withColumnRenamed("id", "doc_id").join(wanted, "term", "left_semi")
+    lists = written(kept.sortWithinPartitions("term"), "search-lists")
     totals = lists.filter(F.col("term") == DOCUMENT).agg(F.count("*").alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).first()
     documents, terms = totals["documents"], totals["terms"]
     weight = F.floor(F.lit(1000) * F.log(F.lit(2.0 * documents + 2) / (F.lit(2) * F.col("df") + 1)))
@@ -92,14 +122,14 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, doc_id: str = "doc_id
     tried = _looked_up(scored, _best(sums, 3 * k, "partial"), asked)
     bound = _best(tried, k, "score").groupBy("item").agg(F.when(F.count("*") == k, F.min("score")).alias("bound"))
     # No list has more than ``most``. Of x = (bound - 1 - what the j shortest lists can give) / (the number of others), the largest is
-    # the level at which the lists together stay below the bound.
+    # the level at which the lists together stay below the bound; so they do at a share of it.
     most = heads.groupBy("term").agg(F.max("impact").alias("most"))
     lists_of = asked.join(most, "term").join(bound, "item", "left").withColumn("bound", F.coalesce("bound", F.lit(0)))
     shorter = Window.partitionBy("item").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("item")
     others = F.count("*").over(whole) - F.count("*").over(shorter)
     level = F.call_function("div", F.col("bound") - 1 - F.coalesce(F.sum("most").over(shorter), F.lit(0)), others)
-    lists_of = lists_of.withColumn("x", level).withColumn("level", F.greatest(F.max("x").over(whole), F.lit(0)))
+    lists_of = lists_of.withColumn("x", level).withColumn("level", F.floor(F.greatest(F.max("x").over(whole), F.lit(0)) * SHARE))
     lists_of = lists_of.withColumn("cap", F.least("level", "most"))
     cuts = written(lists_of.withColumn("all_caps", F.sum("cap").over(whole)).select("item", "term", "level", "cap", "all_caps", "bound", "most"), "search-cuts")
 
