@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import re
 import tempfile
 import uuid
@@ -11,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SCRATCH: dict[str, list[str]] = {}
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -40,7 +40,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table in the shared folder."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/ledgerloom-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_DROP_SHUFFLES)
+    # What was shuffled for a table is of no use once the table is there.
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, before)
     app = spark.sparkContext.applicationId
     if app not in _SCRATCH:
         _SCRATCH[app] = []
@@ -67,12 +73,3 @@ def _sweep(spark: SparkSession, app: str) -> None:
             _delete(spark, path)
         except Exception:  # noqa: BLE001 - the session may be gone at exit
             return
-
-
-def drop_shuffles(spark: SparkSession) -> None:
-    """Has Spark remove the shuffle files of finished stages that no plan can read any more.
-
-    It does so only once the driver's memory is collected, which may be hours away where a driver has little to do.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
