@@ -42,8 +42,8 @@ _TERM = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: No term is empty: the empty string marks one row for each document, which carries its length.
 DOCUMENT = ""
-#: Documents to look up, of 16 bytes each, that are broadcast; more are joined by key.
-BROADCAST_ROWS = 1_000_000
+#: Rows of a written table, of some 50 bytes each, that are broadcast; larger ones are joined by key.
+BROADCAST_ROWS = 500_000
 #: The threshold as a share of the largest one.
 SHARE = 0.3
 
@@ -90,6 +90,11 @@ def impact(weight: Column, tf: Column, n: Column, documents: int, terms: int) ->
     return weight * F.call_function("div", F.lit(1_000_000_000) * tf, F.lit(1000) * tf + F.lit(8) * m)
 
 
+def _sent(table: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it was counted and is small: so lists stay where they lie."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def _best(sums: DataFrame, k: int, value: str) -> DataFrame:
     """The k rows of each item with the largest ``value``."""
     place = F.row_number().over(Window.partitionBy("item").orderBy(F.desc(value), "key"))
@@ -99,8 +104,8 @@ def _best(sums: DataFrame, k: int, value: str) -> DataFrame:
 def _looked_up(scored: DataFrame, pairs: DataFrame, asked: DataFrame) -> DataFrame:
     """(item, key, doc_id, score): exact scores of documents for items."""
     wanted = written(pairs.select("item", "key"), "search-documents")
-    near = scored.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "key")
-    return near.join(asked.select("item", "term"), ["item", "term"]).groupBy("item", "key", "doc_id").agg(F.sum("impact").alias("score"))
+    near = scored.join(_sent(wanted), "key")
+    return near.join(_sent(asked.select("item", "term")), ["item", "term"]).groupBy("item", "key", "doc_id").agg(F.sum("impact").alias("score"))
 
 
 def search(docs: DataFrame, items: DataFrame, k: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -108,13 +113,13 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, doc_id: str = "doc_id
     spark = docs.sparkSession
     asked = written(_counted(items, item_id, item_text).select(F.col("key").alias("item"), F.col("id").alias("item_id"), "term").filter(F.col("term") != DOCUMENT), "search-terms")
     wanted = written(asked.select("term").distinct().unionByName(spark.range(1).select(F.lit(DOCUMENT).alias("term"))), "search-wanted")
-    kept = _counted(docs, doc_id, text).withColumnRenamed("id", "doc_id").join(wanted, "term", "left_semi")
+    kept = _counted(docs, doc_id, text).withColumnRenamed("id", "doc_id").join(_sent(wanted), "term", "left_semi")
     lists = written(kept.sortWithinPartitions("term"), "search-lists")
     totals = lists.filter(F.col("term") == DOCUMENT).agg(F.count("*").alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).first()
     documents, terms = totals["documents"], totals["terms"]
     weight = F.floor(F.lit(1000) * F.log(F.lit(2.0 * documents + 2) / (F.lit(2) * F.col("df") + 1)))
     weights = written(lists.filter(F.col("term") != DOCUMENT).groupBy("term").agg(F.count("*").alias("df")).select("term", weight.alias("weight")), "search-weights")
-    scored = lists.join(weights, "term").select("term", "key", "doc_id", impact(F.col("weight"), F.col("tf"), F.col("n"), documents, terms).alias("impact")).filter("impact > 0")
+    scored = lists.join(_sent(weights), "term").select("term", "key", "doc_id", impact(F.col("weight"), F.col("tf"), F.col("n"), documents, terms).alias("impact")).filter("impact > 0")
 
     head = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("impact"), "key"))
     heads = written(scored.withColumn("place", head).filter(F.col("place") <= k), "search-heads")
@@ -133,7 +138,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, doc_id: str = "doc_id
     lists_of = lists_of.withColumn("cap", F.least("level", "most"))
     cuts = written(lists_of.withColumn("all_caps", F.sum("cap").over(whole)).select("item", "term", "level", "cap", "all_caps", "bound", "most"), "search-cuts")
 
-    read = scored.join(cuts.filter("most > level"), "term").filter("impact > level")
+    read = scored.join(_sent(cuts.filter("most > level")), "term").filter("impact > level")
     upper = F.sum(F.col("impact") - F.col("cap")) + F.max("all_caps")
     candidates = read.groupBy("item", "key").agg(upper.alias("upper"), F.max("bound").alias("bound")).filter(F.col("upper") >= F.col("bound"))
     exact = _looked_up(scored, candidates, asked).join(asked.select("item", "item_id").distinct(), "item")
