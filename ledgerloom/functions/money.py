@@ -14,8 +14,10 @@ CURRENCY_CODES = (
 )
 CURRENCY_MARKS = {"$": "USD", "£": "GBP", "€": "EUR", "¥": "JPY", "₹": "INR"}
 
-_FURNITURE = r"(?iU)[$£€¥₹\s ']|(?<![A-Za-z])(?:" + "|".join(CURRENCY_CODES) + r")(?![A-Za-z])"
-_MARK = r"(?i)[$£€¥₹]|(?<![A-Za-z])(?:" + "|".join(CURRENCY_CODES) + r")(?![A-Za-z])"
+# Only a word of three letters is compared with the codes.
+_CODE = r"(?<![A-Za-z])(?=[A-Za-z]{3}(?![A-Za-z]))(?:" + "|".join(CURRENCY_CODES) + ")"
+_FURNITURE = r"(?iU)[$£€¥₹\s ']|" + _CODE
+_MARK = r"(?i)[$£€¥₹]|" + _CODE
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -33,6 +33,7 @@ TENDER = ("amount paid", "amount tendered", "tendered", "cash tendered", "paid",
 CHANGE = ("change", "change due", "rueckgeld", "ruckgeld", "wisselgeld", "cambio", "rendu", "resto")
 # How a sentence says that a tax is included.
 INCLUSIVE = r"\b(?:whereof|of which|dont|davon|waarvan|hiervan)\b|\b(?:vat|tax|gst|hst|tva|mwst|ust|btw|iva|moms|alv|qst) *of\b"
+INCLUSIVE_HINTS = ("of", "dont", "davon", "waarvan", "hiervan")
 LABELLED, INFERRED, GUESSED, TRUSTED = 1.0, 0.55, 0.2, 0.6
 MARK_MINIMUM = 3
 MERCHANT_LINES = 6
@@ -43,12 +44,8 @@ _ANY_AMOUNT = r"(?<![\d.])(-?\d{1,3}(?:[,\s]\d{3})*|-?\d+)([.,])(\d{2})(?![\d])"
 FIELDS = tuple(LABELS)
 
 
-def _words(text: Column, words) -> Column:
-    return F.regexp_like(text, F.lit("(?<![a-z])(?:" + "|".join(words) + ")(?![a-z])"))
-
-
 _RANKS = {w: 10 * len(w) + 9 - i for i, f in enumerate(FIELDS) for w in LABELS[f]}
-_ANY_LABEL = "(?<![a-z])(?=(" + "|".join(sorted(_RANKS, key=len, reverse=True)) + ")(?![a-z]))"
+_LONGEST = max(w.count(" ") for w in (*_RANKS, *TENDER, *CHANGE)) + 1
 
 
 def plain(line: Column) -> Column:
@@ -56,15 +53,47 @@ def plain(line: Column) -> Column:
     return F.regexp_replace(F.lower(line), "[^a-z ]", " ")
 
 
-def label_on(plain_line: Column) -> Column:
+def _array(words) -> Column:
+    return F.array(*map(F.lit, words))
+
+
+def phrases(plain_line: Column) -> Column:
+    """Every label, tender and change word of a plain line: its runs of one to three words, looked up in an index of hashes.
+
+    Words of a run are parted by one space. Lines without a word that begins a phrase, which most are, need no runs.
+    """
+    known = list(dict.fromkeys([*_RANKS, *TENDER, *CHANGE]))
+    firsts = list(dict.fromkeys(w.split(" ")[0] for w in known))
+
+    def runs(words: Column) -> Column:
+        every, run = [words], words
+        for n in range(2, _LONGEST + 1):
+            # Where the line ends before a run does, the run is null and equals no phrase.
+            run = F.zip_with(run, F.slice(words, n, F.greatest(F.size(words), F.lit(1))), lambda x, y: F.concat(x, F.lit(" "), y))
+            every.append(run)
+        return F.array_intersect(F.concat(*every), _array(known))
+
+    none = F.array().cast("array<string>")
+    return let(F.split(plain_line, " "), lambda words: F.when(F.arrays_overlap(words, _array(firsts)), runs(words)).otherwise(none))
+
+
+def has_any(found: Column, words) -> Column:
+    return F.arrays_overlap(found, _array(words))
+
+
+def label_on(plain_line: Column, found: Column | None = None) -> Column:
     """The field a line is labelled as: a sentence about included tax is the tax, else the longest label; null for none.
 
-    One pass of one pattern finds the longest label at every place; equally long labels go by the order of fields.
+    ``found`` are its ``phrases``. Equally long labels go by the order of fields.
     """
     ranks = F.create_map(*(F.lit(x) for pair in _RANKS.items() for x in pair))
-    best = F.array_max(F.transform(F.regexp_extract_all(plain_line, F.lit(_ANY_LABEL), F.lit(1)), lambda w: F.element_at(ranks, w)))
+    best = F.array_max(F.transform(phrases(plain_line) if found is None else found, lambda w: F.try_element_at(ranks, w)))
     field = F.element_at(F.array(*map(F.lit, FIELDS)), 10 - best % 10)
-    return F.when(F.regexp_like(plain_line, F.lit(INCLUSIVE)), F.lit("tax")).when(best.isNotNull(), field)
+    # Few lines have a word that such a sentence needs.
+    hint = F.lit(False)
+    for word in INCLUSIVE_HINTS:
+        hint = hint | F.contains(plain_line, F.lit(word))
+    return F.when(hint & F.regexp_like(plain_line, F.lit(INCLUSIVE)), F.lit("tax")).when(best.isNotNull(), field)
 
 
 def _cents(token: Column) -> Column:
@@ -72,7 +101,7 @@ def _cents(token: Column) -> Column:
 
 
 def _parsed(text: Column) -> Column:
-    """struct(mark, lines): lines is an array of (number, line, plain, amounts, label).
+    """struct(mark, lines): lines is an array of (number, line, plain, amounts, phrases, label).
 
     Amounts are the cents of every amount on a line, left to right; rates, and amounts without the receipt's decimal mark, are left
     out. Labels are looked up where they can matter: beside amounts, and in the first lines. Values that are used more than
@@ -97,7 +126,8 @@ def _parsed(text: Column) -> Column:
     def line(x: Column, i: Column, mark: Column) -> Column:
         kept = F.transform(F.filter(x["tokens"], lambda t: (mark == "") | (F.substring(t, -3, 1) == mark)), _cents)
         made = F.struct(i.alias("number"), x["line"].alias("line"), plain(x["line"]).alias("plain"), kept.alias("amounts"))
-        return let(made, lambda y: y.withField("label", F.when((F.size(y["amounts"]) > 0) | (y["number"] < MERCHANT_LINES), label_on(y["plain"]))))
+        made = let(made, lambda y: y.withField("phrases", phrases(y["plain"])))
+        return let(made, lambda y: y.withField("label", F.when((F.size(y["amounts"]) > 0) | (y["number"] < MERCHANT_LINES), label_on(y["plain"], y["phrases"]))))
 
     return let(F.transform(raw, tokens), marked)
 
@@ -116,8 +146,8 @@ def _reading(parsed: Column, degraded: Column) -> Column:
     def facts(priced: Column) -> Column:
         tail = F.filter(priced, lambda x: x["number"] >= F.floor(F.size(lines) * 2 / 3))
         largest = F.array_max(F.transform(tail, lambda x: F.struct(F.array_max(x["amounts"]).alias("value"), (-x["number"]).alias("up"), x["line"].alias("line"))))
-        tender = last(F.transform(F.filter(priced, lambda x: _words(x["plain"], TENDER)), stated))
-        change = F.exists(lines, lambda x: _words(x["plain"], CHANGE))
+        tender = last(F.transform(F.filter(priced, lambda x: has_any(x["phrases"], TENDER)), stated))
+        change = F.exists(lines, lambda x: has_any(x["phrases"], CHANGE))
         return F.struct(priced.alias("priced"), *(labelled(priced, f) for f in FIELDS), largest.alias("largest"), tender.alias("tender"), change.alias("change"))
 
     def field(name: str, found: Column, confidence: Column, how: str, number: Column | None = None) -> Column:
@@ -148,7 +178,7 @@ def _reading(parsed: Column, degraded: Column) -> Column:
 
 
 def lines_of(receipts: DataFrame) -> DataFrame:
-    """(receipt_id, degraded, mark, number, line, plain, amounts, label): one row for each line of text."""
+    """(receipt_id, degraded, mark, number, line, plain, amounts, phrases, label): one row for each line of text."""
     parsed = receipts.select("receipt_id", F.coalesce("degraded", F.lit(False)).alias("degraded"), _parsed(F.col("text")).alias("p"))
     return parsed.select("receipt_id", "degraded", "p.mark", F.inline_outer("p.lines"))
 
