@@ -10,10 +10,11 @@ Tokens: words (anything but space and tab to carriage return) with A to Z lowere
 text's first word, so that probabilities after any history sum to one.
 
 Scale: the automaton grows with the corpus, so no machine holds it. Texts are encoded once, into blocks of a bounded
-number of tokens. A block sends the 64-bit keys of its distinct n-grams, with their counts in its training texts, to ranges of
-keys, as many as the corpus needs; a range adds up equal keys, of which a block has one each, and sends the totals back in
+number of tokens. A block sends the keys of its distinct n-grams (64 bits for words, 56 for longer ones), with their counts in its training texts, to
+ranges of keys, as many as the corpus needs; a range adds up equal keys, of which a block has one each, and sends the totals back in
 the order in which they came. With these each block builds its own part of the automaton, which is all that its texts
-can reach. Two n-grams that share a key would share a count; at a billion distinct n-grams the odds of one such pair are 1 in 37.
+can reach. Two n-grams that share a key would share a count: at a billion distinct words the odds of one such pair are 1 in 37, at a billion
+longer n-grams some seven pairs do.
 
 Edge cases: a null text is an empty one and has one token, its end. Each row is a document of its own, whatever ids repeat; a null
 id is the text ``null``. A corpus without training texts gives every token the probability 1. Whole texts are
@@ -23,12 +24,14 @@ name of a result gives way to it.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator, Sequence
 from math import log10
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +41,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ledgerloom.scratch import written
 
 #: Tokens of a block; a longer text is a block of its own.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 #: Tokens of the corpus for each range of keys.
 RANGE = 1 << 21
 ORDER = 2
@@ -86,7 +89,7 @@ def encoded_blocks(df: DataFrame, text: str, test: Column, keep: Sequence[str])
             for part, tokens in zip(held, rows):
                 if not tokens:
                     continue
-                made = [[block] * len(tokens), list(map(len, tokens)), list(map(planes, tokens)), [keys if first and not i else None for i in range(len(tokens))]]
+                made = [[block] * len(tokens), list(map(len, tokens)), list(map(packed, tokens)), [keys if first and not i else None for i in range(len(tokens))]]
                 first = False
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(v, f.type) for v, f in zip(made, arrow))], names=schema.names)
 
@@ -116,14 +119,15 @@ def encoded_blocks(df: DataFrame, text: str, test: Column, keep: Sequence[str])
     return source.mapInArrow(run, schema)
 
 
-def planes(values: np.ndarray) -> bytes:
-    """Integers byte by byte, all lowest bytes first: small ones leave long runs of zeros, which compress away."""
-    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+def packed(values: np.ndarray) -> bytes:
+    """Integers compressed byte by byte, all lowest bytes first: small ones leave long runs of zeros."""
+    return zstandard.compress(values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes(), 1)
 
 
-def from_planes(data: bytes, kind: type) -> np.ndarray:
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    bytes_ = np.frombuffer(zstandard.decompress(data), np.uint8)
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, len(data) // size).T).view(kind).ravel()
+    return np.ascontiguousarray(bytes_.reshape(size, len(bytes_) // size).T).view(kind).ravel()
 
 
 class Grams:
@@ -136,7 +140,7 @@ class Grams:
     def __init__(self, documents: pa.Table, order: int):
         # A shuffle doesn't keep the order of rows; codes and counts don't depend on it.
         self.lengths = documents.column("__n").to_numpy()
-        self.tokens = np.concatenate([from_planes(x, np.int32) for x in documents.column("__tokens").to_pylist()])
+        self.tokens = np.concatenate([unpacked(x, np.int32) for x in documents.column("__tokens").to_pylist()])
         (self.words,) = (np.frombuffer(k, np.int64) for k in documents.column("__keys").to_pylist() if k is not None)
         train = np.repeat(~documents.column("__test").to_numpy(), self.lengths)
         ends = np.cumsum(self.lengths)
@@ -161,10 +165,12 @@ class Grams:
 
 
 def _mixed(history: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """A key of 64 bits for a history's key and a word's."""
+    """A key of 56 bits for a history's key and a word's."""
     x = history.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + word.view(np.uint64)
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (x ^ (x >> np.uint64(29))).view(np.int64)
+    x ^= x >> np.uint64(29)
+    # The lowest byte is the dearest to send.
+    return (x & ~np.uint64(255)).view(np.int64)
 
 
 def _range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
@@ -194,18 +200,18 @@ def totals(blocks: DataFrame, order: int, ranges: int) -> DataFrame:
             at, ends = _by_range(keys, ranges)
             for r, (start, end) in enumerate(zip([0, *ends[:-1]], ends)):
                 if end > start:
-                    steps = np.diff(keys[at[start:end]].view(np.uint64), prepend=np.uint64(0))
-                    for c, v in zip(out, (r, n, block, planes(steps), planes(counts[at[start:end]].astype(np.int32)))):
+                    steps = np.diff(keys[at[start:end]].view(np.uint64) >> np.uint64(8 * (n > 0)), prepend=np.uint64(0))
+                    for c, v in zip(out, (r, n, block, packed(steps), packed(counts[at[start:end]].astype(np.int32)))):
                         out[c].append(v)
         kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
         return pa.table([pa.array(v, k) for v, k in zip(out.values(), kinds)], names=[*out])
 
     def add(sent: pa.Table) -> pa.Table:
         rows = sent.num_rows
-        keys = [np.cumsum(from_planes(x, np.uint64), dtype=np.uint64) for x in sent.column("keys").to_pylist()]
+        keys = [np.cumsum(unpacked(x, np.uint64), dtype=np.uint64) for x in sent.column("keys").to_pylist()]
         _, places = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.bincount(places, np.concatenate([from_planes(x, np.int32) for x in sent.column("counts").to_pylist()]))
-        found = list(map(planes, np.split(sums[places].astype(np.int64), np.cumsum(list(map(len, keys)))[:-1])))
+        sums = np.bincount(places, np.concatenate([unpacked(x, np.int32) for x in sent.column("counts").to_pylist()]))
+        found = list(map(packed, np.split(sums[places].astype(np.int64), np.cumsum(list(map(len, keys)))[:-1])))
         single = sent.column("n")[0].as_py() == 0
         distinct, counted = (int((sums > 0).sum()), int(sums.sum())) if single else (0, 0)
         columns = [sent.column("of_range"), sent.column("n"), sent.column("of_block"), pa.array(found, pa.binary()), pa.array([distinct, *[0] * (rows - 1)]), pa.array([counted, *[0] * (rows - 1)])]
@@ -232,10 +238,16 @@ class BackoffAutomaton:
         self.base = np.log10(p)
         # State 0 is the root; the n-gram of order n at place i is state starts[n] + i, if it is ever a history.
         starts = np.cumsum([1, *map(len, grams.codes)])
-        arcs: dict[int, tuple[float, int]] = {}
+        arcs, gains, targets = {}, array("d"), array("q")
+
+        def add(keys: np.ndarray, p: np.ndarray, state: np.ndarray) -> None:
+            arcs.update(zip(keys.tolist(), range(len(gains), len(gains) + len(keys))))
+            gains.frombytes(p.astype(np.float64).tobytes())
+            targets.frombytes(state.astype(np.int64).tobytes())
+
         weights, fails = [0.0], [0]
         state = np.where(counts[0] > 0, starts[0] + np.arange(words), 0) if len(grams.codes) > 1 else np.zeros(words, np.int64)
-        arcs.update(enumerate(zip(self.base.tolist(), state.tolist())))
+        add(np.arange(words), self.base, state)
         suffix_p, suffix_state = p, state
         for n in range(1, len(grams.codes)):
             # Histories of order n: what they weigh when a word isn't theirs, and where they go then.
@@ -248,10 +260,10 @@ class BackoffAutomaton:
             own = starts[n] + np.arange(len(known)) if n + 1 < len(grams.codes) else np.zeros(len(known), np.int64)
             state = np.where(known & (own > 0), own, suffix_state[shorter])
             keys = (starts[n - 1] + history[known]) * words + word[known]
-            arcs.update(zip(keys.tolist(), zip(np.log10(p[known]).tolist(), state[known].tolist())))
+            add(keys, np.log10(p[known]), state[known])
             suffix_of_history = suffix_state[shorter]
             suffix_p, suffix_state = p, state
-        self.arcs, self.weights, self.fails = arcs, weights, fails
+        self.arcs, self.gains, self.targets, self.weights, self.fails = arcs, gains, targets, weights, fails
         self.start = int(starts[0]) if len(grams.codes) > 1 and counts[0][0] > 0 else 0
 
     @staticmethod
@@ -262,14 +274,14 @@ class BackoffAutomaton:
         return np.searchsorted(grams.codes[n - 1], inner * words + word)
 
     def score(self, tokens: Sequence[int]) -> float:
-        arcs, weights, fails, width = self.arcs, self.weights, self.fails, self.width
+        arcs, gains, targets, weights, fails, width = self.arcs, self.gains, self.targets, self.weights, self.fails, self.width
         state, total = self.start, 0.0
         for w in tokens:
             while (arc := arcs.get(state * width + w)) is None:
                 total += weights[state]
                 state = fails[state]
-            total += arc[0]
-            state = arc[1]
+            total += gains[arc]
+            state = targets[arc]
         return total
 
 
@@ -290,7 +302,7 @@ def score_texts(df: DataFrame, text: str = "text", doc_id: str = "doc_id", keep:
         lists = found.column("totals")
         for n, keys in enumerate(grams.keys):
             at, _ = _by_range(keys, ranges)
-            sorted_ = np.concatenate([from_planes(lists[i].as_py(), np.int64) for m, _, i in by_place if m == n])
+            sorted_ = np.concatenate([unpacked(lists[i].as_py(), np.int64) for m, _, i in by_place if m == n])
             back = np.empty(len(keys), np.int64)
             back[at] = sorted_
             counts.append(back)
