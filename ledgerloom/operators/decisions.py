@@ -20,6 +20,18 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return files.select("log_id", F.posexplode("lines").alias("at", "line")).filter("line != ''").select("log_id", (F.col("at") + 1).alias("line_no"), "line")
 
 
+def segment_lines(files: DataFrame) -> DataFrame:
+    """(log_id, line_no, line) from (path, value), whole segments of logs: the folder is the log, the name the number of the first line."""
+    found = files.select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("log_id"), F.regexp_extract("path", r"([0-9]+)[.][^/]*$", 1).cast("bigint").alias("first"), F.posexplode(F.split("value", "\n")).alias("at", "line"))
+    return found.filter("line != ''").select("log_id", (F.col("first") + F.col("at")).alias("line_no"), "line")
+
+
+def read_segments(spark: SparkSession, path: str) -> DataFrame:
+    """(log_id, line_no, line) of all segments under a path; each folder is a log."""
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    return segment_lines(files.select(F.col("_metadata.file_path").alias("path"), "value"))
+
+
 def verify_chain(log: DataFrame) -> DataFrame:
     """(log_id, intact, broken_at, entries): each line's ``prev`` must be the digest of the line before it.
 
