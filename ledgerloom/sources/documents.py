@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ledgerloom.functions.money import parse_cents
+from ledgerloom.scratch import written
 
 # Fixed values.
 LOW_CONFIDENCE, LOW_SHARE, FEWEST_WORDS = 60, 0.2, 8
 OPERATOR_FLOOR = 20
 STREAM_CAP = 64 << 20
+HEAD = 4096
 IMAGES = ("png", "jpg", "jpeg", "tif", "tiff", "webp", "bmp", "heic")
 TEXTS = ("txt", "md", "text")
 STATEMENTS = ("csv", "ofx", "qfx", "txt")
@@ -62,21 +66,15 @@ def pdf_text(data: bytes) -> str:
     return "\n".join(out)
 
 
-def read_pdfs(files: DataFrame) -> DataFrame:
-    """(receipt_id, text, degraded, reader, reason) from (path, content)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for path, data in zip(batch["path"], batch["content"]):
-                data = bytes(data or b"")
-                kind = pdf_kind(data) if data.startswith(b"%PDF") else "not a PDF"
-                text = pdf_text(data) if kind == "text" else ""
-                reason = {"scan": "a scan without a text layer", "empty": "nothing is drawn", "not a PDF": "not a PDF"}.get(kind) or (None if text.strip() else "the text layer is blank")
-                rows.append((path, text, reason is not None, "pdf", reason))
-            yield pd.DataFrame(rows, columns=["receipt_id", "text", "degraded", "reader", "reason"])
-
-    return files.select("path", "content").mapInPandas(run, "receipt_id string, text string, degraded boolean, reader string, reason string")
+def read_pdf(data: bytes) -> tuple[str, str | None]:
+    """(text, reason): the text layer of a PDF, or why there is none."""
+    if not data.startswith(b"%PDF"):
+        return "", "not a PDF"
+    kind = pdf_kind(data)
+    if kind != "text":
+        return "", {"scan": "a scan without a text layer", "empty": "nothing is drawn"}[kind]
+    text = pdf_text(data)
+    return (text, None) if text.strip() else ("", "the text layer is blank")
 
 
 def lines_of_words(words: DataFrame) -> DataFrame:
@@ -102,31 +100,60 @@ def read_replies(replies: DataFrame) -> DataFrame:
     return parsed.filter(F.col("j").isNotNull()).select(F.col("path").alias("receipt_id"), *amounts, F.coalesce("j.merchant", F.lit("")).alias("merchant"), "j.currency", F.lit(True).alias("generated"), F.lit("vision").alias("reader"))
 
 
-def suffix(path: Column) -> Column:
-    return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
+INBOX = "inbox string, path string, kind string, reason string, digest string, text string, degraded boolean, reader string"
 
 
-def classify_inbox(files: DataFrame) -> DataFrame:
-    """(inbox, path, kind, reason) from (path, content): statement, receipt or ignored; the head of a file decides, not its name alone."""
+def _opened(path: str, data: bytes, read: bool) -> tuple:
+    """(inbox, path, kind, reason, digest, text, degraded, reader) of one file."""
     from ledgerloom.sources.statements import find_header
 
-    @F.pandas_udf("boolean")
-    def has_header(heads: pd.Series) -> pd.Series:
-        return heads.map(lambda h: (found := find_header(h or "")) is not None and "date" in found[2])
-
-    head = F.substring(F.decode(F.substring("content", 1, 4096), "UTF-8"), 1, 4096)
-    name = F.element_at(F.split("path", "/"), -1)
-    seen = files.select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("inbox"), "path", suffix(F.col("path")).alias("suffix"), head.alias("head"), name.alias("name"))
-    text = F.col("suffix").isin(*STATEMENTS)
-    seen = seen.withColumn("header", has_header(F.when(text, F.col("head")))).withColumn("statement", text & (F.contains(F.upper("head"), F.lit("<STMTTRN>")) | F.col("header")))
-    kind = (
-        F.when(F.startswith("name", F.lit(".")), F.lit("ignored"))
-        .when(F.col("statement"), F.lit("statement"))
-        .when(F.col("suffix").isin(*IMAGES, *TEXTS, "pdf"), F.lit("receipt"))
-        .otherwise(F.lit("ignored"))
-    )
-    reason = F.when(F.startswith("name", F.lit(".")), F.lit("hidden")).when(kind == "ignored", F.lit("unknown kind of file"))
-    return seen.select("inbox", "path", kind.alias("kind"), reason.alias("reason"))
+    inbox, _, name = path.rpartition("/")
+    suffix = name.rpartition(".")[2].lower() if "." in name else ""
+    text, degraded, reader = None, None, None
+    if name.startswith("."):
+        kind, reason = "ignored", "hidden"
+    elif suffix not in (*STATEMENTS, *TEXTS, *IMAGES, "pdf"):
+        kind, reason = "ignored", "unknown kind of file"
+    else:
+        head = data[:HEAD].decode("utf-8", "replace")
+        header = find_header(head) if suffix in STATEMENTS else None
+        statement = suffix in STATEMENTS and ("<STMTTRN>" in head.upper() or (header is not None and "date" in header[2]))
+        kind, reason = ("statement" if statement else "receipt"), None
+    if read and kind == "receipt":
+        if suffix in IMAGES:
+            reason = "no engine for images is installed"
+        elif suffix == "pdf":
+            text, reason = read_pdf(data)
+            degraded, reader = reason is not None, "pdf"
+        else:
+            # A table that is no statement is read as text, which nobody should trust.
+            text, degraded, reader = data.decode("utf-8", "replace"), suffix not in TEXTS, "text"
+    return inbox, path, kind, reason, hashlib.sha256(data).hexdigest(), text, degraded, reader
+
+
+def read_inbox(files: DataFrame, read: bool = True) -> DataFrame:
+    """(inbox, path, kind, reason, digest, text, degraded, reader) from (path, content): each file is opened once.
+
+    ``kind``: statement, receipt or ignored; what a file holds decides, not its name alone. Receipts that can be read have a text; the
+    others have a reason. Without ``read`` files are only told apart.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([_opened(p, bytes(c or b""), read) for p, c in zip(batch["path"], batch["content"])], columns=[c.split(" ")[0] for c in INBOX.split(", ")])
+
+    return files.select("path", "content").mapInPandas(run, INBOX)
+
+
+def classify_inbox(files: DataFrame) -> DataFrame:
+    """(inbox, path, kind, reason) from (path, content)."""
+    return read_inbox(files, read=False).select("inbox", "path", "kind", "reason")
+
+
+def copies(opened: DataFrame) -> DataFrame:
+    """(path, digest, same_as): files that hold the same bytes as one whose path comes before, and the first such path."""
+    first = F.min("path").over(Window.partitionBy("digest"))
+    return opened.select("path", "digest", first.alias("same_as")).filter("path != same_as")
 
 
 def inbox_problems(classified: DataFrame) -> DataFrame:
@@ -135,12 +162,13 @@ def inbox_problems(classified: DataFrame) -> DataFrame:
     return classified.groupBy("inbox").agg(n.alias("statements"), F.when(n == 0, F.lit("no statement")).when(n > 1, F.lit("more than one statement")).alias("problem"))
 
 
+def receipts_of(opened: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(receipt texts, unreadable) of ``read_inbox``."""
+    receipts = opened.filter("kind = 'receipt'").withColumnRenamed("path", "receipt_id")
+    return receipts.filter(F.col("reason").isNull()).select("receipt_id", "text", "degraded", "reader"), receipts.filter(F.col("reason").isNotNull()).select("receipt_id", "reason")
+
+
 def read_receipts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(receipt texts, unreadable): every receipt under a path by its reader; images need a recogniser that isn't here."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    kinds = files.join(classify_inbox(files).filter("kind = 'receipt'").select("path"), "path", "left_semi").withColumn("suffix", suffix(F.col("path")))
-    texts = kinds.filter(F.col("suffix").isin(*TEXTS)).select(F.col("path").alias("receipt_id"), F.decode("content", "UTF-8").alias("text"), F.lit(False).alias("degraded"), F.lit("text").alias("reader"), F.lit(None).cast("string").alias("reason"))
-    every = texts.unionByName(read_pdfs(kinds.filter("suffix = 'pdf'")))
-    images = kinds.filter(F.col("suffix").isin(*IMAGES)).select(F.col("path").alias("receipt_id"), F.lit("no engine for images is installed").alias("reason"))
-    unreadable = every.filter(F.col("reason").isNotNull()).select("receipt_id", "reason").unionByName(images)
-    return every.filter(F.col("reason").isNull()).drop("reason"), unreadable
+    """(receipt texts, unreadable): every receipt under a path; images need a recogniser that isn't here. Files are read once, into a table."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return receipts_of(written(read_inbox(files), "inbox"))

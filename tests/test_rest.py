@@ -134,6 +134,30 @@ def test_stream(spark, tmp_path):
     watch(spark, str(inbox), store, mark).awaitTermination()
     (inbox / "b.csv").write_text(rows.replace("9.00", "7.00"))
     watch(spark, str(inbox), store, mark).awaitTermination()
+    # Renamed copies: of an earlier batch's file, and of another in the same batch.
+    (inbox / "c.csv").write_text(rows)
+    (inbox / "d.csv").write_text(rows.replace("9.00", "5.00"))
+    (inbox / "e.csv").write_text(rows.replace("9.00", "5.00"))
+    watch(spark, str(inbox), store, mark).awaitTermination()
     found = spark.read.parquet(f"{store}/findings")
-    assert sorted(r["at_risk"] for r in found.collect()) == [700, 900]
-    assert sorted(r["batch"] for r in found.collect()) == [0, 1]
+    assert sorted(r["at_risk"] for r in found.collect()) == [500, 700, 900]
+    assert sorted(r["batch"] for r in found.collect()) == [0, 1, 2]
+    name = lambda x: x.rsplit("/", 1)[1]
+    assert sorted((name(r["statement_id"]), name(r["same_as"])) for r in spark.read.parquet(f"{store}/rejected").collect()) == [("c.csv", "a.csv"), ("e.csv", "d.csv")]
+
+
+def test_files_are_opened_once(spark, tmp_path):
+    files = {"a.csv": b"Date,Amount\n2024-01-01,1.00\n", "b.csv": b"just,a,table\n", "c.txt": b"Shop\nTotal 1.00", "d.png": b"x", "e.pdf": b"%PDF-1.4 stream\nBT (Total 2.00) Tj\nendstream", "f.pdf": b"no", "g.xyz": b"", ".h": b"", "i.txt": b"Shop\nTotal 1.00"}
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    source = spark.read.format("binaryFile").load(str(tmp_path))
+    opened = documents.read_inbox(source)
+    plan = opened._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan
+    got = {r["path"].rsplit("/", 1)[1]: (r["kind"], r["text"], r["degraded"]) for r in opened.collect()}
+    assert got["a.csv"] == ("statement", None, None) and got["b.csv"] == ("receipt", "just,a,table\n", True) and got["c.txt"][2] is False
+    assert got["e.pdf"] == ("receipt", "Total 2.00", False) and got["f.pdf"] == ("receipt", "", True) and got["d.png"] == ("receipt", None, None)
+    texts, unreadable = documents.read_receipts(spark, str(tmp_path))
+    assert sorted(r["receipt_id"].rsplit("/", 1)[1] for r in texts.collect()) == ["b.csv", "c.txt", "e.pdf", "i.txt"]
+    assert sorted(r["receipt_id"].rsplit("/", 1)[1] for r in unreadable.collect()) == ["d.png", "f.pdf"]
+    assert [(r["path"].rsplit("/", 1)[1], r["same_as"].rsplit("/", 1)[1]) for r in documents.copies(opened).collect() if "txt" in r["path"]] == [("i.txt", "c.txt")]
