@@ -6,6 +6,7 @@ written twice, in Spark and in SQL, and the operator once.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from ledgerloom.functions.dates import any_date, date_order, order_vote, resolve
 from ledgerloom.functions.money import decimal_vote, document_mark, format_cents, normalise_currency, parse_cents
 from ledgerloom.functions.names import containment, normalise_merchant, stable_name, with_similarity
 from ledgerloom.operators import decisions, extract, integrity, pairing, queue, selfaudit, verdict
+from ledgerloom.scratch import scratch_root
 from ledgerloom.sources import documents, sinks
 from ledgerloom.sources.statements import parse, parse_csv, parse_ofx
 
@@ -785,3 +787,78 @@ def ledger_summary(spark, sf_dir):
 def check_gaps(spark, sf_dir):
     made = verdict.reconcile(order_pairs(spark, sf_dir))
     return made.select("o_orderkey", *(F.element_at("checks", i)["gap"].alias(f"gap{i}") for i in (1, 2, 4)))
+
+
+# Intake: one file for each order, of nine kinds; customers' figures make copies.
+
+_FILES = """
+WITH f AS (SELECT o_orderkey % 9 AS kind, 'in' || o_custkey AS inbox, 'in' || o_custkey || '/' || CASE WHEN o_orderkey % 9 = 6 THEN '.' ELSE '' END || o_orderkey || (['.csv', '.CSV', '.txt', '.pdf', '.pdf', '.png', '.txt', '.xyz', '.ofx'])[o_orderkey % 9 + 1] AS path,
+  CASE o_orderkey % 9 WHEN 0 THEN 'Date,Amount' || chr(10) || '2024-01-01,' || o_custkey || '.00' || chr(10) WHEN 1 THEN 'just,a table,' || o_custkey WHEN 2 THEN 'Shop é' || chr(10) || 'Total ' || o_custkey
+    WHEN 3 THEN '%PDF-1.4 stream' || chr(10) || 'BT (Total) Tj [(' || o_custkey || ') -20 (.50)] TJ ET' || chr(10) || 'endstream' WHEN 4 THEN '%PDF-1.4 /Subtype /Image ' || o_custkey WHEN 5 THEN 'x' WHEN 8 THEN '<OFX><STMTTRN>' || o_custkey ELSE '' || o_custkey END AS content FROM orders),
+o AS (SELECT inbox, path, CASE WHEN kind IN (0, 8) THEN 'statement' WHEN kind IN (6, 7) THEN 'ignored' ELSE 'receipt' END AS kind,
+  CASE kind WHEN 4 THEN 'a scan without a text layer' WHEN 5 THEN 'no engine for images is installed' WHEN 6 THEN 'hidden' WHEN 7 THEN 'unknown kind of file' END AS reason, sha256(content) AS digest,
+  CASE kind WHEN 1 THEN content WHEN 2 THEN content WHEN 3 THEN 'Total' || chr(10) || regexp_extract(content, '\\[\\(([0-9]+)', 1) || '.50' WHEN 4 THEN '' END AS text,
+  CASE WHEN kind BETWEEN 1 AND 4 THEN kind IN (1, 4) END AS degraded, CASE WHEN kind IN (1, 2) THEN 'text' WHEN kind IN (3, 4) THEN 'pdf' END AS reader FROM f)
+"""
+
+
+def inbox_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind, n = F.col("o_orderkey") % 9, F.col("o_custkey").cast("string")
+    name = F.concat(F.when(kind == 6, F.lit(".")).otherwise(F.lit("")), F.col("o_orderkey").cast("string"), F.element_at(F.array(*map(F.lit, (".csv", ".CSV", ".txt", ".pdf", ".pdf", ".png", ".txt", ".xyz", ".ofx"))), (kind + 1).cast("int")))
+    content = (
+        F.when(kind == 0, F.concat(F.lit("Date,Amount\n2024-01-01,"), n, F.lit(".00\n")))
+        .when(kind == 1, F.concat(F.lit("just,a table,"), n))
+        .when(kind == 2, F.concat(F.lit("Shop é\nTotal "), n))
+        .when(kind == 3, F.concat(F.lit("%PDF-1.4 stream\nBT (Total) Tj [("), n, F.lit(") -20 (.50)] TJ ET\nendstream")))
+        .when(kind == 4, F.concat(F.lit("%PDF-1.4 /Subtype /Image "), n))
+        .when(kind == 5, F.lit("x"))
+        .when(kind == 8, F.concat(F.lit("<OFX><STMTTRN>"), n))
+        .otherwise(n)
+    )
+    return table(spark, sf_dir, "orders").select(F.concat(F.lit("in"), n, F.lit("/"), name).alias("path"), F.encode(content, "UTF-8").alias("content"))
+
+
+@query(_FILES + "SELECT * FROM o")
+def inbox_read(spark, sf_dir):
+    """Every file told apart and read: statements, texts, PDFs with and without a text layer, images, tables that are none."""
+    return documents.read_inbox(inbox_files(spark, sf_dir))
+
+
+@query(_FILES + "SELECT inbox, count(*) FILTER (kind = 'statement') AS statements, CASE count(*) FILTER (kind = 'statement') WHEN 0 THEN 'no statement' WHEN 1 THEN NULL ELSE 'more than one statement' END AS problem FROM o GROUP BY inbox")
+def inbox_problems(spark, sf_dir):
+    return documents.inbox_problems(documents.classify_inbox(inbox_files(spark, sf_dir)))
+
+
+@query(_FILES + "SELECT receipt_id, reason, text FROM (SELECT path AS receipt_id, reason, CASE WHEN reason IS NULL THEN text END AS text FROM o WHERE kind = 'receipt')")
+def inbox_receipts(spark, sf_dir):
+    """Readable receipts with their texts, the others with their reasons."""
+    texts, unreadable = documents.receipts_of(documents.read_inbox(inbox_files(spark, sf_dir)))
+    return texts.select("receipt_id", "text").unionByName(unreadable, allowMissingColumns=True)
+
+
+@query(_FILES + "SELECT path, digest, same_as FROM (SELECT path, digest, min(path) OVER (PARTITION BY digest) AS same_as FROM o) WHERE path <> same_as")
+def inbox_copies(spark, sf_dir):
+    return documents.copies(documents.read_inbox(inbox_files(spark, sf_dir), read=False))
+
+
+@query("""SELECT 'r' || o_orderkey AS receipt_id, CAST(round(o_totalprice * 100) AS BIGINT) AS total_cents, CASE WHEN o_orderkey % 2 = 0 THEN CAST(250 AS BIGINT) END AS tax_cents, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'Shop ' || o_custkey END AS merchant,
+'EUR' AS currency, true AS generated FROM orders WHERE o_orderkey % 7 <> 0""")
+def model_replies(spark, sf_dir):
+    """Replies with an object between other words; some hold none, some say what isn't a number."""
+    k = F.col("o_orderkey")
+    merchant = F.when(k % 5 != 0, F.concat(F.lit(', "merchant": "Shop '), F.col("o_custkey").cast("string"), F.lit('"'))).otherwise(F.lit(""))
+    tax = F.when(k % 2 == 0, F.lit("2.50")).otherwise(F.lit("lots"))
+    raw = F.concat(F.lit('Sure:\n{"total": "'), format_cents(cents_of("o_totalprice")), F.lit('", "tax": "'), tax, F.lit('", "currency": "EUR"'), merchant, F.lit("} That is all."))
+    replies = table(spark, sf_dir, "orders").select(F.concat(F.lit("r"), k.cast("string")).alias("path"), F.when(k % 7 == 0, F.lit("I can't read it.")).otherwise(raw).alias("raw"))
+    return documents.read_replies(replies).select("receipt_id", "total_cents", "tax_cents", "merchant", "currency", "generated")
+
+
+@query("""SELECT 'log' || user_id % 16 AS log, row_number() OVER (PARTITION BY user_id % 16 ORDER BY event_id) AS line_no, '{"id":' || event_id || '}' AS line FROM events""")
+def decision_log(spark, sf_dir):
+    """Logs written as files, one each, and scanned line by line."""
+    lines = table(spark, sf_dir, "events").select(F.concat(F.lit("log"), (F.col("user_id") % 16).cast("string")).alias("log"), "event_id")
+    where = f"{scratch_root(spark)}/ledgerloom-logs-{uuid.uuid4().hex}"
+    shown = F.concat(F.lit('{"id":'), F.col("event_id").cast("string"), F.lit("}"))
+    lines.repartition("log").sortWithinPartitions("log", "event_id").select("log", shown.alias("value")).write.partitionBy("log").text(where)
+    found = decisions.read_log(spark, where)
+    return found.select(F.regexp_extract("log_id", "/log=(log[0-9]+)/", 1).alias("log"), F.col("line_no").cast("bigint").alias("line_no"), "line")
