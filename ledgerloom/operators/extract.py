@@ -6,13 +6,8 @@ of them. No row leaves its place, so reading receipts shuffles nothing.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ledgerloom.functions.money import first_currency, let
@@ -239,59 +234,53 @@ LARGEST_PARTS = 18
 _BARE_AMOUNT = r"(?<![\d.,])(\d{1,6}[.,]\d{2})(?![\d])"
 
 
-def subset_gap(parts: Sequence[int], target: int, most: int = LARGEST_PARTS) -> int:
-    """How far the nearest sum of some of the ``most`` largest parts is from the target; all subsets are looked at.
+def reachable(parts: Column, most: Column) -> Column:
+    """All sums of one or more parts, up to ``most``: a fold that adds a part to each sum so far."""
+    return F.aggregate(parts, F.array().cast("array<bigint>"), lambda sums, x: F.filter(F.array_distinct(F.concat(sums, F.transform(sums, lambda s: s + x), F.array(x))), lambda s: s <= most))
+
+
+def _swapped(part: Column) -> Column:
+    """What a part would be with one digit, where it first stands, taken for another."""
+    digits = part.cast("string")
+    pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in CONFUSIONS))
+    swap = lambda c: F.concat(F.call_function("substring_index", digits, c["a"], F.lit(1)), c["b"], F.substr(digits, F.call_function("instr", digits, c["a"]) + 1))
+    return F.array_distinct(F.transform(F.filter(pairs, lambda c: F.contains(digits, c["a"])), lambda c: swap(c).cast("bigint")))
+
+
+def _one_digit_closes(parts: Column, target: Column) -> Column:
+    """Whether a digit taken for another in one part is all that keeps some of the largest parts from summing to the target.
 
-    Sums of the two halves' subsets are sorted and searched for each other, so 18 parts take 512 steps and not 262,144.
+    ``parts`` are sorted, the largest first, and no sum of them is the target. So a sum that is has the changed part in it, and
+    the others must reach what that leaves; or the changed part is too small to be looked at, and another takes its place.
     """
-    kept = sorted(parts, reverse=True)[:most]
-    if not kept:
-        return target
-
-    def sums(of: Sequence[int]) -> np.ndarray:
-        out = np.zeros(1, np.int64)
-        for x in of:
-            out = np.concatenate([out, out + x])
-        return out
-
-    left, right = sums(kept[::2]), sums(kept[1::2])
-    # The first sum of each half is the empty one; both together are no sum of parts.
-    ordered, wanted = np.sort(right), target - left[1:]
-    at = np.searchsorted(ordered, wanted)
-    above, below = ordered[np.minimum(at, len(ordered) - 1)], ordered[np.maximum(at - 1, 0)]
-    return int(np.concatenate([np.abs(right[1:] - target), np.abs(above - wanted), np.abs(below - wanted)]).min())
-
-
-def one_digit_closes(parts: Sequence[int], target: int) -> bool:
-    """Whether a digit taken for another in one part is all that keeps the parts from summing to the target."""
-    for i, part in enumerate(parts):
-        digits = str(part)
-        for a, b in CONFUSIONS:
-            if a in digits and subset_gap([*parts[:i], int(digits.replace(a, b, 1)), *parts[i + 1 :]], target) == 0:
-                return True
-    return False
-
-
-@F.pandas_udf(T.StructType([T.StructField("gap", T.LongType()), T.StructField("verdict", T.StringType())]))
-def _arithmetic(amounts: pd.Series) -> pd.DataFrame:
-    out = []
-    for found in amounts:
-        parts = [] if found is None else [int(x) for x in found]
-        if len(parts) < FEWEST_AMOUNTS:
-            out.append((None, "too few amounts"))
-            continue
-        target = max(parts)
-        parts.remove(target)
-        gap = subset_gap(parts, target)
-        out.append((gap, "exact" if gap == 0 else "near" if gap <= NEAR_CENTS or one_digit_closes(parts, target) else "far"))
-    return pd.DataFrame(out, columns=["gap", "verdict"])
+
+    def with_part(x: Column, i: Column) -> Column:
+        others = F.filter(parts, lambda _, j: j != i)
+        next_ = F.try_element_at(others, F.lit(LARGEST_PARTS))
+        rest = reachable(F.slice(others, 1, LARGEST_PARTS - 1), target)
+        in_place = lambda r: F.exists(_swapped(x), lambda p: (next_.isNull() | (p >= next_)) & ((p == target) | F.array_contains(r, target - p)))
+        out_of_it = next_.isNotNull() & F.exists(_swapped(x), lambda p: p < next_) & F.array_contains(reachable(F.slice(others, 1, LARGEST_PARTS), target), target)
+        return let(rest, in_place) | F.coalesce(out_of_it, F.lit(False))
+
+    return F.exists(F.transform(parts, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda y: with_part(y["x"], y["i"]))
 
 
 def arithmetic(texts: DataFrame) -> DataFrame:
-    """(receipt_id, n_amounts, gap, verdict): whether some amounts of a text sum to its largest: exact, near, far or too few amounts."""
+    """(receipt_id, n_amounts, gap, verdict): whether some amounts of a text sum to its largest: exact, near, far or too few amounts.
+
+    All sums of the eighteen largest other amounts are looked at. Near is a gap of a few cents, or one that a digit taken for
+    another explains.
+    """
     tokens = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_BARE_AMOUNT), F.lit(1))
-    found = texts.select("receipt_id", F.transform(tokens, _cents).alias("amounts")).withColumn("a", _arithmetic("amounts"))
-    return found.select("receipt_id", F.size("amounts").alias("n_amounts"), "a.gap", "a.verdict")
+    found = texts.select("receipt_id", F.sort_array(F.transform(tokens, _cents), asc=False).alias("amounts"))
+    target, parts = F.try_element_at("amounts", F.lit(1)), F.slice("amounts", 2, F.greatest(F.size("amounts"), F.lit(1)))
+    # No part is over the target, so no sum over twice the target is nearer than a single part.
+    gap = F.array_min(F.transform(reachable(F.slice(parts, 1, LARGEST_PARTS), 2 * target), lambda s: F.abs(s - target)))
+    enough = F.size("amounts") >= FEWEST_AMOUNTS
+    found = found.withColumn("gap", F.when(enough, gap))
+    near = (F.col("gap") <= NEAR_CENTS) | _one_digit_closes(parts, target)
+    verdict = F.when(~enough, F.lit("too few amounts")).when(F.col("gap") == 0, F.lit("exact")).when(near, F.lit("near")).otherwise(F.lit("far"))
+    return found.select("receipt_id", F.size("amounts").alias("n_amounts"), "gap", verdict.alias("verdict"))
 
 
 def amounts_by_kind(texts: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ written twice, in Spark and in SQL, and the operator once.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +16,7 @@ from ledgerloom.functions.dates import any_date, date_order, order_vote, resolve
 from ledgerloom.functions.money import decimal_vote, document_mark, format_cents, normalise_currency, parse_cents
 from ledgerloom.functions.names import containment, normalise_merchant, stable_name, with_similarity
 from ledgerloom.operators import decisions, extract, integrity, pairing, queue, selfaudit, verdict
-from ledgerloom.scratch import scratch_root
+from ledgerloom.scratch import scratch_path
 from ledgerloom.sources import documents, sinks
 from ledgerloom.sources.statements import parse, parse_csv, parse_ofx
 
@@ -789,6 +788,37 @@ def check_gaps(spark, sf_dir):
     return made.select("o_orderkey", *(F.element_at("checks", i)["gap"].alias(f"gap{i}") for i in (1, 2, 4)))
 
 
+# Receipts whose sums don't close: a cent or two, a misread digit, a missing price.
+
+_PRINTED = """
+WITH c AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice, l_quantity) AS n, CAST(round(l_extendedprice * 100) AS BIGINT) % 90000 + 1000 AS c FROM lineitem),
+s AS (SELECT *, CAST(sum(c) OVER (PARTITION BY k) AS BIGINT) AS total, CASE WHEN k % 5 = 2 AND n = 1 THEN CAST(replace(CAST(c AS VARCHAR), '8', '4') AS BIGINT) ELSE c END AS shown FROM c),
+x AS (SELECT k, shown AS c FROM s WHERE NOT (k % 5 = 3 AND n = 1) UNION ALL SELECT k, total + CASE WHEN k % 5 = 1 THEN 7 ELSE 0 END FROM s WHERE n = 1),
+a AS (SELECT k, list_sort(list(c), 'DESC') AS amounts FROM x GROUP BY k),
+t AS (SELECT k, amounts[1] AS target, amounts[2:] AS parts FROM a),
+m AS (SELECT k, target, parts, unnest(range(1, 1 << len(parts))) AS mask FROM t WHERE len(parts) > 1),
+r AS (SELECT k, target, mask, list_sum(list_transform(range(0, len(parts)), lambda i: parts[i + 1] * ((mask >> i) & 1))) AS sum FROM m),
+g AS (SELECT k, CAST(min(abs(sum - target)) AS BIGINT) AS gap FROM r GROUP BY k),
+p AS (SELECT k, target, unnest(range(0, len(parts))) AS i, unnest(parts) AS part FROM t WHERE len(parts) > 1),
+w AS (SELECT k, target, i, part, CAST(part AS VARCHAR) AS d, a, b FROM p, (VALUES ('4', '8'), ('8', '4'), ('1', '7'), ('7', '1'), ('3', '8'), ('8', '3'), ('5', '6'), ('6', '5'), ('0', '8'), ('8', '0'), ('9', '4'), ('6', '8')) AS v(a, b) WHERE contains(CAST(part AS VARCHAR), a)),
+z AS (SELECT DISTINCT w.k FROM (SELECT *, target + part - CAST(substr(d, 1, instr(d, a) - 1) || b || substr(d, instr(d, a) + 1) AS BIGINT) AS wanted FROM w) w JOIN r ON r.k = w.k AND r.sum = wanted AND (r.mask >> i) & 1 = 1)
+SELECT a.k AS receipt_id, len(amounts) AS n_amounts, gap, CASE WHEN len(amounts) < 3 THEN 'too few amounts' WHEN gap = 0 THEN 'exact' WHEN gap <= 10 OR z.k IS NOT NULL THEN 'near' ELSE 'far' END AS verdict
+FROM a LEFT JOIN g USING (k) LEFT JOIN z ON z.k = a.k
+"""
+
+
+@query(_PRINTED)
+def misread_amounts(spark, sf_dir):
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.row_number().over(order).alias("n"), (cents_of("l_extendedprice") % 90000 + 1000).alias("c"))
+    misread = F.replace(F.col("c").cast("string"), F.lit("8"), F.lit("4")).cast("bigint")
+    shown = F.when((F.col("k") % 5 == 2) & (F.col("n") == 1), misread).otherwise(F.col("c"))
+    printed = F.when(~((F.col("k") % 5 == 3) & (F.col("n") == 1)), format_cents(shown))
+    total = format_cents(F.sum("c") + F.when(F.col("k") % 5 == 1, F.lit(7)).otherwise(F.lit(0)))
+    texts = lines.groupBy("k").agg(F.concat_ws("\n", F.collect_list(printed), total).alias("text"))
+    return extract.arithmetic(texts.withColumnRenamed("k", "receipt_id")).withColumn("n_amounts", F.col("n_amounts").cast("bigint"))
+
+
 # Intake: one file for each order, of nine kinds; customers' figures make copies.
 
 _FILES = """
@@ -857,7 +887,7 @@ def model_replies(spark, sf_dir):
 def decision_log(spark, sf_dir):
     """Logs written as files, one each, and scanned line by line."""
     lines = table(spark, sf_dir, "events").select(F.concat(F.lit("log"), (F.col("user_id") % 16).cast("string")).alias("log"), "event_id")
-    where = f"{scratch_root(spark)}/ledgerloom-logs-{uuid.uuid4().hex}"
+    where = scratch_path(spark, "logs")
     shown = F.concat(F.lit('{"id":'), F.col("event_id").cast("string"), F.lit("}"))
     lines.repartition("log").sortWithinPartitions("log", "event_id").select("log", shown.alias("value")).write.partitionBy("log").text(where)
     found = decisions.read_log(spark, where)

@@ -36,10 +36,21 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder; what is there goes when the application ends."""
+    path = f"{scratch_root(spark)}/ledgerloom-{label}-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    if app not in _SCRATCH:
+        _SCRATCH[app] = []
+        atexit.register(_sweep, spark, app)
+    _SCRATCH[app].append(path)
+    return path
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table in the shared folder."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/ledgerloom-{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     before = spark.conf.get(_DROP_SHUFFLES)
     # What was shuffled for a table is of no use once the table is there.
     spark.conf.set(_DROP_SHUFFLES, "true")
@@ -47,11 +58,6 @@ def written(df: DataFrame, label: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_DROP_SHUFFLES, before)
-    app = spark.sparkContext.applicationId
-    if app not in _SCRATCH:
-        _SCRATCH[app] = []
-        atexit.register(_sweep, spark, app)
-    _SCRATCH[app].append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._ledgerloom_path = path
     return out

@@ -17,14 +17,31 @@ def brute_gap(parts, target):
     return min((abs(sum(c) - target) for n in range(1, len(kept) + 1) for c in itertools.combinations(kept, n)), default=target)
 
 
+def brute_verdict(amounts):
+    if len(amounts) < 3:
+        return None, "too few amounts"
+    parts = sorted(amounts, reverse=True)
+    target = parts.pop(0)
+    gap = brute_gap(parts, target)
+    swapped = ([*parts[:i], int(str(p).replace(a, b, 1)), *parts[i + 1 :]] for i, p in enumerate(parts) for a, b in extract.CONFUSIONS if a in str(p))
+    near = gap <= 10 or any(brute_gap(x, target) == 0 for x in swapped)
+    return gap, "exact" if gap == 0 else "near" if near else "far"
+
+
 def test_subset_sums(spark):
     rng = random.Random(2)
-    for _ in range(400):
-        parts = [rng.randrange(0, rng.choice([5, 300, 9999])) for _ in range(rng.randint(0, 9))]
-        target = rng.choice([rng.randrange(0, 20000), sum(parts[: rng.randint(0, 9)])])
-        assert extract.subset_gap(parts, target) == brute_gap(parts, target)
-    assert extract.subset_gap([1] * 30, 30) == 12  # the eighteen largest
-    assert extract.one_digit_closes([1234, 500], 7234 + 500) and not extract.one_digit_closes([1234, 500], 9999)
+    sets = [[rng.randrange(0, rng.choice([5, 300, 9999])) for _ in range(rng.randint(0, 7))] for _ in range(200)]
+    for parts in sets[:120]:
+        if parts:
+            parts.append(sum(parts[: rng.randint(1, 7)]) + rng.choice([0, 0, 7, -7, 400, 4000, 60]))
+    sets = [[abs(x) for x in s] for s in sets]
+    # Nineteen parts and more: only the largest eighteen are looked at, and a changed one can fall behind.
+    sets += [[100] * 30, [*range(1000, 1019), 1000], [800, *[400] * 17, 999999]]
+    texts = [(str(i), "\n".join(f"{x // 100}.{x % 100:02d}" for x in s)) for i, s in enumerate(sets)]
+    got = {r["receipt_id"]: (r["gap"], r["verdict"]) for r in extract.arithmetic(spark.createDataFrame(texts, "receipt_id string, text string")).collect()}
+    few = {str(i): brute_verdict(s) for i, s in enumerate(sets[:200])}
+    assert {k: got[k] for k in few} == few and {v for _, v in few.values()} == {"exact", "near", "far", "too few amounts"}
+    assert [got[str(k)] for k in (200, 201, 202)] == [(0, "exact"), (1, "near"), (992399, "far")]
     texts = {"a": "1.00\n2.00\n3.00", "b": "1.00 2.00 3.07", "c": "4.00\n1.50\n9.50", "d": "1.00\n2.00\n77.00", "e": "1.00 2.00", "f": None}
     got = {r["receipt_id"]: (r["n_amounts"], r["gap"], r["verdict"]) for r in extract.arithmetic(spark.createDataFrame(list(texts.items()), "receipt_id string, text string")).collect()}
     assert got == {"a": (3, 0, "exact"), "b": (3, 7, "near"), "c": (3, 400, "near"), "d": (3, 7400, "far"), "e": (2, None, "too few amounts"), "f": (0, None, "too few amounts")}
