@@ -76,10 +76,12 @@ def decimal_evidence(spark, sf_dir):
 
 
 @query("""
-SELECT o_orderkey, CASE WHEN kind = 0 OR (seen AND kind < 3) THEN CAST(o_orderdate AS DATE) END AS date,
+SELECT o_orderkey, CASE WHEN kind = 0 OR (seen AND kind < 3) THEN CAST(o_orderdate AS DATE)
+  WHEN dmy AND NOT mdy THEN CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderdate AS DATE) WHEN day(o_orderdate) <= 12 THEN make_date(year(o_orderdate), day(o_orderdate), month(o_orderdate)) END
+  WHEN mdy AND NOT dmy THEN CASE WHEN o_orderkey % 2 = 1 THEN CAST(o_orderdate AS DATE) WHEN day(o_orderdate) <= 12 THEN make_date(year(o_orderdate), day(o_orderdate), month(o_orderdate)) END END AS date,
 CASE WHEN kind = 0 THEN '' WHEN NOT seen THEN 'unsettled' WHEN kind = 1 THEN 'dmy' WHEN kind = 2 THEN 'mdy' WHEN dmy AND mdy THEN 'mixed' WHEN dmy THEN 'dmy' ELSE 'mdy' END AS date_order
 FROM (SELECT *, o_custkey % 4 AS kind, bool_or(day(o_orderdate) > 12) OVER w AS seen, bool_or(day(o_orderdate) > 12 AND o_orderkey % 2 = 0) OVER w AS dmy, bool_or(day(o_orderdate) > 12 AND o_orderkey % 2 = 1) OVER w AS mdy
-  FROM orders WINDOW w AS (PARTITION BY o_custkey)) WHERE kind < 3 OR NOT seen OR (dmy AND mdy)
+  FROM orders WINDOW w AS (PARTITION BY o_custkey))
 """)
 def statement_dates(spark, sf_dir):
     """ISO, day first, month first, and files in which both occur; files whose order can't be told have no dates."""
@@ -90,18 +92,17 @@ def statement_dates(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", raw.alias("raw"), kind.alias("kind"))
     orders = rows.groupBy("o_custkey").agg(date_order(order_vote(F.col("raw"))).alias("date_order"))
     known = F.when(~F.col("date_order").isin("mixed", "unsettled"), resolve_date(F.col("raw"), F.col("date_order")))
-    return rows.join(orders, "o_custkey").filter("kind < 3 or date_order in ('mixed', 'unsettled')").select("o_orderkey", known.alias("date"), "date_order")
+    return rows.join(orders, "o_custkey").select("o_orderkey", known.alias("date"), "date_order")
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 8 < 7 THEN CAST(o_orderdate AS DATE) END AS date FROM orders WHERE o_orderkey % 8 IN (0, 3, 4, 5, 6, 7) OR day(o_orderdate) > 12""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 8 = 2 AND day(o_orderdate) <= 12 THEN make_date(year(o_orderdate), day(o_orderdate), month(o_orderdate)) WHEN o_orderkey % 8 < 7 THEN CAST(o_orderdate AS DATE) END AS date FROM orders""")
 def any_dates(spark, sf_dir):
-    """The fixed formats one after another; of the two that can be taken for each other, only dates that can't."""
+    """The fixed formats one after another; of the two that can be taken for each other, the day comes first."""
     formats = ("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "yyyy/M/d", "d-M-yyyy", "dd.MM.yyyy", "yyyyMMdd")
     raw = F.lit("31/02/2024")
     for k, f in enumerate(formats):
         raw = F.when(F.col("o_orderkey") % 8 == k, F.concat(F.lit(" "), F.date_format("o_orderdate", f), F.lit(" " if k == 6 else ""))).otherwise(raw)
-    rows = table(spark, sf_dir, "orders").filter((~(F.col("o_orderkey") % 8).isin(1, 2)) | (F.dayofmonth("o_orderdate") > 12))
-    return rows.select("o_orderkey", any_date(raw).alias("date"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", any_date(raw).alias("date"))
 
 
 _MERCHANT = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(raw), '\bsq \*|\btst\*|\bsp \*|\bpp\*|\bpaypal \*', ' ', 'g'), '[^a-z0-9 ]', ' ', 'g'),
