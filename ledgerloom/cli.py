@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import decisions, integrity
 from ledgerloom.plans import reports
-from ledgerloom.plans.pipeline import audit_statements, parsed_once, review_texts
+from ledgerloom.plans.pipeline import audit_statements, parsed_files, review_texts
 from ledgerloom.scratch import written
 from ledgerloom.sources import sinks
 from ledgerloom.sources.documents import read_receipts
-from ledgerloom.sources.statements import parse, read_texts
+from ledgerloom.sources.statements import read_texts
 
 
 def _print(lines: DataFrame) -> None:
@@ -32,7 +32,7 @@ def _worst(codes: DataFrame) -> int:
 
 
 def audit(spark: SparkSession, args: argparse.Namespace) -> int:
-    parsed = parsed_once(parse(read_texts(spark, args.statements)))
+    parsed = parsed_files(read_texts(spark, args.statements))
     made = audit_statements(parsed)
     _print(reports.audit_report(made).unionByName(reports.refusal_report(parsed)))
     return _worst(reports.audit_codes(parsed, made))
@@ -40,7 +40,7 @@ def audit(spark: SparkSession, args: argparse.Namespace) -> int:
 
 def _reviewed(spark: SparkSession, args: argparse.Namespace) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(queue, refusals with incomplete statements, unreadable receipts)."""
-    parsed = parsed_once(parse(read_texts(spark, args.statements)))
+    parsed = parsed_files(read_texts(spark, args.statements))
     receipts, unreadable = read_receipts(spark, args.receipts)
     states = integrity.completeness(parsed.lines, parsed.statements)
     bad = reports.refusal_report(parsed).unionByName(states.filter("not usable").select("statement_id", F.lit(1).alias("number"), F.lit("Incomplete: its own figures contradict it.").alias("line")))

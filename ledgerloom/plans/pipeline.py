@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import extract, integrity, pairing, queue, selfaudit, verdict
-from ledgerloom.scratch import written
-from ledgerloom.sources.statements import Statements
+from ledgerloom.scratch import release, written
+from ledgerloom.sources.statements import Statements, statement_rows, statements_of
 
 
 class Audit(NamedTuple):
@@ -25,6 +25,15 @@ def parsed_once(parsed: Statements) -> Statements:
     return Statements(*(df if hasattr(df, "_ledgerloom_path") else written(df, name) for name, df in parsed._asdict().items()))
 
 
+def parsed_files(files: DataFrame) -> Statements:
+    """(statement_id, text) files as tables: each is read and parsed once, however many questions follow."""
+    rows = written(statement_rows(files), "statement-rows")
+    try:
+        return parsed_once(statements_of(rows))
+    finally:
+        release(rows)
+
+
 def audit_statements(parsed: Statements) -> Audit:
     """States, findings and recurring charges of all statements; incomplete ones have neither findings nor charges.
 

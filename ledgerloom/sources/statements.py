@@ -10,6 +10,7 @@ import io
 import json
 import re
 from collections.abc import Iterator
+from functools import partial
 from typing import NamedTuple
 
 import pandas as pd
@@ -38,6 +39,10 @@ _ROLE_OF = {name: role for role, names in HEADERS.items() for name in names}
 _CELLS = "statement_id string, code string, row int, " + ", ".join(f"{r} string" for r in ROLES) + ", has_amount boolean, has_date boolean, has_description boolean, cells string"
 
 
+#: Marks a file that is passed on whole.
+OFX = "ofx"
+
+
 class Statements(NamedTuple):
     lines: DataFrame
     statements: DataFrame
@@ -75,9 +80,14 @@ def find_header(text: str) -> tuple[str, int, dict[str, int]] | None:
 
 
 
-def _csv_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _csv_rows(batches: Iterator[pd.DataFrame], ofx: bool = False) -> Iterator[pd.DataFrame]:
+    """The rows of files that hold delimited text; with ``ofx`` the others are passed on whole, as one row each."""
+
     def one(name: str, text: str) -> Iterator[tuple]:
         nothing = (None,) * len(ROLES)
+        if ofx and "<STMTTRN>" in text.upper():
+            yield (name, OFX, 0, *nothing, False, False, False, text)
+            return
         text = text.removeprefix("﻿")
         if not text.strip():
             yield (name, "no_rows", 0, *nothing, False, False, False, None)
@@ -110,9 +120,9 @@ def _blank(c: str):
     return F.coalesce(F.trim(c), F.lit("")) == ""
 
 
-def parse_csv(files: DataFrame) -> Statements:
-    """Statements of (statement_id, text) rows that hold delimited text."""
-    rows = files.select("statement_id", "text").mapInPandas(_csv_rows, _CELLS)
+def statement_rows(files: DataFrame, ofx: bool = True) -> DataFrame:
+    """All rows of (statement_id, text) files with what was made of them: one pass over the files, from which ``statements_of`` tells."""
+    rows = files.select("statement_id", "text").mapInPandas(partial(_csv_rows, ofx=ofx), _CELLS)
     money = ("amount", "debit", "credit", "balance")
     whole = Window.partitionBy("statement_id")
     # Evidence of each row, then of the whole file: one window over the file decides marks, dates and currency for all rows.
@@ -152,7 +162,10 @@ def parse_csv(files: DataFrame) -> Statements:
     code = F.coalesce("code", F.when(unreadable, F.lit("unreadable_amount")).when(two_sided, F.lit("both_sides")).when(head, F.concat(F.lit("dates_"), "date_order")))
     read = read.withColumn("code", code)
     read = read.withColumns({"refused": F.min(F.when(F.col("code").isNotNull(), F.struct("row", "code"))).over(whole), "n_amounts": F.count("amount_cents").over(whole)})
-    read = read.withColumn("refused", F.coalesce("refused", F.when(F.col("n_amounts") == 0, F.struct(F.lit(0).alias("row"), F.lit("no_amounts").alias("code")))))
+    return read.withColumn("refused", F.coalesce("refused", F.when(F.col("n_amounts") == 0, F.struct(F.lit(0).alias("row"), F.lit("no_amounts").alias("code")))))
+
+
+def _delimited(read: DataFrame) -> Statements:
     refusals = read.filter((F.col("row") == 0) & F.col("refused").isNotNull()).select("statement_id", "refused.code", "refused.row")
     lines = read.filter(F.col("refused").isNull() & (F.col("row") > 0) & F.col("amount_cents").isNotNull()).select(
         "statement_id",
@@ -217,11 +230,21 @@ def parse_ofx(files: DataFrame) -> Statements:
     return Statements(lines, statements, refusals)
 
 
+def parse_csv(files: DataFrame) -> Statements:
+    """Statements of (statement_id, text) rows that hold delimited text."""
+    return _delimited(statement_rows(files, ofx=False))
+
+
+def statements_of(read: DataFrame) -> Statements:
+    """Statements of both kinds from ``statement_rows``."""
+    whole = F.coalesce(F.col("code") == OFX, F.lit(False))
+    a, b = _delimited(read.filter(~whole)), parse_ofx(read.filter(whole).select("statement_id", F.col("cells").alias("text")))
+    return Statements(*(x.unionByName(y) for x, y in zip(a, b)))
+
+
 def parse(files: DataFrame) -> Statements:
     """Both kinds, told apart by content."""
-    ofx = F.contains(F.upper(F.coalesce("text", F.lit(""))), F.lit("<STMTTRN>"))
-    a, b = parse_csv(files.filter(~ofx)), parse_ofx(files.filter(ofx))
-    return Statements(*(x.unionByName(y) for x, y in zip(a, b)))
+    return statements_of(statement_rows(files))
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:

@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
-from ledgerloom.plans.pipeline import audit_statements, parsed_once
+from ledgerloom.plans.pipeline import audit_statements, parsed_files
 from ledgerloom.scratch import release, written
-from ledgerloom.sources.statements import parse
 
 
 def _taken(session: SparkSession, store: str, number: int) -> DataFrame:
@@ -51,7 +50,7 @@ def watch(spark: SparkSession, inbox: str, store: str, checkpoint: str, on_chang
             told.filter("same_as is null").select("digest", "statement_id").write.mode("overwrite").parquet(f"{store}/taken/batch={number}")
             told.filter("same_as is not null").select("statement_id", "digest", "same_as").write.mode("overwrite").parquet(f"{store}/rejected/batch={number}")
             new = session.read.parquet(f"{store}/taken/batch={number}").select("statement_id")
-            parsed = parsed_once(parse(batch.join(new, "statement_id", "left_semi").select("statement_id", "text")))
+            parsed = parsed_files(batch.join(new, "statement_id", "left_semi").select("statement_id", "text"))
             audit = audit_statements(parsed)
             for name, df in (("lines", parsed.lines), ("states", audit.states), ("findings", audit.findings), ("refusals", parsed.refusals)):
                 df.write.mode("overwrite").parquet(f"{store}/{name}/batch={number}")

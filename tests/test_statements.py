@@ -62,9 +62,11 @@ def test_audit(parsed):
     result = audit_statements(parsed)
     states = {r["statement_id"]: (r["state"], r["break_row"]) for r in result.states.collect()}
     assert states["year"] == ("whole", None) and states["broken"] == ("incomplete", 4) and states["ofx"] == ("unverifiable", None)
-    found = {}
+    found, rows = {}, {}
+    for r in selfaudit.finding_rows(result.findings, parsed.lines).collect():
+        rows.setdefault((r["statement_id"], r["rank"]), []).append(r["row"])
     for r in result.findings.collect():
-        found.setdefault(r["statement_id"], []).append((r["rank"], r["kind"], r["at_risk"], tuple(r["rows"])))
+        found.setdefault(r["statement_id"], []).append((r["rank"], r["kind"], r["at_risk"], tuple(sorted(rows[r["statement_id"], r["rank"]]))))
     assert sorted(found["year"]) == [(1, "price_rose", 3600, (1, 7, 8, 9)), (2, "paid_twice", 420, (2, 3)), (3, "paid_twice", 0, (4, 5))]
     assert "broken" not in found  # a broken statement has no findings
     assert [(r["charges"], r["latest_cents"], r["a_year_cents"]) for r in result.recurring.filter("statement_id = 'year'").collect()] == [(4, 1199, 14388)]
