@@ -18,13 +18,14 @@ NOISE = (
 )
 RATIO_FLOOR = 0.8
 
-_PREFIX = "|".join(r"\b" + p.replace("*", r"\*") for p in PREFIXES)
+_PREFIX = r"\b(?:" + "|".join(p.replace("*", r"\*") for p in PREFIXES) + ")"
 _NOISE = r"\b(?:" + "|".join(NOISE) + r"|xx+|[0-9]{4,})\b"
 
 
 def normalise_merchant(raw: Column) -> Column:
     """The part of a descriptor that names the merchant; '' for none."""
-    text = F.regexp_replace(F.lower(F.coalesce(raw, F.lit(""))), _PREFIX, " ")
+    low = F.lower(F.coalesce(raw, F.lit("")))
+    text = F.when(F.contains(low, F.lit("*")), F.regexp_replace(low, _PREFIX, " ")).otherwise(low)
     text = F.regexp_replace(F.regexp_replace(text, "[^a-z0-9 ]", " "), _NOISE, " ")
     return F.trim(F.regexp_replace(text, " +", " "))
 

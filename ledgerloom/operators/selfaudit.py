@@ -258,7 +258,7 @@ def new_recurring(of_runs: DataFrame, lines: DataFrame, settling_days: int = SET
 def paid_twice(lines: DataFrame, window_days: int = WINDOW_DAYS) -> DataFrame:
     """``suspects`` with the money at risk of each (nothing for refunded pairs and undated groups) and their rank, the largest amount first."""
     risk = F.when(F.col("refund_row").isNull() & F.col("days_apart").isNotNull(), F.col("cents")).otherwise(F.lit(0))
-    order = Window.partitionBy("statement_id").orderBy(F.desc("cents"), "first_row", "second_row")
+    order = Window.partitionBy("statement_id").orderBy(F.desc("cents"), "first_row", "second_row", F.col("days_apart").asc_nulls_last())
     return suspects(lines, window_days).withColumns({"at_risk": risk, "rank": F.row_number().over(order)})
 
 
@@ -276,7 +276,7 @@ def audit(lines: DataFrame, states: DataFrame, window_days: int = WINDOW_DAYS, f
     found = shape(paid_twice(good, window_days).withColumnRenamed("second_row", "last_row"), "paid_twice", 0)
     for place, kind, df in ((1, "price_rose", price_rises(of_runs, facts)), (2, "new_recurring", new_recurring(of_runs, good, facts=facts))):
         found = found.unionByName(shape(df, kind, place), allowMissingColumns=True)
-    order = Window.partitionBy("statement_id").orderBy(F.desc("at_risk"), "kind_order", "first_row", "last_row")
+    order = Window.partitionBy("statement_id").orderBy(F.desc("at_risk"), "kind_order", "first_row", "last_row", F.col("days_apart").asc_nulls_last())
     return found.withColumn("rank", F.row_number().over(order)).drop("kind_order")
 
 

@@ -280,7 +280,7 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("statement_id"), k.alias("row"), date.alias("date"), described(k % 3, F.floor(k / 3) % 2).alias("description"), (F.round("value").cast("bigint") * 100 * sign).alias("amount_cents"))
 
 
-@query(_EVENT_LINES + "SELECT statement_id, cents, merchant, days_apart, first_row, second_row, refund_row, at_risk, row_number() OVER (PARTITION BY statement_id ORDER BY cents DESC, first_row, second_row) AS rank FROM t")
+@query(_EVENT_LINES + "SELECT statement_id, cents, merchant, days_apart, first_row, second_row, refund_row, at_risk, row_number() OVER (PARTITION BY statement_id ORDER BY cents DESC, first_row, second_row, days_apart NULLS LAST) AS rank FROM t")
 def paid_twice(spark, sf_dir):
     return selfaudit.paid_twice(event_lines(spark, sf_dir)).select("statement_id", "cents", "merchant", F.col("days_apart").cast("bigint").alias("days_apart"), "first_row", "second_row", "refund_row", F.col("at_risk").cast("bigint").alias("at_risk"), F.col("rank").cast("bigint").alias("rank"))
 
@@ -335,10 +335,10 @@ def merchant_clusters(spark, sf_dir):
 
 
 @query(_EVENT_LINES + f""", d AS (SELECT statement_id, row, date, m, name, description, cents FROM b WHERE date IS NOT NULL), {_FACTS},
-u AS (SELECT statement_id, 'paid_twice' AS kind, 0 AS place, merchant, at_risk, first_row AS r1, second_row AS r2 FROM t
-  UNION ALL SELECT statement_id, 'price_rose', 1, merchant, rise * 12, r1, r2 FROM r WHERE rise > 50
-  UNION ALL SELECT statement_id, 'new_recurring', 2, merchant, last_cents * 12, r1, r2 FROM r JOIN o USING (statement_id) WHERE first_seen > opened + 45)
-SELECT statement_id, kind, merchant, at_risk, row_number() OVER (PARTITION BY statement_id ORDER BY at_risk DESC, place, r1, r2) AS rank FROM u""")
+u AS (SELECT statement_id, 'paid_twice' AS kind, 0 AS place, merchant, at_risk, first_row AS r1, second_row AS r2, days_apart FROM t
+  UNION ALL SELECT statement_id, 'price_rose', 1, merchant, rise * 12, r1, r2, NULL FROM r WHERE rise > 50
+  UNION ALL SELECT statement_id, 'new_recurring', 2, merchant, last_cents * 12, r1, r2, NULL FROM r JOIN o USING (statement_id) WHERE first_seen > opened + 45)
+SELECT statement_id, kind, merchant, at_risk, row_number() OVER (PARTITION BY statement_id ORDER BY at_risk DESC, place, r1, r2, days_apart NULLS LAST) AS rank FROM u""")
 def audit_findings(spark, sf_dir):
     lines = event_lines(spark, sf_dir).withColumn("balance_cents", F.lit(None).cast("bigint"))
     nothing = F.lit(None).cast("bigint")
@@ -351,7 +351,7 @@ def audit_findings(spark, sf_dir):
 u AS (SELECT statement_id, 0 AS place, CAST(NULL AS BIGINT) AS m, cents, days_apart, at_risk, first_row AS r1, second_row AS r2 FROM t
   UNION ALL SELECT statement_id, 1, m, NULL, NULL, rise * 12, r1, r2 FROM r WHERE rise > 50
   UNION ALL SELECT statement_id, 2, m, NULL, NULL, last_cents * 12, r1, r2 FROM r JOIN o USING (statement_id) WHERE first_seen > opened + 45),
-v AS (SELECT *, row_number() OVER (PARTITION BY statement_id ORDER BY at_risk DESC, place, r1, r2) AS rank FROM u)
+v AS (SELECT *, row_number() OVER (PARTITION BY statement_id ORDER BY at_risk DESC, place, r1, r2, days_apart NULLS LAST) AS rank FROM u)
 SELECT statement_id, rank, unnest([r1, r2]) AS row FROM v WHERE place = 0 AND days_apart IS NOT NULL
 UNION ALL SELECT v.statement_id, rank, b.row FROM v JOIN b ON v.place = 0 AND v.days_apart IS NULL AND b.statement_id = v.statement_id AND b.cents = v.cents AND b.m = v.r1 % 3
 UNION ALL SELECT v.statement_id, rank, d.row FROM v JOIN d ON v.place > 0 AND d.statement_id = v.statement_id AND d.m = v.m""")
