@@ -101,8 +101,8 @@ _MIX_SQL = """
 WITH d AS (SELECT *, coalesce(octet_length(encode(text)), 0) + 1 AS bytes FROM documents),
 s AS (SELECT source, sum(bytes) AS b, CASE WHEN source = 'src0' THEN 5.0 ELSE 1.0 END AS w FROM d GROUP BY source),
 r AS (SELECT source, CAST(w AS DOUBLE) * (CAST((SELECT sum(b) FROM s) AS DOUBLE) / CAST((SELECT sum(w) FROM s) AS DOUBLE)) / CAST(b AS DOUBLE) AS rate FROM s),
-p AS (SELECT source, list_transform(range(0, 80), lambda k: exp(-rate + k * ln(rate) - lgamma(k + 1))) AS ps FROM r),
-c AS (SELECT source, list_transform(range(1, 81), lambda k: list_sum(list_slice(ps, 1, k))) AS sums FROM p),
+p AS (SELECT source, list_transform(range(0, CAST(ceil(rate + 12 * sqrt(rate)) AS BIGINT) + 80), lambda k: exp(-rate + k * ln(rate) - lgamma(k + 1))) AS ps FROM r),
+c AS (SELECT source, list_transform(range(1, len(ps) + 1), lambda k: list_sum(list_slice(ps, 1, k))) AS sums FROM p),
 n AS (SELECT d.*, len(list_filter(c.sums, lambda x: x <= CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) / 4503599627370496.0)) AS n_copies FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source),
 e AS (SELECT doc_id, text, lang, source, n_chars, CAST(n_copies AS INTEGER) AS n_copies, CAST(unnest(range(1, n_copies + 1)) AS INTEGER) AS copy FROM n)
 SELECT *, md5('18:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || copy) AS shuffle_key FROM e
