@@ -57,8 +57,7 @@ def review(lines: DataFrame, receipts: DataFrame, scope: Sequence[str] = (), win
     ``receipts``: receipt_id, merchant, date, currency, generated, items and the amounts' columns of ``verdict``.
     """
     charges = lines.withColumn("charge_currency", F.col("currency")).drop("currency")
-    found = pairing.candidates(charges, receipts, window_days, scope)
-    decided = pairing.assign(charges, found)
+    decided = pairing.assigned(charges, receipts, window_days, scope)
     papers = receipts.withColumn("receipt_source", F.col("receipt_id").cast("string")).drop("date", *scope)
     pairs = charges.join(decided, ["statement_id", "row"]).join(papers, "receipt_id", "left")
     none = F.expr("array()").cast(pairs.schema["items"].dataType)
