@@ -6,8 +6,12 @@ of them. No row leaves its place, so reading receipts shuffles nothing.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ledgerloom.functions.money import first_currency, let
@@ -230,7 +234,8 @@ def receipts(texts: DataFrame) -> DataFrame:
 CONFUSIONS = (("4", "8"), ("8", "4"), ("1", "7"), ("7", "1"), ("3", "8"), ("8", "3"), ("5", "6"), ("6", "5"), ("0", "8"), ("8", "0"), ("9", "4"), ("6", "8"))
 NEAR_CENTS = 10
 FEWEST_AMOUNTS = 3
-LARGEST_PARTS = 18
+#: So many parts are summed by a fold in the JVM, whose sums may double with each; more by bits, one for each cent.
+FOLDED_PARTS = 8
 _BARE_AMOUNT = r"(?<![\d.,])(\d{1,6}[.,]\d{2})(?![\d])"
 
 
@@ -248,37 +253,77 @@ def _swapped(part: Column) -> Column:
 
 
 def _one_digit_closes(parts: Column, target: Column) -> Column:
-    """Whether a digit taken for another in one part is all that keeps some of the largest parts from summing to the target.
+    """Whether a digit taken for another in one part is all that keeps some parts from summing to the target.
 
-    ``parts`` are sorted, the largest first, and no sum of them is the target. So a sum that is has the changed part in it, and
-    the others must reach what that leaves; or the changed part is too small to be looked at, and another takes its place.
+    No sum of ``parts`` is the target. So a sum that is has the changed part in it, and the others must reach what that leaves.
     """
 
     def with_part(x: Column, i: Column) -> Column:
-        others = F.filter(parts, lambda _, j: j != i)
-        next_ = F.try_element_at(others, F.lit(LARGEST_PARTS))
-        rest = reachable(F.slice(others, 1, LARGEST_PARTS - 1), target)
-        in_place = lambda r: F.exists(_swapped(x), lambda p: (next_.isNull() | (p >= next_)) & ((p == target) | F.array_contains(r, target - p)))
-        out_of_it = next_.isNotNull() & F.exists(_swapped(x), lambda p: p < next_) & F.array_contains(reachable(F.slice(others, 1, LARGEST_PARTS), target), target)
-        return let(rest, in_place) | F.coalesce(out_of_it, F.lit(False))
+        rest = reachable(F.filter(parts, lambda _, j: j != i), target)
+        return let(rest, lambda r: F.exists(_swapped(x), lambda p: (p == target) | F.array_contains(r, target - p)))
 
     return F.exists(F.transform(parts, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda y: with_part(y["x"], y["i"]))
 
 
+def _swaps(part: int) -> set[int]:
+    """``_swapped`` of one part."""
+    digits = str(part)
+    return {int(digits.replace(a, b, 1)) for a, b in CONFUSIONS if a in digits}
+
+
+def nearest_sum(amounts: Sequence[int]) -> tuple[int, bool]:
+    """(gap, closes) of amounts sorted the largest first: how near sums of the others come to it, and whether one digit closes the gap.
+
+    Sums are the bits of a number, one for each cent up to twice the target, so any number of parts costs a shift each and
+    no more memory. The sums of all parts but one come from halves: each half starts with the sums of the other.
+    """
+    target, parts = amounts[0], list(amounts[1:])
+
+    def plus(sums: int, more: Sequence[int], mask: int) -> int:
+        for x in more:
+            sums |= (sums << x) & mask
+        return sums
+
+    sums = plus(1, parts, (2 << 2 * target) - 1)
+    below = (sums & ((2 << target) - 1)).bit_length() - 1
+    above = sums >> target
+    gap = min(target - below, (above & -above).bit_length() - 1 if above else target)
+    if gap <= NEAR_CENTS:
+        return gap, False
+    mask = (2 << target) - 1
+
+    def closes(sums: int, some: Sequence[int]) -> bool:
+        if len(set(some)) == 1:
+            rest = plus(sums, some[1:], mask)
+            return any(p <= target and rest >> (target - p) & 1 for p in _swaps(some[0]))
+        half = len(some) // 2
+        return closes(plus(sums, some[half:], mask), some[:half]) or closes(plus(sums, some[:half], mask), some[half:])
+
+    return gap, closes(1, parts)
+
+
+@F.pandas_udf(T.StructType([T.StructField("gap", T.LongType()), T.StructField("closes", T.BooleanType())]))
+def _nearest(amounts: pd.Series) -> pd.DataFrame:
+    found = [(None, None) if x is None else nearest_sum(x.tolist()) for x in amounts]
+    gaps, closes = pd.array([g for g, _ in found], dtype="Int64"), pd.array([c for _, c in found], dtype="boolean")
+    return pd.DataFrame({"gap": gaps, "closes": closes})
+
+
 def arithmetic(texts: DataFrame) -> DataFrame:
     """(receipt_id, n_amounts, gap, verdict): whether some amounts of a text sum to its largest: exact, near, far or too few amounts.
 
-    All sums of the eighteen largest other amounts are looked at. Near is a gap of a few cents, or one that a digit taken for
-    another explains.
+    All sums of all other amounts are looked at, however many there are. Near is a gap of a few cents, or one that a digit taken
+    for another explains.
     """
     tokens = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_BARE_AMOUNT), F.lit(1))
     found = texts.select("receipt_id", F.sort_array(F.transform(tokens, _cents), asc=False).alias("amounts"))
+    found = found.withColumn("many", _nearest(F.when(F.size("amounts") > FOLDED_PARTS + 1, F.col("amounts"))))
     target, parts = F.try_element_at("amounts", F.lit(1)), F.slice("amounts", 2, F.greatest(F.size("amounts"), F.lit(1)))
     # No part is over the target, so no sum over twice the target is nearer than a single part.
-    gap = F.array_min(F.transform(reachable(F.slice(parts, 1, LARGEST_PARTS), 2 * target), lambda s: F.abs(s - target)))
-    enough = F.size("amounts") >= FEWEST_AMOUNTS
-    found = found.withColumn("gap", F.when(enough, gap))
-    near = (F.col("gap") <= NEAR_CENTS) | _one_digit_closes(parts, target)
+    folded = F.array_min(F.transform(reachable(parts, 2 * target), lambda s: F.abs(s - target)))
+    enough, few = F.size("amounts") >= FEWEST_AMOUNTS, F.size("amounts") <= FOLDED_PARTS + 1
+    found = found.withColumn("gap", F.when(enough, F.when(few, folded).otherwise(F.col("many.gap"))))
+    near = (F.col("gap") <= NEAR_CENTS) | F.when(few, _one_digit_closes(parts, target)).otherwise(F.col("many.closes"))
     verdict = F.when(~enough, F.lit("too few amounts")).when(F.col("gap") == 0, F.lit("exact")).when(near, F.lit("near")).otherwise(F.lit("far"))
     return found.select("receipt_id", F.size("amounts").alias("n_amounts"), "gap", verdict.alias("verdict"))
 
