@@ -39,3 +39,14 @@ def test_every_amount_counts_towards_a_sum(spark):
     lines = [100 * q + n % 7 + 1 for n, q in enumerate(range(3, 51, 2))]
     got = verdicts(spark, [[*lines, sum(lines) + over] for over in (0, 7, 100_000)])
     assert got == [(0, "exact"), (7, "near"), (100_000, "far")]
+
+
+def test_many_amounts_against_brute_force(spark):
+    rng = random.Random(8)
+    sets = []
+    for _ in range(60):
+        parts = [rng.randrange(100, rng.choice([400, 3000])) * rng.choice([1, 10]) for _ in range(rng.randint(9, 26))]
+        misread = [int(str(parts[0]).replace("8", "4", 1)), *parts[1:]]
+        sets.append([*rng.choice([parts, misread]), sum(parts) + rng.choice([0, 0, 7, 400, 800, 30_000])])
+    got = verdicts(spark, sets)
+    assert got == [brute(s) for s in sets] and {v for _, v in got} == {"exact", "near", "far"}
