@@ -99,12 +99,13 @@ def _cents(token: Column) -> Column:
     return F.translate(token, "., \t\n\x0b\f\r", "").try_cast("bigint")
 
 
-def _parsed(text: Column) -> Column:
+def _parsed(text: Column, labels: bool = True) -> Column:
     """struct(mark, lines): lines is an array of (number, line, plain, amounts, phrases, label).
 
     Amounts are the cents of every amount on a line, left to right; rates, and amounts without the receipt's decimal mark, are left
     out. Labels are looked up where they can matter: beside amounts, and in the first lines. Values that are used more than
-    once are bound by ``let``, so the expression stays small wherever the optimizer copies it.
+    once are bound by ``let``, so the expression stays small wherever the optimizer copies it. Without ``labels`` lines have their
+    number, text and amounts only.
     """
     raw = F.transform(F.split(F.coalesce(text, F.lit("")), "\r\n|\n|\r"), lambda x: F.regexp_replace(x, r"\s+$", ""))
     none = F.array().cast("array<string>")
@@ -124,6 +125,8 @@ def _parsed(text: Column) -> Column:
 
     def line(x: Column, i: Column, mark: Column) -> Column:
         kept = F.transform(F.filter(x["tokens"], lambda t: (mark == "") | (F.substring(t, -3, 1) == mark)), _cents)
+        if not labels:
+            return F.struct(i.alias("number"), x["line"].alias("line"), kept.alias("amounts"))
         made = F.struct(i.alias("number"), x["line"].alias("line"), plain(x["line"]).alias("plain"), kept.alias("amounts"))
         made = let(made, lambda y: y.withField("phrases", phrases(y["plain"])))
         return let(made, lambda y: y.withField("label", F.when((F.size(y["amounts"]) > 0) | (y["number"] < MERCHANT_LINES), label_on(y["plain"], y["phrases"]))))
@@ -182,6 +185,12 @@ def lines_of(receipts: DataFrame) -> DataFrame:
     return parsed.select("receipt_id", "degraded", "p.mark", F.inline_outer("p.lines"))
 
 
+def amounts_of(receipts: DataFrame) -> DataFrame:
+    """(receipt_id, mark, number, line, amounts): ``lines_of`` without labels, which nobody then has to look up."""
+    parsed = receipts.select("receipt_id", _parsed(F.col("text"), labels=False).alias("p"))
+    return parsed.select("receipt_id", "p.mark", F.inline_outer("p.lines"))
+
+
 def readings(receipts: DataFrame) -> DataFrame:
     """(receipt_id, fields, items, merchant): everything that the lines of (receipt_id, text, degraded) state.
 

@@ -613,7 +613,7 @@ def amount_tokens(spark, sf_dir):
     line = F.concat(F.lit("Item "), F.col("l_partkey").cast("string"), F.lit(": "), F.when(k % 4 == 1, comma(a)).otherwise(a), F.lit(" | "), F.when(k % 4 == 0, b).otherwise(comma(b)), F.lit(" | 7.50% | 3.4.05"))
     rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", line.alias("line")))).alias("lines"), F.sum(cents_of("l_extendedprice")).alias("sum"))
     text = F.concat(F.array_join(F.transform("lines", lambda x: x["line"]), "\r\n"), F.when(F.col("l_orderkey") % 4 == 3, F.concat(F.lit("\r\nSum: "), format_cents(F.col("sum")))).otherwise(F.lit("")))
-    lines = extract.lines_of(rows.select(F.col("l_orderkey").alias("receipt_id"), text.alias("text"), F.lit(False).alias("degraded")))
+    lines = extract.amounts_of(rows.select(F.col("l_orderkey").alias("receipt_id"), text.alias("text")))
     return lines.select("receipt_id", "number", "mark", F.posexplode("amounts").alias("place", "cents")).select("receipt_id", "number", "place", "cents", "mark")
 
 
