@@ -109,17 +109,20 @@ def format_cents(cents: Column, missing: str = "") -> Column:
 
 def normalise_currency(mark: Column) -> Column:
     """A symbol or code as a code; null where nothing is stated or it isn't one."""
-    text = F.trim(mark)
-    out = F.when(F.regexp_like(text, F.lit("^[A-Za-z]+$")), F.upper(text))
-    for symbol, code in CURRENCY_MARKS.items():
-        out = F.when(text == symbol, F.lit(code)).otherwise(out)
-    return out
+
+    def code(text: Column) -> Column:
+        out = F.when(F.regexp_like(text, F.lit("^[A-Za-z]+$")), F.upper(text))
+        for symbol, known in CURRENCY_MARKS.items():
+            out = F.when(text == symbol, F.lit(known)).otherwise(out)
+        return out
+
+    return let(F.trim(mark), code)
 
 
 def first_currency(text: Column) -> Column:
-    """The first currency mark or code in a text, as a code."""
-    found = F.regexp_extract(text, _MARK, 0)
-    return normalise_currency(F.when(found != "", found))
+    """The first currency mark or code in a text, as a code; the text is searched once."""
+    found = F.nullif(F.regexp_extract(text, _MARK, 0), F.lit(""))
+    return normalise_currency(found)
 
 
 def document_mark(vote: Column, order: Column) -> Column:
