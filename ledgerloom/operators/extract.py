@@ -56,24 +56,29 @@ def _array(words) -> Column:
     return F.array(*map(F.lit, words))
 
 
-def phrases(plain_line: Column) -> Column:
-    """Every label, tender and change word of a plain line: its runs of one to three words, looked up in an index of hashes.
+def _standing(words) -> str:
+    """Pattern of words that stand between spaces or a line's ends; nothing is taken, so those that overlap are all found.
 
-    Words of a run are parted by one space. Lines without a word that begins a phrase, which most are, need no runs.
+    Words are tried by their first letter, and only where one can begin.
     """
-    known = list(dict.fromkeys([*_RANKS, *TENDER, *CHANGE]))
-    firsts = list(dict.fromkeys(w.split(" ")[0] for w in known))
+    by_letter: dict[str, list[str]] = {}
+    for w in words:
+        by_letter.setdefault(w[0], []).append(w[1:])
+    tried = "|".join(f"{letter}(?:{'|'.join(rest)})" for letter, rest in by_letter.items())
+    return f"(?=[{''.join(by_letter)}])(?<![^ ])(?=({tried})(?![^ ]))"
+
 
-    def runs(words: Column) -> Column:
-        every, run = [words], words
-        for n in range(2, _LONGEST + 1):
-            # Where the line ends before a run does, the run is null and equals no phrase.
-            run = F.zip_with(run, F.slice(words, n, F.greatest(F.size(words), F.lit(1))), lambda x, y: F.concat(x, F.lit(" "), y))
-            every.append(run)
-        return F.array_intersect(F.concat(*every), _array(known))
+def phrases(plain_line: Column) -> Column:
+    """Every label, tender and change word of a plain line, once each: those of one word, then of two, then of three.
 
+    Words of a phrase are parted by one space. Lines without a word that begins a phrase, which most are, are searched once.
+    """
+    known = list(dict.fromkeys([*_RANKS, *TENDER, *CHANGE]))
+    firsts = dict.fromkeys(w.split(" ")[0] for w in known)
+    of_size = [[w for w in known if w.count(" ") + 1 == n] for n in range(1, _LONGEST + 1)]
+    every = F.concat(*(F.regexp_extract_all(plain_line, F.lit(_standing(words)), F.lit(1)) for words in of_size))
     none = F.array().cast("array<string>")
-    return let(F.split(plain_line, " "), lambda words: F.when(F.arrays_overlap(words, _array(firsts)), runs(words)).otherwise(none))
+    return F.when(F.regexp_like(plain_line, F.lit(_standing(firsts))), F.array_distinct(every)).otherwise(none)
 
 
 def has_any(found: Column, words) -> Column:
