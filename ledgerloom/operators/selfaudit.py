@@ -24,6 +24,11 @@ NOISE_CENTS = 50
 SETTLING_DAYS = 45
 
 
+def charged(lines: DataFrame) -> DataFrame:
+    """Charges, named or not: (statement_id, row, date, description, cents)."""
+    return lines.filter(F.col("amount_cents") < 0).select("statement_id", "row", "date", "description", (-F.col("amount_cents")).alias("cents"))
+
+
 def billed(lines: DataFrame) -> DataFrame:
     """Charges with a nameable merchant: (statement_id, row, date, description, merchant, cents)."""
     named = lines.filter(F.col("amount_cents") < 0).withColumn("merchant", normalise_merchant(F.col("description")))
@@ -121,20 +126,26 @@ def leaders(names: DataFrame, keys: Sequence[str], floor: float) -> DataFrame:
     return found.select(*keys, F.col("x.names").alias("name"), F.col("x.leaders").alias("leader"))
 
 
-def _with_leader(charges: DataFrame, name: str, keys: Sequence[str], floor: float) -> DataFrame:
-    """``charges`` with the leading name of each; they meet their group's names by the group's keys alone."""
-    found = leader_names(charges.select(*keys, F.col(name).alias("name"), "row"), keys, floor)
-    joined = charges.join(found, list(keys))
-    return joined.withColumn("leader", F.element_at("leaders", F.array_position("names", F.col(name)).cast("int"))).drop("names", "leaders")
+def _with_leader(charges: DataFrame, keys: Sequence[str], floor: float, name: Callable[[Column], Column] = lambda merchant: merchant, least: int = 1) -> DataFrame:
+    """``charges`` that name a merchant, with merchant, name and the leading name of each; groups of fewer than ``least`` are left out.
+
+    A text is normalised once for each group that it stands in, however many charges bear it; charges meet it again by group and text.
+    """
+    keys = list(keys)
+    texts = charges.groupBy(*keys, "description").agg(F.min("row").alias("row"), F.count("*").alias("times"))
+    # An array's element keeps the merchant from being worked out again by the filter on it.
+    texts = texts.withColumn("merchant", F.explode(F.array(normalise_merchant(F.col("description"))))).filter("merchant != ''")
+    if least > 1:
+        texts = texts.withColumn("times", F.sum("times").over(Window.partitionBy(*keys))).filter(F.col("times") >= least)
+    texts = texts.withColumn("name", name(F.col("merchant")))
+    found = texts.join(leaders(texts.select(*keys, "name", "row"), keys, floor), [*keys, "name"])
+    return charges.join(found.select(*keys, "description", "merchant", "name", "leader"), [*keys, "description"])
 
 
 def clusters(lines: DataFrame, floor: float = SAME_CHARGE) -> DataFrame:
-    """``billed`` with the leading name of each charge's cluster among equal amounts."""
-    charges = billed(lines)
-    keys = ["statement_id", "cents"]
+    """Charges of ``lines`` with a merchant and the leading name of each one's cluster among equal amounts."""
     # Amounts charged once can't be paid twice.
-    often = charges.withColumn("__n", F.count("*").over(Window.partitionBy(*keys))).filter("__n > 1").drop("__n")
-    return _with_leader(often, "merchant", keys, floor)
+    return _with_leader(charged(lines), ["statement_id", "cents"], floor, least=2)
 
 
 def _first_refund(pairs: DataFrame, lines: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -180,8 +191,7 @@ def double_risk(found: DataFrame) -> DataFrame:
 
 def runs(lines: DataFrame, floor: float = SAME_RUN) -> DataFrame:
     """Dated charges of each statement with the leading stable name of their run."""
-    dated = billed(lines).filter(F.col("date").isNotNull()).withColumn("name", stable_name(F.col("merchant")))
-    return _with_leader(dated, "name", ["statement_id"], floor)
+    return _with_leader(charged(lines).filter(F.col("date").isNotNull()), ["statement_id"], floor, stable_name)
 
 
 def run_facts(of_runs: DataFrame, keys: Sequence[str] = ("statement_id", "leader")) -> DataFrame:
