@@ -9,14 +9,14 @@ at most a fifth of the longer text's words (similarity 0.8). Classes are the com
 With 40 bands of two sketches of two shingles, each band catches a pair of shingle similarity s with probability about
 s ** 4: at 0.8 a pair escapes with probability under 1e-9, at 0.6 under 0.5 %. Equal texts are one node from the start.
 
-A bucket of thousands of texts is never compared pair by pair. Its members first meet two of its members. Where the bucket
-then still holds several components, members outside the largest one meet that one's best linked member and one
-picked by hash, and the bucket is refined: 120 trees, of which three begin with each band, each add one band more at every
-depth (from the fifth, half as many bands more), and the same is done in what is left of the bucket, until every bucket is in one component or holds at most
-``FEW`` texts, which then all meet. Each depth costs a few rows for each row that it holds, and a pair of shingle similarity 0.8
-is together in about 20 buckets of two bands, 8 of three and 3 of four, while a bucket of texts of similarity 0.5 shrinks
-sixteenfold with each band. What this can lose: a link whose texts are never together in a small bucket, nor meet as
-member and center, and which no other links join.
+A bucket of thousands of texts is not compared pair by pair. Its members first meet two of its members, and where the bucket
+then still holds several components, members outside the largest one meet that one's best linked member and one picked by hash.
+The texts of all buckets that still hold several components go through an exact join, so no link between texts that share a
+band is lost: texts within the edit distance share all but a fifth of the longer one's words, counted with repeats, so they share one of
+each text's rarest fifth of words and one more. Words that only one component has count as rarest and join nothing. Pairs that meet so,
+in different components, are aligned unless their words, or bits set by them, show too many differences; first each text with its
+likeliest partner, then what is still apart. The join's rows are pairs of texts that share a rare word; among very many texts that are
+all about a fifth apart, those are quadratic by nature, in rows of a few hundred bytes that Spark deals out and spills.
 
 Edge cases: a text of fewer than five words is one shingle of all its words; very long texts are sketched and aligned whole, in a band
 as wide as a fifth of their words. Null texts and null ids are classes of their own. Empty texts equal each other. Rows
@@ -26,7 +26,7 @@ table; other columns are ignored.
 
 from __future__ import annotations
 
-import functools
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ledgerloom.llm.alignment import similar
 from ledgerloom.llm.common import map_texts
@@ -44,14 +45,13 @@ SHINGLE = 5
 BANDS = 40
 SKETCHES_PER_BAND = 2
 PERCENT = 80
-#: Trees that begin with each band; each goes on with the other bands in an order of its own.
-TREES = 3
-#: In buckets of two or more bands with so few members, all members of different components meet.
-FEW = 16
+#: Longs of a text's bits, of which each word sets one.
+BIT_LONGS = 32
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(SHINGLE)], np.uint64)
 _SKETCH = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+_BAG = T.StructType([T.StructField("n", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType())), T.StructField("n_bits", T.LongType())])
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -67,7 +67,11 @@ def shingle_hashes(words: np.ndarray) -> np.ndarray:
         return words
     k = min(n, SHINGLE)
     plain = sum((words[i : n - k + 1 + i] * _POWERS[i] for i in range(1, k)), words[: n - k + 1] * _POWERS[0])
-    plain = _mixed(plain + np.uint64(k))
+    return labelled(_mixed(plain + np.uint64(k)))
+
+
+def labelled(plain: np.ndarray) -> np.ndarray:
+    """The hashes mixed with their occurrence number among equal ones."""
     order = np.argsort(plain, kind="stable")
     ranked = plain[order]
     at = np.arange(len(ranked))
@@ -77,6 +81,17 @@ def shingle_hashes(words: np.ndarray) -> np.ndarray:
     return _mixed(plain + occurrence * _M2)
 
 
+def bag(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A text's words as occurrence-labelled hashes, and as bits."""
+    import xxhash
+
+    hashed = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+    tokens = labelled(hashed) if len(words) else hashed
+    bits = np.zeros(BIT_LONGS * 64, np.uint8)
+    bits[tokens % np.uint64(len(bits))] = 1
+    return tokens.view(np.int64), np.packbits(bits).view(np.int64)
+
+
 class Sketcher:
     """Band keys of texts; the hash orders follow from the seed."""
 
@@ -120,8 +135,14 @@ def _text_key(text: Column) -> Column:
     return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) of nodes whose texts align."""
+def _may_align(a: list[str], b: list[str], percent: int) -> bool:
+    """Whether the texts share so many words, counted with repeats, as an alignment needs."""
+    longest = max(len(a), len(b))
+    return (longest - (Counter(a) & Counter(b)).total()) * 100 <= longest * (100 - percent)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int, likely: bool = True) -> DataFrame:
+    """The pairs (u, v) of nodes whose texts align; where few are ``likely`` to, their words are counted first."""
     a = texts.select(F.col("node").alias("u"), F.col("body").alias("a"))
     b = texts.select(F.col("node").alias("v"), F.col("body").alias("b"))
     joined = pairs.join(b, "v").join(a, "u").select("u", "v", "a", "b")
@@ -130,7 +151,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                good = [similar(x.split(), y.split(), percent) for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+                split = ((x.split(), y.split()) for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist()))
+                good = [(likely or _may_align(x, y, percent)) and similar(x, y, percent) for x, y in split]
                 yield pa.RecordBatch.from_arrays([*part.select(["u", "v"]).columns], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
 
     return joined.mapInArrow(check, "u bigint, v bigint")
@@ -140,39 +162,10 @@ def _close_lengths(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _orders(bands: int, trees: int = TREES, seed: int = 9) -> list[list[int]]:
-    """The order of bands in each tree; tree t begins with band t // trees."""
-    rng = np.random.default_rng(seed)
-    return [[first, *(int(p) for p in rng.permutation(bands) if p != first)] for first in range(bands) for _ in range(trees)]
-
-
-def _depths(bands: int) -> list[int]:
-    """Numbers of bands by which buckets are told apart: one more each time, then half as many more."""
-    out = [1]
-    while out[-1] < bands:
-        out.append(min(bands, max(out[-1] + 1, out[-1] * 3 // 2)))
-    return out
-
-
 def _pair(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
 
 
-def _meetings(rows: DataFrame, buckets: DataFrame, percent: int, depth: int) -> DataFrame:
-    """The pairs (u, v) that unsettled buckets ask for: rows (key, node, n_words, home), buckets (key, size, main)."""
-    there = rows.join(buckets, "key")
-    apart = there.filter((F.col("home") != F.col("main.home")) & ((F.lit(depth) == 1) | (F.col("size") > FEW)))
-    stars = apart.select("node", "n_words", F.explode(F.array("main.best", "main.any")).alias("c")).filter(_close_lengths(F.col("n_words"), F.col("c.n_words"), percent))
-    pairs = stars.select(*_pair(F.col("node"), F.col("c.node")))
-    if depth > 1:
-        # At most FEW members: a bounded list.
-        few = there.filter(F.col("size") <= FEW).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("node", "n_words", "home"))).alias("all"))
-        met = few.select("all", F.explode("all").alias("a")).select("a", F.explode("all").alias("b"))
-        met = met.filter((F.col("a.node") < F.col("b.node")) & (F.col("a.home") != F.col("b.home")) & _close_lengths(F.col("a.n_words"), F.col("b.n_words"), percent))
-        pairs = pairs.unionByName(met.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")))
-    return pairs.distinct()
-
-
 def _moved(homes: DataFrame, links: DataFrame) -> DataFrame:
     """``homes`` after more links have joined components."""
     home = homes.select("node", "home")
@@ -181,57 +174,102 @@ def _moved(homes: DataFrame, links: DataFrame) -> DataFrame:
     return written(homes.join(moved, "home", "left").select("node", "n_words", F.coalesce("to", "home").alias("home"), "degree"), "omh-homes")
 
 
-def _refined(nodes: DataFrame, members: DataFrame, texts: DataFrame, links: DataFrame, tested: DataFrame, bands: int, percent: int) -> DataFrame:
-    """(node, home): the components that the links and all that refining finds make; ``links`` and ``tested`` hold pairs (u, v)."""
+def _unsettled(members: DataFrame, homes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (band, node, n_words, home, degree), and the buckets (band, main) that hold several components; main is the largest."""
+    here = written(members.select("band", "node").join(homes, "node"), "omh-level")
+    best, any_ = F.max(F.struct("degree", "node", "n_words")), F.min(F.struct(F.xxhash64("node", "band").alias("rank"), "node", "n_words"))
+    by_home = here.groupBy("band", "home").agg(F.count("*").alias("n"), best.alias("best"), any_.alias("any"))
+    member = lambda c: F.struct(F.col(f"{c}.node").alias("node"), F.col(f"{c}.n_words").alias("n_words")).alias(c)
+    buckets = by_home.groupBy("band").agg(F.min("home").alias("x"), F.max("home").alias("y"), F.max(F.struct("n", "home", member("best"), member("any"))).alias("main"))
+    return here, written(buckets.filter("x != y").drop("x", "y"), "omh-buckets")
+
+
+def rare_words(docs: DataFrame, percent: int) -> DataFrame:
+    """(node, prefix, ranks): of docs (node, home, n, tokens), the tokens of which two texts of different homes share one if they are similar.
+
+    Tokens are taken in one order for all texts, those of a single home first, then the rarest; those of a single home are left out
+    afterwards. ``ranks`` are the places, from 1, of the tokens in that order.
+    """
+    every = Window.partitionBy("token")
+    own = Window.partitionBy("node").orderBy(F.desc("lone"), "held", "token")
+    tokens = docs.select("node", "home", "n", F.explode("tokens").alias("token"))
+    seen = tokens.withColumns({"held": F.count("*").over(every), "lone": F.min("home").over(every) == F.max("home").over(every)})
+    first = seen.withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= F.expr(f"n * {100 - percent} div 100 + 1")).filter(~F.col("lone"))
+    sorted_ = first.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("rank", "token"))).alias("sorted"))
+    return sorted_.select("node", F.col("sorted.token").alias("prefix"), F.col("sorted.rank").alias("ranks"))
+
+
+def meetings(heads: DataFrame, percent: int) -> DataFrame:
+    """(u, v, apart): the pairs of heads (node, home, n, bits, n_bits, prefix, ranks) of different homes that may be similar, each once.
+
+    A pair meets at the first token that both prefixes hold: what is shared comes at that token or later, and the bits that one text
+    has beyond the other, ``apart``, are words that it has beyond the other.
+    """
+    rows = heads.select("*", F.posexplode("prefix").alias("at", "token")).withColumn("rank", F.col("ranks")[F.col("at")]).drop("ranks", "at")
+    longest = F.greatest("a.n", "b.n")
+    most = F.floor(longest * (100 - percent) / 100)
+    both = F.aggregate(F.zip_with("a.bits", "b.bits", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda n, x: n + x)
+    apart = F.greatest("a.n_bits", "b.n_bits") - both
+    met = (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.home") != F.col("b.home"))
+    met &= F.least(F.col("a.n") - F.col("a.rank"), F.col("b.n") - F.col("b.rank")) + 1 >= longest - most
+    met &= apart <= most
+    met &= F.array_intersect("a.prefix", "b.prefix")[0] == F.col("a.token")
+    return rows.alias("a").join(rows.alias("b"), met).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), apart.alias("apart"))
+
+
+def _possible(texts: DataFrame, homes: DataFrame, here: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
+    """(u, v, apart): all pairs of texts of unsettled buckets that are in different components and may be similar."""
+
+    def make():
+        def work(bodies):
+            made = [bag((x or "").split()) for x in bodies]
+            return {"n": [len(t) for t, _ in made], "tokens": [t for t, _ in made], "bits": [b for _, b in made], "n_bits": [int(np.bitwise_count(b.view(np.uint64)).sum()) for _, b in made]}
+
+        return work
+
+    left = here.join(buckets.select("band"), "band", "left_semi").select("node").distinct()
+    docs = written(map_texts(texts.join(left, "node").join(homes.select("node", "home"), "node"), "body", make, _BAG, ["node", "home"]), "omh-bags")
+    heads = written(docs.drop("tokens").join(rare_words(docs, percent), "node"), "omh-heads")
+    release(docs)
+    pairs = written(meetings(heads, percent).distinct(), "omh-possible")
+    release(heads)
+    return pairs
+
+
+def _refined(members: DataFrame, texts: DataFrame, links: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
+    """(node, home): the components that the links and all others between members of a bucket make; ``links`` and ``tested`` hold pairs (u, v)."""
     degrees = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
     label = components(links)
     homes = members.select("node", "n_words").distinct().join(label, "node", "left").join(degrees, "node", "left")
     homes = written(homes.select("node", "n_words", F.coalesce("component", "node").alias("home"), F.coalesce("degree", F.lit(0)).alias("degree")), "omh-homes")
-    orders = _orders(bands)
-    rows = members.select(F.col("band").alias("key"), (F.col("place") * TREES).alias("tree"), "node")
-    before, late = None, []
-    depths = _depths(bands)
-    for depth, deeper in zip(depths, [*depths[1:], bands]):
-        here = written(rows.join(homes, "node"), "omh-level")
-        best, any_ = F.max(F.struct("degree", "node", "n_words")), F.min(F.struct(F.xxhash64("node", "key").alias("rank"), "node", "n_words"))
-        by_home = here.groupBy("key", "home").agg(F.count("*").alias("n"), best.alias("best"), any_.alias("any"))
-        member = lambda c: F.struct(F.col(f"{c}.node").alias("node"), F.col(f"{c}.n_words").alias("n_words")).alias(c)
-        buckets = by_home.groupBy("key").agg(F.sum("n").alias("size"), F.min("home").alias("x"), F.max("home").alias("y"), F.max(F.struct("n", "home", member("best"), member("any"))).alias("main"))
-        buckets = written(buckets.filter("x != y").drop("x", "y"), "omh-buckets")
-        if not buckets.limit(1).count():
-            for used in (here, buckets, before):
-                release(used)
-            break
-        pairs = written(_meetings(here, buckets, percent, depth).join(tested, ["u", "v"], "left_anti"), "omh-pairs")
-        found = written(_verified(pairs, texts, percent).distinct(), "omh-found")
-        tested = tested.unionByName(pairs)
-        # What is still in several components goes one band deeper, in all trees that it is in.
-        left = here.select("key", "tree", "node").join(buckets.filter((F.lit(depth) == 1) | (F.col("size") > FEW)).select("key"), "key", "left_semi")
-        # Later depths find few links; those wait for the end, so a bucket that they join may be looked at once more.
-        if depth > 1:
-            late.append(found)
-        elif found.limit(1).count():
-            fresh = _moved(homes, found)
-            release(homes)
-            homes = fresh
-            split = left.join(homes.select("node", "home"), "node").groupBy("key").agg(F.min("home").alias("x"), F.max("home").alias("y")).filter("x != y").select("key")
-            left = left.join(split, "key", "left_semi")
-        trees = F.sequence("tree", F.col("tree") + (TREES - 1)) if depth == 1 else F.array("tree")
-        alive = left.groupBy("node").agg(F.flatten(F.collect_set(trees)).alias("trees"))
-        alive = written(alive, "omh-alive")
-        for used in (here, buckets, before):
+
+    def joined(homes: DataFrame, pairs: DataFrame, likely: bool = True) -> DataFrame:
+        found = written(_verified(pairs, texts, percent, likely).distinct(), "omh-found")
+        moved = _moved(homes, found) if found.limit(1).count() else homes
+        for used in (found, *([homes] if moved is not homes else [])):
             release(used)
-        before = alive
-        if depth == bands or not alive.limit(1).count():
-            release(alive)
-            break
-        places = F.element_at(F.lit([o[:deeper] for o in orders]), F.col("tree") + 1)
-        next_ = nodes.select("node", "bands").join(alive, "node").select("node", "bands", F.explode("trees").alias("tree"))
-        rows = next_.select(F.xxhash64("tree", F.transform(places, lambda p: F.get("bands", p))).alias("key"), "tree", "node")
-    if late:
-        every = functools.reduce(DataFrame.unionByName, late)
-        if every.limit(1).count():
-            homes = _moved(homes, every)
+        return moved
+
+    here, buckets = _unsettled(members, homes)
+    outside = here.join(buckets, "band").filter(F.col("home") != F.col("main.home"))
+    stars = outside.select("node", "n_words", F.explode(F.array("main.best", "main.any")).alias("c")).filter(_close_lengths(F.col("n_words"), F.col("c.n_words"), percent))
+    stars = written(stars.select(*_pair(F.col("node"), F.col("c.node"))).distinct().join(tested, ["u", "v"], "left_anti"), "omh-pairs")
+    homes = joined(homes, stars)
+    tested = tested.unionByName(stars)
+    for used in (here, buckets):
+        release(used)
+
+    here, buckets = _unsettled(members, homes)
+    pairs = written(_possible(texts, homes, here, buckets, percent).join(tested, ["u", "v"], "left_anti"), "omh-rest")
+    likeliest = pairs.select(F.explode(F.array("u", "v")).alias("node"), F.struct("apart", "u", "v").alias("pair")).groupBy("node").agg(F.min("pair").alias("pair"))
+    likeliest = written(likeliest.select("pair.u", "pair.v").distinct(), "omh-likeliest")
+    homes = joined(homes, likeliest, False)
+    home = homes.select("node", "home")
+    rest = pairs.join(home.toDF("u", "a"), "u").join(home.toDF("v", "b"), "v").filter("a != b").select("u", "v")
+    rest = written(rest.join(likeliest, ["u", "v"], "left_anti"), "omh-last")
+    homes = joined(homes, rest, False)
+    for used in (here, buckets, stars, pairs, likeliest, rest):
+        release(used)
     return homes.select("node", "home")
 
 
@@ -268,7 +306,7 @@ def _classes(rows: DataFrame, bands: int, percent: int) -> DataFrame:
         release(texts)
         texts = once
     links = written(_verified(stars, texts, percent).distinct(), "omh-links")
-    homes = written(_refined(nodes, members, texts, links, stars, bands, percent), "omh-classes")
+    homes = written(_refined(members, texts, links, stars, percent), "omh-classes")
     for used in (members, stars, texts, links):
         release(used)
     named = nodes.select("key", "first_id", "n_copies", "node").join(homes, "node", "left").withColumn("home", F.coalesce("home", "node"))

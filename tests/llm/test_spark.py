@@ -239,6 +239,43 @@ def test_near_duplicates_of_one_large_group(spark):
                 assert got[i] == got[j]
 
 
+def test_near_duplicates_among_many_texts_with_one_passage(spark):
+    """All texts share most shingles, and each is linked to one other only: no bucket gets small before such a pair is parted."""
+    rng = random.Random(12)
+    passage = [f"p{i}" for i in range(77)]
+    rows = []
+    for i in range(0, 800, 2):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(23)]
+        other = [f"x{rng.randrange(10**6)}" if k % 4 == 1 else w for k, w in enumerate(own)]
+        rows += [(i, " ".join(passage + own)), (i + 1, " ".join(passage + other))]
+    sketcher = order_minhash.Sketcher()
+    bands = [sketcher.bands(t.encode().split()) for _, t in rows]
+    want = {i: i - i % 2 if (bands[i - i % 2] == bands[i - i % 2 + 1]).any() else i for i, _ in rows}
+    assert sum(want[i] != i for i in want) >= 390
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    assert {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(df).collect()} == want
+
+
+def test_rare_words_meet_wherever_texts_are_similar(spark):
+    rng = random.Random(13)
+    base = [[f"w{rng.randrange(40)}" for _ in range(rng.randrange(1, 60))] for _ in range(12)]
+    texts = []
+    for i in range(150):
+        words = list(base[i % 12])
+        for _ in range(rng.randrange(0, len(words) // 4 + 2)):
+            k = rng.randrange(len(words))
+            words[k : k + rng.randrange(2)] = [f"w{rng.randrange(40)}"] * rng.randrange(2)
+            words = words or ["w1"]
+        texts.append(words)
+    made = [order_minhash.bag(w) for w in texts]
+    docs = [(i, i % 50, len(t), t.tolist(), b.tolist(), int(np.bitwise_count(b.view(np.uint64)).sum())) for i, (t, b) in enumerate(made)]
+    df = spark.createDataFrame(docs, "node bigint, home bigint, n bigint, tokens array<bigint>, bits array<bigint>, n_bits bigint")
+    met = Counter((r["u"], r["v"]) for r in order_minhash.meetings(df.drop("tokens").join(order_minhash.rare_words(df, 80), "node"), 80).collect())
+    links = {(j, i) for i in range(150) for j in range(i) if i % 50 != j % 50 and similar(texts[i], texts[j])}
+    assert len(links) >= 50 and links <= set(met)
+    assert max(met.values()) == 1 and len(met) < 5000 and all(u % 50 != v % 50 for u, v in met)
+
+
 @pytest.mark.parametrize("together", [1000, 3])
 def test_repeats(spark, docs, rows, together):
     texts = [(r[0], (r[1] or "").encode()) for r in rows]
