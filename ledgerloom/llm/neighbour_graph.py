@@ -11,6 +11,10 @@ as long as the best ``BEAM`` hold one that was not expanded. The entries of a bl
 one link away from one, so clusters without links between them are all reached. Blocks' answers are merged by exact
 scores in double precision.
 
+A query's blocks, those of the nearest cells first, are visited in waves: the first ``FIRST_BLOCKS``, then up to ``WIDER`` times as many in all, and so on. A block's answers of a
+later wave are only those that are no worse than the query's last one so far, so what waves return stays near the length of a list
+however many blocks are visited, and the result is that of all blocks at once.
+
 Cells are those of Euclidean distance after one component more has made all vectors equally long, which turns the largest inner
 product into the least distance. Pivots are at most ``MOST_PIVOTS``, a bounded sample; every row is indexed. Of the reverse
 neighbours beyond ``REVERSE``, each round takes others, by a hash that changes.
@@ -37,6 +41,9 @@ BLOCK = 4_096
 PER_CELL = 2_048
 MOST_PIVOTS = 16_384
 LEAST_CELLS = 16
+#: Blocks of the first wave, and how many times as many the waves up to the next one visit.
+FIRST_BLOCKS = 3
+WIDER = 12
 NEIGHBOURS = 14
 REVERSE = 14
 MOST_ROUNDS = 6
@@ -161,12 +168,13 @@ class Router:
         return out
 
     def visits(self, vector: np.ndarray) -> list[int]:
-        """The cells nearest to a query."""
+        """The cells nearest to a query, nearest first."""
         if len(vector) not in self.pivots:
             return [0]
         scores = self.pivots[len(vector)] @ vector
         n = min(len(scores), max(LEAST_CELLS, int(np.ceil(4 * len(scores) ** 0.5))))
-        return np.argpartition(-scores, n - 1)[:n].astype(np.int32).tolist()
+        near = np.argpartition(-scores, n - 1)[:n]
+        return near[np.argsort(-scores[near], kind="stable")].astype(np.int32).tolist()
 
 
 def _router(nodes: DataFrame, n: int, per_cell: int) -> Router:
@@ -201,7 +209,8 @@ def _searcher(k: int, beam: int):
             order = np.lexsort((least[places], np.where(good, -exact, np.inf)), axis=1)[:, :k]
             r = np.repeat(np.arange(len(ids)), order.shape[1])
             c = order.ravel()
-            good = good[r, c]
+            # What is worse than the list so far can't be in it.
+            good = good[r, c] & (exact[r, c] >= part["bar"].to_numpy(float)[r])
             at_node = places[r, c]
             parts.append(pd.DataFrame({"query": ids[r], "node": nodes[at_node], "least": least[at_node], "score": exact[r, c]})[good])
         return pd.concat(parts)[columns]
@@ -273,17 +282,29 @@ def nearest(df: DataFrame, id_column: str = "vec_id", vector: str = "embedding",
     # Members of a node in order of id: k + 1 suffice, as ties go to the smaller id and only the query's own row is left out.
     named = rows.join(placed.select("node", F.col("vector").alias("v")), F.col("vector") == F.col("v")).select("vec_id", "node", "times")
     own = written(named.filter(F.col("vec_id") % every == 0), "ann-queries")
-    asked = celled.join(own.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("query"), "vector", "dim", F.explode(visits("vector")).alias("cell"))
+    asked = celled.join(own.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("query"), "vector", "dim", F.posexplode(visits("vector")).alias("at", "cell"))
     asked = asked.join(cells, ["dim", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    asked = written(asked.select("query", "vector", name(F.col("part"))), "ann-asked")
+    turn = F.row_number().over(Window.partitionBy("query").orderBy("at", "part")) - 1
+    asked = written(asked.select("query", "vector", turn.alias("at"), name(F.col("part"))), "ann-asked")
     release(celled)
-    # Blocks that very many queries visit are searched by several tasks.
-    chunks = written(asked.groupBy("block").agg(F.ceil(F.count("*") / (4 * QUERIES_TOGETHER)).alias("chunks")), "ann-chunks")
-    asked = asked.join(chunks, "block").select("block", F.pmod(F.xxhash64("query"), "chunks").alias("chunk"), "query", "vector")
-    spread = index.join(chunks, "block").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))).drop("chunks")
-    found = spread.groupBy("block", "chunk").cogroup(asked.groupBy("block", "chunk")).applyInPandas(_searcher(k + 1, beam), "query bigint, node bigint, least bigint, score double")
+    most = asked.agg(F.max("at")).first()[0]
     best = Window.partitionBy("query").orderBy(F.desc("score"), "least")
-    found = written(found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1).drop("r", "least"), "ann-found")
+    found, start, end = None, 0, FIRST_BLOCKS
+    while found is None or (most is not None and start <= most):
+        wave = asked.filter((F.col("at") >= start) & (F.col("at") < end)).select("block", "query", "vector")
+        bars = None if found is None else found.groupBy("query").agg(F.when(F.count("*") > k, F.min("score")).alias("bar"))
+        wave = wave.withColumn("bar", F.lit(None).cast("double")) if bars is None else wave.join(bars, "query", "left")
+        wave = written(wave.withColumn("bar", F.coalesce("bar", F.lit(float("-inf")))), "ann-wave")
+        # Blocks that very many queries visit are searched by several tasks.
+        chunks = written(wave.groupBy("block").agg(F.ceil(F.count("*") / (4 * QUERIES_TOGETHER)).alias("chunks")), "ann-chunks")
+        dealt = wave.join(chunks, "block").select("block", F.pmod(F.xxhash64("query"), "chunks").alias("chunk"), "query", "vector", "bar")
+        spread = index.join(chunks, "block").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))).drop("chunks")
+        more = spread.groupBy("block", "chunk").cogroup(dealt.groupBy("block", "chunk")).applyInPandas(_searcher(k + 1, beam), "query bigint, node bigint, least bigint, score double")
+        more = more if found is None else more.unionByName(found)
+        more = written(more.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1).drop("r"), "ann-found")
+        for used in (wave, chunks, found):
+            release(used)
+        found, start, end = more, end, end * WIDER
     first = Window.partitionBy("node").orderBy("vec_id")
     members = named.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k + 1).select("node", "vec_id", "times")
     members = written(members.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("times", F.lit(k + 1)).cast("int")))).drop("times"), "ann-members")
@@ -291,7 +312,7 @@ def nearest(df: DataFrame, id_column: str = "vec_id", vector: str = "embedding",
     ranked = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "node", "copy")
     lists = lists.withColumn("r", F.row_number().over(ranked)).filter(F.col("r") <= k + 1)
     lists = written(lists.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("r", "node", "vec_id", "copy", "score"))).alias("list")), "ann-lists")
-    for used in (placed, graph, cells, chunks):
+    for used in (placed, graph, cells, asked):
         release(used)
     # A query row leaves out itself; repeated query rows give repeated answers.
     hits = own.join(lists, F.col("node") == F.col("query")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ import corpus_pipeline
 from ledgerloom.llm import bpe, mixing, order_minhash, pii, quality, queries, secret_scan, sharding, suffix_dedup, token_counts
 from ledgerloom.llm.alignment import similar
 from ledgerloom.llm.common import tiktoken_ranks, vocabulary_path
+from ledgerloom.llm import neighbour_graph
 from ledgerloom.llm.neighbour_graph import nearest
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, spans string, copy int, shard int, class_id string"
@@ -354,6 +356,33 @@ def test_recall_over_several_cells(spark, kind):
     assert len(found) == 500 and hits / 10_000 >= 0.9
 
 
+def test_later_blocks_return_only_what_may_be_in_the_list(spark, monkeypatch):
+    """What blocks return stays near the length of a list, however many are visited."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(200, 16))[rng.integers(0, 200, 6_000)] + 0.3 * rng.normal(size=(6_000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>").repartition(4)
+    made, searcher = spark.sparkContext.accumulator(0), neighbour_graph._searcher
+
+    def counted(k, beam):
+        search = searcher(k, beam)
+
+        def run(key: tuple, index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+            out = search(key, index, queries)
+            made.add(len(out))
+            return out
+
+        return run
+
+    monkeypatch.setattr(neighbour_graph, "_searcher", counted)
+    hits = 0
+    for r in nearest(df, block=256, per_cell=128).groupBy("query_id").agg(F.collect_list("vec_id").alias("found")).collect():
+        scores = x @ x[r["query_id"]]
+        scores[r["query_id"]] = -np.inf
+        hits += len(set(r["found"]) & set(np.argpartition(-scores, 20)[:20].tolist()))
+    assert hits / 6_000 >= 0.9
+    assert made.value <= 300 * 6 * 21  # of 28 cells or more for each of 300 queries
+
+
 def test_pipeline(spark, tmp_path):
     rows = corpus(seed=5, n=24)
     path = str(tmp_path)
